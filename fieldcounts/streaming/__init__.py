@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The surveyed workload is batch only: every input is a finished file (survey
+sheets, an exported table, a saved analysis table).  No operator needs a
+watermark or streaming state, so nothing here re-implements one.  All
+operators are plain DataFrame transforms; the stateless ones (filters,
+projections, recodes) also apply unchanged to a streaming DataFrame.
+"""
