@@ -59,13 +59,13 @@ def baywide_counts(obs: DataFrame, year: str = "study_year", date: str = "visit_
     """Per-survey totals for every code and for all codes together, one pass.
 
     Grouping sets ``(year, date)`` and ``(year, date, code)`` share one scan
-    and one shuffle; ``grouping_id`` tells the all-codes row from a NULL code.
+    and one shuffle; ``grouping`` tells the all-codes row from a NULL code.
     ``carry`` names columns that depend on the date only (such as the survey
     number); they ride along as extra keys of both sets.
     """
     keys = [year, date, *carry]
     g = obs.groupingSets([keys, keys + [code]], *keys, code).agg(
-        strict_sum(value).alias("baywide_count"), F.grouping_id(code).alias("_gid"))
+        strict_sum(value).alias("baywide_count"), F.grouping(code).alias("_gid"))
     return g.select(*keys, F.when(F.col("_gid") == 1, F.lit(all_label)).otherwise(F.col(code)).alias(code),
                     "baywide_count")
 

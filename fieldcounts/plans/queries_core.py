@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import with_season, with_study_day, with_survey_period
+from ..operators import shares as SH
 from ..operators import summaries as S
+from ..operators import taxa as TX
 from . import sqlcal as C
 from . import views as V
 from .catalog import r6, register
@@ -79,3 +81,388 @@ def a3_taxon_annual_mean(spark, d):
     """A3: mean per study year of per-survey totals, by code."""
     r = S.taxon_annual_mean(obs_cal(spark, d))
     return r.withColumn("spp_annual_mean", r6("spp_annual_mean"))
+
+
+@register("a4_taxon_section_annual_mean", V.ctes(OBS_CAL) + f"""
+SELECT alpha_code, study_year, section, round_even({strict('avg', 'section_final')}, 6) AS spp_section_annual_mean
+FROM obs_cal GROUP BY alpha_code, study_year, section""")
+def a4_taxon_section_annual_mean(spark, d):
+    """A4: (code, study year, section) -> mean of records."""
+    r = S.taxon_section_annual_mean(obs_cal(spark, d))
+    return r.withColumn("spp_section_annual_mean", r6("spp_section_annual_mean"))
+
+
+@register("a5_years_detected", V.ctes(OBS_CAL) + """
+SELECT alpha_code, count(DISTINCT study_year) AS num_years_detected
+FROM obs_cal WHERE section_final > 0 GROUP BY alpha_code""")
+def a5_years_detected(spark, d):
+    """A5: number of study years with a count above zero, per code."""
+    return S.years_detected(obs_cal(spark, d))
+
+
+SQL_BW = OBS_CAL + f""",
+bw AS (SELECT study_year, visit_date, alpha_code, {strict_sum('section_final')} AS baywide_count
+       FROM obs_cal GROUP BY study_year, visit_date, alpha_code),
+bw_all AS (SELECT study_year, visit_date, 'all' AS alpha_code, {strict_sum('section_final')} AS baywide_count
+       FROM obs_cal GROUP BY study_year, visit_date),
+bwu AS (SELECT * FROM bw UNION ALL SELECT * FROM bw_all),
+sm AS (SELECT study_year, alpha_code, {strict('avg', 'baywide_count')} AS mean_abund,
+              CASE WHEN count(baywide_count) = count(*) THEN median(baywide_count) END AS med_abund
+       FROM bwu GROUP BY study_year, alpha_code)"""
+
+
+def season_means(spark, d):
+    return S.season_mean_median(S.baywide_counts(obs_cal(spark, d)))
+
+
+@register("a6_baywide_counts", V.ctes(SQL_BW) + """
+SELECT study_year, visit_date, alpha_code, baywide_count FROM bwu""")
+def a6_baywide_counts(spark, d):
+    """Per-survey totals per code plus the all-codes total, one grouping-sets pass."""
+    return S.baywide_counts(obs_cal(spark, d))
+
+
+@register("a7_first_survey_extract", V.ctes(OBS_CAL, f"""
+b1 AS (SELECT study_year, visit_date, survey_num, alpha_code, {strict_sum('section_final')} AS baywide_count
+       FROM obs_cal GROUP BY study_year, visit_date, survey_num, alpha_code
+       UNION ALL
+       SELECT study_year, visit_date, survey_num, 'all', {strict_sum('section_final')}
+       FROM obs_cal GROUP BY study_year, visit_date, survey_num)""") + """
+SELECT study_year, visit_date, alpha_code, baywide_count FROM b1 WHERE survey_num = 1""")
+def a7_first_survey_extract(spark, d):
+    """Survey-1 rows of A6 (the survey number rides along as a date-level key)."""
+    return S.first_survey_extract(S.baywide_counts(obs_cal(spark, d), carry=["survey_num"]))
+
+
+@register("a8_season_mean_median", V.ctes(SQL_BW) + """
+SELECT study_year, alpha_code, round_even(mean_abund, 6) AS mean_abund, round_even(med_abund, 6) AS med_abund
+FROM sm""")
+def a8_season_mean_median(spark, d):
+    """Mean and exact median of per-survey totals by (study year, code)."""
+    r = season_means(spark, d)
+    return r.select("study_year", "alpha_code", r6("mean_abund").alias("mean_abund"),
+                    r6("med_abund").alias("med_abund"))
+
+
+@register("a9_all_taxa_annual_mean", V.ctes(SQL_BW) + f"""
+SELECT study_year, round_even({strict('avg', 'baywide_count')}, 6) AS all_wbirds FROM bw_all GROUP BY study_year""")
+def a9_all_taxa_annual_mean(spark, d):
+    """Mean per study year of the all-codes survey totals."""
+    r = S.all_taxa_annual_mean(obs_cal(spark, d))
+    return r.withColumn("all_wbirds", r6("all_wbirds"))
+
+
+SQL_RANK = SQL_BW + """,
+ranked AS (SELECT study_year, alpha_code, mean_abund, med_abund,
+                  CAST(row_number() OVER (PARTITION BY study_year ORDER BY mean_abund DESC NULLS LAST,
+                                          alpha_code ASC NULLS LAST) AS INTEGER) AS abund_rank
+           FROM sm WHERE alpha_code <> 'all')"""
+
+
+@register("w1_abundance_rank", V.ctes(SQL_RANK) + """
+SELECT study_year, alpha_code, round_even(mean_abund, 6) AS mean_abund, round_even(med_abund, 6) AS med_abund,
+       abund_rank FROM ranked""")
+def w1_abundance_rank(spark, d):
+    """Rank of codes within a study year by mean survey total."""
+    r = SH.abundance_rank(season_means(spark, d))
+    return r.select("study_year", "alpha_code", r6("mean_abund").alias("mean_abund"),
+                    r6("med_abund").alias("med_abund"), "abund_rank")
+
+
+@register("a10_top5_abundance", V.ctes(SQL_RANK) + """
+SELECT study_year, CASE WHEN abund_rank <= 5 THEN alpha_code ELSE 'all.others' END AS abund_rank_spp,
+       round_even(sum(mean_abund), 6) AS abundance
+FROM ranked GROUP BY 1, 2""")
+def a10_top5_abundance(spark, d):
+    """A10: top-5 codes per year keep their code, the rest become all.others; summed."""
+    r = SH.top5_abundance(SH.abundance_rank(season_means(spark, d)))
+    return r.withColumn("abundance", r6("abundance"))
+
+
+@register("a10_top5_codes", V.ctes(SQL_RANK) + """
+SELECT DISTINCT alpha_code AS abund_rank_spp FROM ranked WHERE abund_rank <= 5""")
+def a10_top5_codes(spark, d):
+    """A10: distinct codes that were among some year's five most abundant."""
+    return SH.top_k_codes(SH.abundance_rank(season_means(spark, d)))
+
+
+@register("k2_top5_per_year", V.ctes(SQL_RANK) + """
+SELECT study_year, alpha_code, round_even(mean_abund, 6) AS mean_abund, abund_rank AS rank
+FROM ranked WHERE abund_rank <= 5""")
+def k2_top5_per_year(spark, d):
+    """K2: five most abundant codes per study year (row_number filter)."""
+    sm = season_means(spark, d).filter(F.col("alpha_code") != "all")
+    r = SH.top_k_per_group(sm, ["study_year"], [F.col("mean_abund").desc_nulls_last(),
+                                                 F.col("alpha_code").asc_nulls_last()], 5)
+    return r.select("study_year", "alpha_code", r6("mean_abund").alias("mean_abund"), "rank")
+
+
+SQL_CUM = SQL_BW + """,
+tot AS (SELECT study_year, alpha_code, sum(mean_abund) AS total FROM sm WHERE alpha_code <> 'all'
+        GROUP BY study_year, alpha_code),
+cum AS (SELECT study_year, alpha_code, total,
+          sum(total) OVER (PARTITION BY study_year ORDER BY total DESC NULLS LAST, alpha_code ASC NULLS LAST
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumu_sum,
+          sum(total) OVER (PARTITION BY study_year) AS year_sum FROM tot),
+cum2 AS (SELECT *, CASE WHEN year_sum <> 0 THEN cumu_sum / year_sum END AS year_cum_prop,
+                CASE WHEN year_sum <> 0 THEN total / year_sum END AS year_prop FROM cum),
+thr AS (SELECT study_year, min(year_cum_prop) AS min_over90 FROM cum2 WHERE year_cum_prop >= 0.9
+        GROUP BY study_year)"""
+
+
+def cum_share(spark, d):
+    return SH.cumulative_share(season_means(spark, d))
+
+
+@register("w2_cumulative_share", V.ctes(SQL_CUM) + """
+SELECT study_year, alpha_code, round_even(total, 6) AS total, round_even(cumu_sum, 6) AS cumu_sum,
+       round_even(year_sum, 6) AS year_sum, round_even(year_cum_prop, 6) AS year_cum_prop,
+       round_even(year_prop, 6) AS year_prop FROM cum2""")
+def w2_cumulative_share(spark, d):
+    """Running and total sums of mean abundance per year, shares and cumulative shares."""
+    r = cum_share(spark, d)
+    return r.select("study_year", "alpha_code", *[r6(c).alias(c) for c in
+                    ["total", "cumu_sum", "year_sum", "year_cum_prop", "year_prop"]])
+
+
+@register("w3_share_threshold", V.ctes(SQL_CUM) + """
+SELECT study_year, round_even(min_over90, 6) AS min_over90 FROM thr""")
+def w3_share_threshold(spark, d):
+    """Per year the smallest cumulative share at or above 0.9."""
+    r = SH.share_threshold(cum_share(spark, d))
+    return r.withColumn("min_over90", r6("min_over90"))
+
+
+# Test binding of A11 (the reference's bird names and DUCK do not occur here).
+A11_ALWAYS_LUMPED = ["Brand#25"]
+A11_NAME_ORDER = ["blue anvil 10", "blue anvil 2", "blue bolt 12", "blue gear 1", "Remaining spp."]
+
+
+def _sql_list(xs):
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+
+
+@register("a11_remaining_lump", V.ctes(SQL_CUM, V.SQL_TAXA, f"""
+lump AS (SELECT c.study_year,
+            CASE WHEN (c.year_cum_prop > t.min_over90 OR c.alpha_code IN ({_sql_list(A11_ALWAYS_LUMPED)}))
+                 THEN 'Remaining spp'
+                 WHEN NOT (c.year_cum_prop > t.min_over90 OR c.alpha_code IN ({_sql_list(A11_ALWAYS_LUMPED)}))
+                 THEN c.alpha_code END AS alpha_code, c.total
+         FROM cum2 c FULL JOIN thr t ON c.study_year = t.study_year)""") + f"""
+SELECT g.study_year, g.alpha_code, round_even(g.total2, 6) AS total2,
+       coalesce(x.common_name, 'Remaining spp.') AS common_name,
+       CAST(CASE WHEN list_position([{_sql_list(A11_NAME_ORDER)}], coalesce(x.common_name, 'Remaining spp.')) > 0
+            THEN list_position([{_sql_list(A11_NAME_ORDER)}], coalesce(x.common_name, 'Remaining spp.')) END
+            AS INTEGER) AS common_name_order
+FROM (SELECT study_year, alpha_code, sum(total) AS total2 FROM lump GROUP BY study_year, alpha_code) g
+LEFT JOIN taxa x ON g.alpha_code = x.alpha_code""")
+def a11_remaining_lump(spark, d):
+    """A11 + F13: codes past the 90 % cumulative share lumped, names attached, fixed order."""
+    cum = cum_share(spark, d)
+    r = SH.remaining_lump(cum, SH.share_threshold(cum), V.taxa(spark, d), A11_NAME_ORDER,
+                          always_lumped=A11_ALWAYS_LUMPED)
+    return r.withColumn("total2", r6("total2"))
+
+
+# Test binding of the report's recode and code sets (FIXTURES.md).
+RECODE_MEMBERS = ["Brand#1", "Brand#3"]
+RECODE_TO = "Brand#2"
+SHARE_CUT = 0.061
+USEFUL = ["Brand#4", "Brand#5"]
+USELESS = ["Brand#6", "Brand#7", "Brand#13"]
+
+
+def daily(spark, d):
+    o = TX.recode_taxa(obs_cal(spark, d), RECODE_MEMBERS, RECODE_TO)
+    return SH.daily_shares(o)
+
+
+SQL_DAILY = OBS_CAL + f""",
+rec AS (SELECT * REPLACE (CASE WHEN alpha_code IN ({_sql_list(RECODE_MEMBERS)}) THEN '{RECODE_TO}'
+                          ELSE alpha_code END AS alpha_code) FROM obs_cal),
+per AS (SELECT study_year, visit_date, alpha_code, {strict_sum('section_final')} AS baywide_count
+        FROM rec GROUP BY study_year, visit_date, alpha_code),
+dsh AS (SELECT *, CASE WHEN baywide_total_birds <> 0 THEN baywide_count / baywide_total_birds END
+               AS date_spp_proportion_all
+        FROM (SELECT *, CAST(sum(baywide_count) OVER (PARTITION BY study_year, visit_date) AS BIGINT)
+                     AS baywide_total_birds FROM per)),
+dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY study_year, visit_date
+                  ORDER BY date_spp_proportion_all DESC NULLS LAST, alpha_code ASC NULLS LAST) AS INTEGER)
+                  AS abund_rank FROM dsh),
+ys AS (SELECT study_year, alpha_code, avg(date_spp_proportion_all) AS mean_proportion
+       FROM dr GROUP BY study_year, alpha_code),
+ay AS (SELECT alpha_code, avg(mean_proportion) AS mean_proportion FROM ys GROUP BY alpha_code)"""
+
+
+def _cls(x, cut):
+    return f"CASE WHEN {x} <= {cut} THEN 'less' WHEN {x} > {cut} THEN 'more' END"
+
+
+@register("w4_daily_shares", V.ctes(SQL_DAILY) + """
+SELECT study_year, visit_date, alpha_code, baywide_count, baywide_total_birds,
+       round_even(date_spp_proportion_all, 6) AS date_spp_proportion_all, abund_rank FROM dr""")
+def w4_daily_shares(spark, d):
+    """W4 (after the F4 recode): per survey, each code's share of the day and its rank."""
+    r = daily(spark, d)
+    return r.withColumn("date_spp_proportion_all", r6("date_spp_proportion_all"))
+
+
+@register("f4_recode_taxa", V.ctes(SQL_DAILY) + f"""
+SELECT alpha_code, count(*) AS n_records, {strict_sum('section_final')} AS total FROM rec GROUP BY alpha_code""")
+def f4_recode_taxa(spark, d):
+    """codes replaced in place (no summing); records and totals per resulting code."""
+    o = TX.recode_taxa(obs_cal(spark, d), RECODE_MEMBERS, RECODE_TO)
+    return o.groupBy("alpha_code").agg(F.count(F.lit(1)).alias("n_records"),
+                                       F.sum("section_final").alias("total"))
+
+
+@register("g4_yearly_share", V.ctes(SQL_DAILY) + f"""
+SELECT study_year, alpha_code, round_even(mean_proportion, 6) AS mean_proportion,
+       {_cls('mean_proportion', SHARE_CUT)} AS prop_group FROM ys""")
+def g4_yearly_share(spark, d):
+    """G4 + F10: mean daily share per (study year, code), classed at 0.061."""
+    r = SH.yearly_share(daily(spark, d), cut=SHARE_CUT)
+    return r.withColumn("mean_proportion", r6("mean_proportion"))
+
+
+@register("g4_all_year_share", V.ctes(SQL_DAILY) + f"""
+SELECT alpha_code, round_even(mean_proportion, 6) AS mean_proportion,
+       {_cls('mean_proportion', SHARE_CUT)} AS prop_group FROM ay""")
+def g4_all_year_share(spark, d):
+    """G4 + F10: mean over years of the yearly mean share, classed at 0.061."""
+    r = SH.all_year_share(SH.yearly_share(daily(spark, d), cut=SHARE_CUT), cut=SHARE_CUT)
+    return r.withColumn("mean_proportion", r6("mean_proportion"))
+
+
+@register("f10_share_class_default", V.ctes(SQL_DAILY) + f"""
+SELECT alpha_code, round_even(mean_proportion, 6) AS mean_proportion,
+       {_cls('mean_proportion', 0.05)} AS prop_group FROM ay""")
+def f10_share_class_default(spark, d):
+    """F10 with the reference's 5 % cut (every code lands in 'more' on this data)."""
+    r = SH.all_year_share(SH.yearly_share(daily(spark, d)))
+    return r.withColumn("mean_proportion", r6("mean_proportion"))
+
+
+SURVEY_YEAR_CUTS = (5, 6)
+
+
+def _years_class_sql(x, cuts):
+    lo, hi = cuts
+    return (f"CASE WHEN {x} <= {lo} THEN 'low' WHEN {x} <= {hi} THEN 'middle' WHEN {x} > {hi} THEN 'high' END",
+            f"CAST(CASE WHEN {x} <= {lo} THEN 1 WHEN {x} <= {hi} THEN 2 WHEN {x} > {hi} THEN 3 END AS INTEGER)")
+
+
+_YC = _years_class_sql("num_year_detected", SURVEY_YEAR_CUTS)
+SQL_NYD = SQL_DAILY + f""",
+nyd AS (SELECT y.alpha_code, count(*) AS num_year_detected, any_value(x.common_name) AS common_name
+        FROM ys y LEFT JOIN taxa x ON y.alpha_code = x.alpha_code GROUP BY y.alpha_code),
+nyd2 AS (SELECT *, {_YC[0]} AS abund_group, {_YC[1]} AS abund_group_ord FROM nyd)"""
+
+
+def num_years(spark, d):
+    yearly = SH.yearly_share(daily(spark, d), cut=SHARE_CUT)
+    r = TX.attach_taxonomy(S.years_recorded(yearly), V.taxa(spark, d), ["common_name"])
+    return SH.years_class(r, cuts=SURVEY_YEAR_CUTS)
+
+
+@register("a5_f11_years_class", V.ctes(V.SQL_TAXA, SQL_NYD) + """
+SELECT alpha_code, num_year_detected, common_name, abund_group, abund_group_ord FROM nyd2""")
+def a5_f11_years_class(spark, d):
+    """A5 report variant + L1 + F11: years with any record per code, classed (cuts 5, 6)."""
+    return num_years(spark, d)
+
+
+@register("f12_detections_without_groups", V.ctes(V.SQL_TAXA, SQL_NYD) + f"""
+SELECT alpha_code, num_year_detected, common_name, abund_group FROM nyd2
+WHERE alpha_code NOT IN ({_sql_list(USELESS)}) AND alpha_code NOT IN ({_sql_list(USEFUL)})""")
+def f12_detections_without_groups(spark, d):
+    """years detected without either group list."""
+    return SH.without_codes(num_years(spark, d), USELESS, USEFUL).select(
+        "alpha_code", "num_year_detected", "common_name", "abund_group")
+
+
+@register("f12_high_class_shares", V.ctes(V.SQL_TAXA, SQL_NYD) + f"""
+SELECT a.alpha_code, round_even(a.mean_proportion, 6) AS mean_proportion, a.prop_group,
+       x.common_name, round_even(a.mean_proportion * 100, 6) AS percent
+FROM (SELECT *, {_cls('mean_proportion', SHARE_CUT)} AS prop_group FROM ay) a
+LEFT JOIN taxa x ON a.alpha_code = x.alpha_code
+WHERE a.alpha_code IN (SELECT alpha_code FROM nyd2 WHERE abund_group = 'high')
+  AND a.alpha_code NOT IN ({_sql_list(USEFUL)})""")
+def f12_high_class_shares(spark, d):
+    """all-year shares of codes in the 'high' years class, useful groups removed, as percent."""
+    yearly = SH.yearly_share(daily(spark, d), cut=SHARE_CUT)
+    ay = SH.all_year_share(yearly, cut=SHARE_CUT)
+    high = num_years(spark, d).filter(F.col("abund_group") == "high").select("alpha_code")
+    r = SH.without_codes(ay.join(high, "alpha_code", "left_semi"), USEFUL)
+    r = SH.percent(TX.attach_taxonomy(r, V.taxa(spark, d), ["common_name"]))
+    return r.select("alpha_code", r6("mean_proportion").alias("mean_proportion"), "prop_group",
+                    "common_name", r6("percent").alias("percent"))
+
+
+def _yearly_subset_sql(where):
+    return V.ctes(V.SQL_TAXA, SQL_NYD) + f"""
+SELECT y.study_year, y.alpha_code, round_even(y.mean_proportion, 6) AS mean_proportion, x.common_name,
+       round_even(y.mean_proportion * 100, 6) AS percent
+FROM ys y LEFT JOIN taxa x ON y.alpha_code = x.alpha_code WHERE {where}"""
+
+
+def _yearly_subset(spark, d, fn):
+    yearly = SH.yearly_share(daily(spark, d), cut=SHARE_CUT)
+    r = SH.percent(TX.attach_taxonomy(fn(yearly), V.taxa(spark, d), ["common_name"]))
+    return r.select("study_year", "alpha_code", r6("mean_proportion").alias("mean_proportion"),
+                    "common_name", r6("percent").alias("percent"))
+
+
+@register("f12_more_class_yearly", _yearly_subset_sql(
+    f"""y.alpha_code IN (SELECT alpha_code FROM ay WHERE {_cls('mean_proportion', SHARE_CUT)} = 'more')
+        AND y.alpha_code NOT IN ({_sql_list(USELESS)})"""))
+def f12_more_class_yearly(spark, d):
+    """yearly shares of codes in the all-year 'more' class, useless groups removed."""
+    def pick(yearly):
+        more = (SH.all_year_share(yearly, cut=SHARE_CUT).filter(F.col("prop_group") == "more")
+                .select("alpha_code"))
+        return SH.without_codes(yearly.join(more, "alpha_code", "left_semi"), USELESS)
+    return _yearly_subset(spark, d, pick)
+
+
+@register("f12_useful_groups_yearly", _yearly_subset_sql(f"y.alpha_code IN ({_sql_list(USEFUL)})"))
+def f12_useful_groups_yearly(spark, d):
+    """yearly shares of the useful group codes."""
+    return _yearly_subset(spark, d, lambda y: SH.with_codes(y, USEFUL))
+
+
+@register("f12_useless_groups_yearly", _yearly_subset_sql(f"y.alpha_code IN ({_sql_list(USELESS)})"))
+def f12_useless_groups_yearly(spark, d):
+    """yearly shares of the useless group codes."""
+    return _yearly_subset(spark, d, lambda y: SH.with_codes(y, USELESS))
+
+
+@register("f12_high_class_count", V.ctes(V.SQL_TAXA, SQL_NYD) + """
+SELECT count(*) AS n_high FROM nyd2 WHERE abund_group = 'high'""")
+def f12_high_class_count(spark, d):
+    """how many codes are in the 'high' years class."""
+    return num_years(spark, d).filter(F.col("abund_group") == "high").agg(F.count(F.lit(1)).alias("n_high"))
+
+
+W5_CODES = ["Brand#2", "Brand#3", "Brand#12"]
+
+
+@register("w5_section_vs_bay", V.ctes(OBS_CAL, f"""
+sec AS (SELECT study_year, visit_date, alpha_code, section, {strict_sum('section_final')} AS section_count
+        FROM obs_cal WHERE alpha_code IN ({_sql_list(W5_CODES)})
+        GROUP BY study_year, visit_date, alpha_code, section)""") + """
+SELECT *, CAST(sum(section_count) OVER (PARTITION BY study_year, visit_date, alpha_code) AS BIGINT) AS baywide_count
+FROM sec""")
+def w5_section_vs_bay(spark, d):
+    """Section totals beside the baywide total, for one code set."""
+    return SH.section_vs_bay(obs_cal(spark, d), W5_CODES)
+
+
+@register("w5_section_vs_bay_all", V.ctes(OBS_CAL, f"""
+sec AS (SELECT study_year, visit_date, alpha_code, section, {strict_sum('section_final')} AS section_count
+        FROM obs_cal GROUP BY study_year, visit_date, alpha_code, section)""") + """
+SELECT *, CAST(sum(section_count) OVER (PARTITION BY study_year, visit_date, alpha_code) AS BIGINT) AS baywide_count
+FROM sec""")
+def w5_section_vs_bay_all(spark, d):
+    """W5 for every code at once (the per-set outputs are filters of this)."""
+    return SH.section_vs_bay(obs_cal(spark, d))
