@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import with_season, with_study_day, with_survey_period
+from ..operators import reshape as RS
 from ..operators import shares as SH
 from ..operators import summaries as S
 from ..operators import taxa as TX
@@ -466,3 +467,248 @@ FROM sec""")
 def w5_section_vs_bay_all(spark, d):
     """W5 for every code at once (the per-set outputs are filters of this)."""
     return SH.section_vs_bay(obs_cal(spark, d))
+
+
+# ------------------------------------------------- season summaries
+OBS_SEASON = V.SQL_OBS + f""",
+obs_s AS (SELECT *, {C.season(rule=2)} AS season FROM obs),
+sst AS (SELECT alpha_code, survey_num, season, {strict_sum('section_final')} AS summed_num
+        FROM obs_s GROUP BY alpha_code, survey_num, season)"""
+
+
+def season_totals(spark, d):
+    return S.taxon_survey_season_total(with_season(V.obs(spark, d), rule=2))
+
+
+@register("a12_taxon_survey_season_total", V.ctes(OBS_SEASON) + """
+SELECT alpha_code, survey_num, season, summed_num FROM sst""")
+def a12_taxon_survey_season_total(spark, d):
+    """(code, survey number, season by rule 2) -> total."""
+    return season_totals(spark, d)
+
+
+@register("a13_first_survey_spp_season", V.ctes(OBS_SEASON) + """
+SELECT alpha_code, survey_num, season, summed_num AS total_count_spp_seas FROM sst WHERE survey_num = 1""")
+def a13_first_survey_spp_season(spark, d):
+    """Survey-1 totals per (code, season)."""
+    return S.first_survey_totals(season_totals(spark, d), None)
+
+
+@register("a13_first_survey_by_season", V.ctes(OBS_SEASON) + f"""
+SELECT season, {strict_sum('summed_num')} AS total_count_seas FROM sst WHERE survey_num = 1 GROUP BY season""")
+def a13_first_survey_by_season(spark, d):
+    """Survey-1 totals per season."""
+    return S.first_survey_totals(season_totals(spark, d), "season")
+
+
+@register("a13_first_survey_by_species", V.ctes(OBS_SEASON) + f"""
+SELECT alpha_code, {strict_sum('summed_num')} AS total_count_seas FROM sst WHERE survey_num = 1
+GROUP BY alpha_code""")
+def a13_first_survey_by_species(spark, d):
+    """Survey-1 totals per code."""
+    return S.first_survey_totals(season_totals(spark, d), "species")
+
+
+SQL_A14 = OBS_SEASON + f""",
+a14 AS (SELECT alpha_code, season, {rhe('s', 'n', 2)} AS mean_num, max_num, min_num
+        FROM (SELECT alpha_code, season, sum(summed_num) AS s, count(*) AS n, max(summed_num) AS max_num,
+                     min(summed_num) AS min_num FROM sst GROUP BY alpha_code, season))"""
+
+
+@register("a14_taxon_season_summary", V.ctes(SQL_A14) + """
+SELECT alpha_code, season, mean_num, max_num, min_num FROM a14""")
+def a14_taxon_season_summary(spark, d):
+    """(code, season) -> mean (2 digits, half-even), max, min of survey totals."""
+    return S.taxon_season_summary(season_totals(spark, d))
+
+
+@register("a15_taxon_summary", V.ctes(SQL_A14) + f"""
+SELECT alpha_code, {rhe('s', 'n * 100', 2)} AS spp_mean_num, spp_max_num, spp_min_num
+FROM (SELECT alpha_code, sum(CAST(round(mean_num * 100) AS BIGINT)) AS s, count(*) AS n,
+             max(mean_num) AS spp_max_num, min(mean_num) AS spp_min_num FROM a14 GROUP BY alpha_code)""")
+def a15_taxon_summary(spark, d):
+    """Per code, mean / max / min of the rounded season means."""
+    return S.taxon_summary(S.taxon_season_summary(season_totals(spark, d)))
+
+
+@register("a16_season_total_summary", V.ctes(V.SQL_OBS) + f"""
+SELECT season, {rhe('s', 'n', 2)} AS seas_mean_num, seas_max_num, seas_min_num
+FROM (SELECT {C.season('visit_date', 2)} AS season, sum(summed_num) AS s, count(*) AS n,
+             max(summed_num) AS seas_max_num, min(summed_num) AS seas_min_num
+      FROM (SELECT visit_date, {strict_sum('section_final')} AS summed_num FROM obs GROUP BY visit_date)
+      GROUP BY 1)""")
+def a16_season_total_summary(spark, d):
+    """Daily totals -> season (rule 2) mean, max, min."""
+    return S.season_total_summary(V.obs(spark, d))
+
+
+@register("a17_section_mean_and_records", V.ctes(V.SQL_OBS) + f"""
+SELECT alpha_code, section, {rhe('s', 'n', 1)} AS spp_section_mean, n AS num_surveys_detected
+FROM (SELECT alpha_code, section, sum(section_final) AS s, count(*) AS n FROM obs GROUP BY alpha_code, section)""")
+def a17_section_mean_and_records(spark, d):
+    """(code, section) -> mean rounded to 1 digit, and record count."""
+    return S.section_mean_and_records(V.obs(spark, d))
+
+
+@register("a18_section_taxon_trend", V.ctes(OBS_CAL) + f"""
+SELECT alpha_code, section, study_year, round_even(ym, 6) AS spp_section_year_mean,
+       {rhe('sum(s) OVER (PARTITION BY alpha_code, section)', 'sum(n) OVER (PARTITION BY alpha_code, section)', 1)}
+       AS spp_section_mean
+FROM (SELECT alpha_code, section, study_year, avg(section_final) AS ym, sum(section_final) AS s, count(*) AS n
+      FROM obs_cal GROUP BY alpha_code, section, study_year)""")
+def a18_section_taxon_trend(spark, d):
+    """A18 (batch form): yearly means and rounded long-term mean of every (code, section)."""
+    r = S.section_taxon_trend(obs_cal(spark, d))
+    return r.withColumn("spp_section_year_mean", r6("spp_section_year_mean"))
+
+
+@register("a20_day_total", V.ctes(OBS_CAL) + f"""
+SELECT study_year, study_day, {strict_sum('section_final')} AS bay_total FROM obs_cal
+GROUP BY study_year, study_day""")
+def a20_day_total(spark, d):
+    """(study year, study day) -> total."""
+    return S.day_total(obs_cal(spark, d))
+
+
+@register("a25_value_summary", V.ctes(V.SQL_EVENTS_VALUES) + f"""
+SELECT species, round_even(max_count, 6) AS max_count, round_even(min_count, 6) AS min_count,
+       {rhe('s', 'n * 100', 1)} AS mean_count, n AS num_records
+FROM (SELECT species, max(count) AS max_count, min(count) AS min_count,
+             sum(CAST(round(count * 100) AS BIGINT)) AS s, count(*) AS n FROM events_values GROUP BY species)""")
+def a25_value_summary(spark, d):
+    """Per species max, min, mean (1 digit) and records, on signed counts."""
+    r = S.value_summary(V.events_values(spark, d))
+    return r.select("species", r6("max_count").alias("max_count"), r6("min_count").alias("min_count"),
+                    "mean_count", "num_records")
+
+
+SURVEY_TYPES = ["A", "N", "R"]
+
+
+@register("r18_totals_by_type_matrix", V.ctes(V.SQL_OBS) + "\nSELECT CAST(year(visit_date) AS INTEGER) AS year, "
+          + ", ".join(f"CAST(sum(section_final) FILTER (WHERE survey_type = '{t}') AS BIGINT) AS {t}"
+                      for t in SURVEY_TYPES) + "\nFROM obs GROUP BY 1")
+def r18_totals_by_type_matrix(spark, d):
+    """Calendar year x survey type totals, one column per type."""
+    return S.totals_by_type_matrix(V.obs(spark, d), SURVEY_TYPES)
+
+
+R19_CODE = "Brand#12"
+
+
+@register("r19_mean_median_series", V.ctes(SQL_BW) + f"""
+SELECT study_year, alpha_code, 'Mean' AS mean_median, round_even(mean_abund, 6) AS value FROM sm
+WHERE alpha_code = '{R19_CODE}'
+UNION ALL
+SELECT study_year, alpha_code, 'Median', round_even(med_abund, 6) FROM sm WHERE alpha_code = '{R19_CODE}'""")
+def r19_mean_median_series(spark, d):
+    """One code's yearly mean and median as a long series labelled Mean / Median."""
+    r = RS.mean_median_series(season_means(spark, d), R19_CODE)
+    return r.withColumn("value", r6("value"))
+
+
+# ---------------------------------------------------------------- taxa
+LUMP_MEMBERS = ["Brand#1", "Brand#2", "Brand#3"]
+LUMP_LABEL = "Brand#2"
+
+
+@register("a1_lump_taxa", V.ctes(V.SQL_OBS, f"""
+obs_a AS (SELECT {C.season()} AS season, visit_date, survey_num, section, alpha_code, section_final,
+                 CAST(NULL AS VARCHAR) AS data_is FROM obs)""") + f"""
+SELECT season, visit_date, survey_num, section, '{LUMP_LABEL}' AS alpha_code,
+       {strict_sum('section_final')} AS section_final, 'lumped.brand2' AS data_is
+FROM obs_a WHERE alpha_code IN ({_sql_list(LUMP_MEMBERS)}) GROUP BY season, visit_date, survey_num, section
+UNION ALL
+SELECT season, visit_date, survey_num, section, alpha_code, section_final, data_is FROM obs_a
+WHERE alpha_code IS NULL OR alpha_code NOT IN ({_sql_list(LUMP_MEMBERS)})""")
+def a1_lump_taxa(spark, d):
+    """A1: member codes summed per (season, date, survey, section) into one label."""
+    o = with_season(V.obs(spark, d)).withColumn("data_is", F.lit(None).cast("string"))
+    return TX.lump_taxa(o, LUMP_MEMBERS, LUMP_LABEL, "lumped.brand2")
+
+
+@register("l1_attach_taxonomy", V.ctes(V.SQL_TAXA, SQL_BW) + """
+SELECT s.study_year, s.alpha_code, round_even(s.mean_abund, 6) AS mean_abund, t.common_name, t.species,
+       t.species_number
+FROM sm s LEFT JOIN taxa t ON s.alpha_code = t.alpha_code""")
+def l1_attach_taxonomy(spark, d):
+    """L1: taxonomy attached to yearly means (unmatched codes and 'all' keep NULL names)."""
+    r = TX.attach_taxonomy(season_means(spark, d), V.taxa(spark, d))
+    return r.select("study_year", "alpha_code", r6("mean_abund").alias("mean_abund"), "common_name",
+                    "species", "species_number")
+
+
+@register("l2_translate_codes", V.ctes(V.SQL_TAXA, V.SQL_NEW_YEAR_COUNTS) + """
+SELECT n.common_name, n.count, t.alpha_code
+FROM new_year_counts n LEFT JOIN (SELECT common_name, min(alpha_code) AS alpha_code FROM taxa GROUP BY 1) t
+  ON n.common_name = t.common_name""")
+def l2_translate_codes(spark, d):
+    """L2: common names of a tally translated to codes (no match -> NULL)."""
+    return TX.translate_codes(V.new_year_counts(spark, d), V.taxa(spark, d), "common_name", "alpha_code")
+
+
+# Test binding of F5: exact fixes and one regex fix on this data's names.
+F5_FIXES = [("exact", "blue anvil 2", "blue anvil 10"), ("regex", "small.ring", "blue gear 1"),
+            ("exact", "blue bolt 17", "blue bolt 12")]
+F5_SEASON = 2021
+
+
+def _f5_case():
+    parts = []
+    for kind, pat, new in F5_FIXES:
+        cond = f"common_name = '{pat}'" if kind == "exact" else f"coalesce(regexp_matches(common_name, '{pat}'), false)"
+        parts.append(f"WHEN {cond} THEN '{new}'")
+    return "CASE " + " ".join(parts) + " ELSE common_name END"
+
+
+SQL_F5 = V.SQL_TAXA + ",\n" + V.SQL_NEW_YEAR_COUNTS + f""",
+f5 AS (SELECT n.count AS baywide_count, t.alpha_code, CAST({F5_SEASON} AS INTEGER) AS season
+       FROM (SELECT {_f5_case()} AS common_name, count FROM new_year_counts) n
+       LEFT JOIN (SELECT common_name, min(alpha_code) AS alpha_code FROM taxa GROUP BY 1) t
+         ON n.common_name = t.common_name
+       WHERE n.count IS NOT NULL)"""
+
+
+def f5(spark, d):
+    return TX.normalise_names(V.new_year_counts(spark, d), V.taxa(spark, d), F5_SEASON, F5_FIXES)
+
+
+@register("f5_normalise_names", V.ctes(SQL_F5) + "\nSELECT baywide_count, alpha_code, season FROM f5")
+def f5_normalise_names(spark, d):
+    """ordered name fixes, translation to codes, season tag, NA counts dropped."""
+    return f5(spark, d)
+
+
+@register("u8_new_year_vs_history", V.ctes(SQL_F5, OBS_CAL, f"""
+hist AS (SELECT study_year AS season, alpha_code, {strict_sum('section_final')} AS baywide_count
+         FROM obs_cal WHERE survey_num = 1 GROUP BY study_year, visit_date, alpha_code)""") + """
+SELECT alpha_code, season, baywide_count, 'history' AS source FROM hist
+UNION ALL SELECT alpha_code, season, baywide_count, 'new' FROM f5""")
+def u8_new_year_vs_history(spark, d):
+    """U8: survey-1 history (A7) stacked with the new season's normalised tally."""
+    hist = S.first_survey_extract(S.baywide_counts(obs_cal(spark, d), carry=["survey_num"]))
+    hist = hist.filter(F.col("alpha_code") != "all").withColumnRenamed("study_year", "season")
+    return TX.new_year_vs_history(hist, f5(spark, d))
+
+
+@register("f6_detected_taxa", V.ctes(V.SQL_TAXA, V.SQL_OBS) + """
+SELECT t.common_name, c.species, t.species_number
+FROM (SELECT DISTINCT alpha_code AS species FROM obs WHERE section_final > 0) c
+LEFT JOIN taxa t ON c.species = t.alpha_code""")
+def f6_detected_taxa(spark, d):
+    """codes counted above zero with common names and taxonomic order."""
+    return TX.detected_taxa(V.obs(spark, d), V.taxa(spark, d))
+
+
+@register("f7_taxon_list", V.ctes(V.SQL_TAXA, V.SQL_OBS) + """
+SELECT DISTINCT o.alpha_code, t.common_name, t.species FROM obs o LEFT JOIN taxa t ON o.alpha_code = t.alpha_code""")
+def f7_taxon_list(spark, d):
+    """distinct (code, common name, scientific name) among records."""
+    named = TX.attach_taxonomy(V.obs(spark, d), V.taxa(spark, d), ["common_name", "species"])
+    return TX.taxon_list(named)
+
+
+@register("f7_species_list", V.ctes(V.SQL_EVENTS_VALUES) + "\nSELECT DISTINCT species FROM events_values")
+def f7_species_list(spark, d):
+    """distinct species of the raw records."""
+    return TX.taxon_list(V.events_values(spark, d), ["species"])

