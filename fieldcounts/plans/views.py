@@ -156,20 +156,29 @@ SQL_BLOCK_NAME = ("(['" + "', '".join(TRANSECTS) + "'][CAST(section % 3 + 1 AS I
                   "CAST(CAST(floor(section / 3) + 1 AS BIGINT) AS VARCHAR))")
 
 
-def status_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per visited (date, block) with the two survey flags."""
-    g = obs(spark, sf_dir).groupBy("visit_date", "section").agg(F.max("status").alias("status"))
+def status_obs(spark: SparkSession, sf_dir: str, pick: str = "max") -> DataFrame:
+    """One row per visited (date, block) with the two survey flags.
+
+    ``pick`` chooses which of the statuses met on a (date, block) decides:
+    ``max`` (the current table) or ``min`` (an older version, for U5)."""
+    agg = F.max if pick == "max" else F.min
+    g = obs(spark, sf_dir).groupBy("visit_date", "section").agg(agg("status").alias("status"))
     return g.select(
         "visit_date", block_name().alias("block"),
         (F.col("status") == "P").cast("int").alias("area_not_surveyed"),
         (F.col("status") == "F").cast("int").alias("no_birds_observed"))
 
 
-SQL_STATUS_OBS = SQL_OBS + f""",
-status_obs AS (
+def sql_status_obs(pick: str = "max", name: str = "status_obs") -> str:
+    return SQL_OBS + f""",
+{name} AS (
   SELECT visit_date, {SQL_BLOCK_NAME} AS block,
          CAST(status = 'P' AS INTEGER) AS area_not_surveyed, CAST(status = 'F' AS INTEGER) AS no_birds_observed
-  FROM (SELECT visit_date, section, max(status) AS status FROM obs GROUP BY visit_date, section))"""
+  FROM (SELECT visit_date, section, {pick}(status) AS status FROM obs GROUP BY visit_date, section))"""
+
+
+SQL_STATUS_OBS = sql_status_obs()
+STATUS_BLOCKS = [f"{TRANSECTS[s % 3]}_sec{s // 3 + 1}" for s in range(25)]
 
 
 # -------------------------------------------------- notes (documents, conversations)
@@ -340,3 +349,17 @@ sheet_tally AS (
   SELECT alpha_code AS "index", visit_date AS date, {_sheet_case('section')} AS section,
          {_sheet_case('transect')} AS transect, alpha_code AS species, CAST(sum(section_final) AS VARCHAR) AS tally
   FROM obs WHERE section BETWEEN 0 AND {max(SHEET_SECTIONS)} GROUP BY alpha_code, visit_date, obs.section)"""
+
+
+def sql_status_matrix(src: str = "status_obs", prefix: str = "") -> str:
+    """SQL of R16 over ``src``: CTEs ``{prefix}sl2`` (long) and ``{prefix}smat`` (wide)."""
+    cells = ", ".join(f"coalesce(max(surveyed) FILTER (WHERE block = '{b}'), 'no record') AS {b}"
+                      for b in STATUS_BLOCKS)
+    return f"""{prefix}sl2 AS (
+  SELECT visit_date, block,
+         CASE WHEN no_birds_observed = 1 THEN 'surveyed, no birds obs'
+              WHEN NOT (no_birds_observed = 1) THEN
+                CASE WHEN area_not_surveyed = 0 THEN 'surveyed' WHEN NOT (area_not_surveyed = 0) THEN 'not surveyed' END
+         END AS surveyed
+  FROM (SELECT DISTINCT visit_date, block, area_not_surveyed, no_birds_observed FROM {src})),
+{prefix}smat AS (SELECT visit_date, {cells} FROM {prefix}sl2 GROUP BY visit_date)"""
