@@ -9,6 +9,7 @@ from ..operators import reshape as RS
 from ..operators import shares as SH
 from ..operators import summaries as S
 from ..operators import taxa as TX
+from ..operators import trends as TR
 from . import sqlcal as C
 from . import views as V
 from .catalog import r6, register
@@ -712,3 +713,74 @@ def f7_taxon_list(spark, d):
 def f7_species_list(spark, d):
     """distinct species of the raw records."""
     return TX.taxon_list(V.events_values(spark, d), ["species"])
+
+
+# -------------------------------------------------------------- trends
+def _t975_sql(df_expr: str) -> str:
+    lst = "[" + ", ".join(repr(v) for v in TR.T975) + "]"
+    return (f"CASE WHEN {df_expr} BETWEEN 1 AND {TR.T_TABLE_MAX_DF} THEN {lst}[CAST({df_expr} AS INTEGER)] "
+            f"WHEN {df_expr} > {TR.T_TABLE_MAX_DF} THEN {TR.Z975} END")
+
+
+@register("m1_linear_trend", V.ctes(SQL_A14) + f"""
+SELECT alpha_code, round_even(b, 2) AS trend, round_even(b + half, 2) AS upper95ci, round_even(b - half, 2) AS lower95ci
+FROM (SELECT *, {_t975_sql('n - 2')} * CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2) / sxx) END
+             AS half
+      FROM (SELECT alpha_code, CAST(regr_count(mean_num, season) AS BIGINT) AS n, regr_slope(mean_num, season) AS b,
+                   regr_sxx(mean_num, season) AS sxx, regr_sxy(mean_num, season) AS sxy,
+                   regr_syy(mean_num, season) AS syy
+            FROM a14 GROUP BY alpha_code))""")
+def m1_linear_trend(spark, d):
+    """M1: per code, slope of the season mean on season with a 95 % interval (2 digits)."""
+    return TR.linear_trend(S.taxon_season_summary(season_totals(spark, d)), ["alpha_code"], "season", "mean_num")
+
+
+@register("m2_quadratic_trend", V.ctes(OBS_CAL, f"""
+dt AS (SELECT study_year, study_day, CAST({strict('sum', 'section_final')} AS DOUBLE) AS bay_total
+       FROM obs_cal GROUP BY study_year, study_day),
+c AS (SELECT study_year, CAST(study_day AS DOUBLE) - avg(CAST(study_day AS DOUBLE)) OVER (PARTITION BY study_year) AS u,
+             avg(CAST(study_day AS DOUBLE)) OVER (PARTITION BY study_year) AS xb, bay_total AS y
+      FROM dt WHERE study_day IS NOT NULL AND bay_total IS NOT NULL),
+g AS (SELECT study_year, count(*) AS n, any_value(xb) AS xb, sum(u*u) AS s2, sum(u*u*u) AS s3, sum(u*u*u*u) AS s4,
+             sum(y) AS sy, sum(u*y) AS suy, sum(u*u*y) AS suuy FROM c GROUP BY study_year),
+h AS (SELECT *, s4 - s2 * s2 / n AS q, suuy - sy * s2 / n AS r FROM g),
+k AS (SELECT *, s2 * q - s3 * s3 AS det,
+             n >= 3 AND abs(s2 * q - s3 * s3) > 1e-12 * greatest(abs(s2 * q), abs(s3 * s3), 1e-300) AS ok FROM h),
+cc AS (SELECT *, (suy * q - s3 * r) / det AS c1, (s2 * r - s3 * suy) / det AS c2 FROM k)""") + """
+SELECT study_year, n,
+       round_even(CASE WHEN ok THEN (sy - c2 * s2) / n - c1 * xb + c2 * xb * xb END, 4) AS intercept,
+       round_even(CASE WHEN ok THEN c1 - 2 * c2 * xb END, 6) AS linear,
+       round_even(CASE WHEN ok THEN c2 END, 9) AS quadratic
+FROM cc""")
+def m2_quadratic_trend(spark, d):
+    """M2: per study year, quadratic fit of day totals on study day."""
+    r = TR.quadratic_trend(S.day_total(obs_cal(spark, d)), ["study_year"], "study_day", "bay_total")
+    return r.select("study_year", "n", F.bround("intercept", 4).alias("intercept"),
+                    F.bround("linear", 6).alias("linear"), F.bround("quadratic", 9).alias("quadratic"))
+
+
+@register("m3_local_trend")
+def m3_local_trend(spark, d):
+    """M3: local quadratic smoother (span 0.75) of each code's yearly mean (no SQL twin; tolerance-tested)."""
+    sm = season_means(spark, d).filter(F.col("alpha_code") != "all")
+    return TR.local_trend(sm, ["alpha_code"], "study_year", "mean_abund", span=0.75)
+
+
+@register("m3_local_trend_all_taxa")
+def m3_local_trend_all_taxa(spark, d):
+    """M3 with span 1.1 on the all-codes yearly mean (one series)."""
+    a = S.all_taxa_annual_mean(obs_cal(spark, d)).withColumn("series", F.lit("all"))
+    return TR.local_trend(a, ["series"], "study_year", "all_wbirds", span=1.1)
+
+
+# ------------------------------------------------------------- sources
+@register("s3_analysis_table_roundtrip", V.ctes(OBS_CAL) + """
+SELECT visit_date, alpha_code, section, survey_type, survey_num, section_final, status, year_day, study_day,
+       study_year FROM obs_cal""")
+def s3_analysis_table_roundtrip(spark, d):
+    """S3: the analysis table saved as Parquet partitioned by study year, read back whole."""
+    from ..session import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "analysis")
+    files.write_analysis_table(obs_cal(spark, d), path)
+    return files.read_analysis_table(spark, path)
