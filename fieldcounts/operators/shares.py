@@ -13,7 +13,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nullsafe import if_else, in_set, not_in_set, safe_divide, strict_sum
+from ..functions.nullsafe import if_else, in_set, not_in_set, safe_divide, strict_avg, strict_sum
+
+
+def _strict_over(agg, c: str, w) -> F.Column:
+    """Window aggregate that is NULL when any value in the frame is NULL (R without na.rm)."""
+    return F.when(F.count(c).over(w) == F.count(F.lit(1)).over(w), agg(c).over(w))
 
 
 # W1
@@ -37,7 +42,7 @@ def top5_abundance(ranked: DataFrame, k: int = 5, year: str = "study_year", code
                    value: str = "mean_abund", other: str = "all.others") -> DataFrame:
     """Sum of means per (year, label): top-k codes keep their code, the rest are lumped."""
     lab = top_k_label(ranked, k, code, other)
-    return lab.groupBy(year, "abund_rank_spp").agg(F.sum(value).alias("abundance"))
+    return lab.groupBy(year, "abund_rank_spp").agg(strict_sum(value).alias("abundance"))
 
 
 def top_k_codes(ranked: DataFrame, k: int = 5, code: str = "alpha_code") -> DataFrame:
@@ -58,12 +63,12 @@ def cumulative_share(season_means: DataFrame, year: str = "study_year", code: st
                      value: str = "mean_abund", all_label: str = "all") -> DataFrame:
     """Per year: each code's total, running total by descending total, shares."""
     tot = (season_means.filter(F.col(code) != all_label).groupBy(year, code)
-           .agg(F.sum(value).alias("total")))
+           .agg(strict_sum(value).alias("total")))
     order = [F.col("total").desc_nulls_last(), F.col(code).asc_nulls_last()]
     run = Window.partitionBy(year).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(year)
-    return (tot.withColumn("cumu_sum", F.sum("total").over(run))
-            .withColumn("year_sum", F.sum("total").over(whole))
+    return (tot.withColumn("cumu_sum", _strict_over(F.sum, "total", run))
+            .withColumn("year_sum", _strict_over(F.sum, "total", whole))
             .withColumn("year_cum_prop", safe_divide("cumu_sum", "year_sum"))
             .withColumn("year_prop", safe_divide("total", "year_sum")))
 
@@ -84,7 +89,7 @@ def remaining_lump(cum: DataFrame, threshold: DataFrame, taxa: DataFrame, name_o
     j = cum.join(threshold, year, "full")
     lumped = if_else((F.col("year_cum_prop") > F.col("min_over90")) | in_set(code, always_lumped),
                      F.lit(label), F.col(code))
-    g = j.withColumn("alpha_code2", lumped).groupBy(year, "alpha_code2").agg(F.sum("total").alias("total2"))
+    g = j.withColumn("alpha_code2", lumped).groupBy(year, "alpha_code2").agg(strict_sum("total").alias("total2"))
     g = g.withColumnRenamed("alpha_code2", code)
     named = g.join(taxa.select(code, "common_name"), code, "left")
     named = named.withColumn("common_name", F.coalesce("common_name", F.lit(name_label)))
@@ -105,7 +110,7 @@ def daily_shares(obs: DataFrame, year: str = "study_year", date: str = "visit_da
     per = obs.groupBy(year, date, code).agg(strict_sum(value).alias("baywide_count"))
     day = Window.partitionBy(year, date)
     rank_w = day.orderBy(F.col("date_spp_proportion_all").desc_nulls_last(), F.col(code).asc_nulls_last())
-    return (per.withColumn("baywide_total_birds", F.sum("baywide_count").over(day))
+    return (per.withColumn("baywide_total_birds", _strict_over(F.sum, "baywide_count", day))
             .withColumn("date_spp_proportion_all", safe_divide("baywide_count", "baywide_total_birds"))
             .withColumn("abund_rank", F.row_number().over(rank_w)))
 
@@ -133,13 +138,13 @@ def years_class(df: DataFrame, value: str = "num_year_detected", cuts: tuple = (
 def yearly_share(daily: DataFrame, year: str = "study_year", code: str = "alpha_code",
                  cut: float = 0.05) -> DataFrame:
     """Mean daily share per (year, code), classed at ``cut``."""
-    g = daily.groupBy(year, code).agg(F.avg("date_spp_proportion_all").alias("mean_proportion"))
+    g = daily.groupBy(year, code).agg(strict_avg("date_spp_proportion_all").alias("mean_proportion"))
     return share_class(g, cut=cut)
 
 
 def all_year_share(yearly: DataFrame, code: str = "alpha_code", cut: float = 0.05) -> DataFrame:
     """Mean over years of the yearly mean share, classed at ``cut``."""
-    g = yearly.groupBy(code).agg(F.avg("mean_proportion").alias("mean_proportion"))
+    g = yearly.groupBy(code).agg(strict_avg("mean_proportion").alias("mean_proportion"))
     return share_class(g, cut=cut)
 
 
@@ -151,7 +156,7 @@ def section_vs_bay(obs: DataFrame, codes: Sequence[str] | None = None, year: str
     src = obs if codes is None else obs.filter(in_set(code, codes))
     per = src.groupBy(year, date, code, section).agg(strict_sum(value).alias("section_count"))
     w = Window.partitionBy(year, date, code)
-    return per.withColumn("baywide_count", F.sum("section_count").over(w))
+    return per.withColumn("baywide_count", _strict_over(F.sum, "section_count", w))
 
 
 # F12 family
