@@ -8,6 +8,7 @@ values Spark gathers itself (bounded by the pivot column's cardinality).
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,18 +39,35 @@ BLOCK_SCHEMA = T.StructType([
     T.StructField("survey_type", T.StringType())])
 
 
+def sheet_name_parts(name: str) -> tuple:
+    """(section, transect, field) of a sheet column name: the ordered repairs,
+    then a split on runs of non-alphanumerics; missing pieces are None and
+    pieces past the third are dropped (as ``separate`` does)."""
+    for old, new in SHEET_NAME_REPAIRS:
+        name = re.sub(old, new, name)
+    parts = re.split(r"[^A-Za-z0-9]+", name)
+    return tuple((parts + [None, None, None])[:3])
+
+
 # R1
 def wide_sheets_to_tally(wide: DataFrame, ids: Sequence[str] = ("index", "date")) -> DataFrame:
-    """Unpivot ``<section>_<transect>_species|tally`` pairs to one row per tally line."""
+    """Unpivot ``<section>_<transect>_species|tally`` pairs to one row per tally line.
+
+    The section / transect / field of a column depend on its name only, so
+    they are parsed once from the schema and carried as literals through the
+    unpivot; rows are never re-parsed.
+    """
     value_cols = [c for c in wide.columns if c not in ids and ("species" in c or "tally" in c)]
-    long = wide.unpivot(list(ids), [F.col(f"`{c}`").cast("string") for c in value_cols], "name", "value")
-    long = long.filter(F.col("value").isNotNull())
-    name = F.col("name")
-    for old, new in SHEET_NAME_REPAIRS:
-        name = F.regexp_replace(name, old, new)
-    parts = F.split(name, "[^A-Za-z0-9]+")
-    long = long.select(*ids, F.get(parts, 0).alias("section"), F.get(parts, 1).alias("transect"),
-                       F.get(parts, 2).alias("field"), "value")
+    cell = "struct<section:string,transect:string,field:string,value:string>"
+    vals = []
+    for c in value_cols:
+        sec, tr, fld = sheet_name_parts(c)
+        vals.append(F.struct(F.lit(sec).cast("string").alias("section"), F.lit(tr).cast("string").alias("transect"),
+                             F.lit(fld).cast("string").alias("field"),
+                             F.col(f"`{c}`").cast("string").alias("value")).cast(cell))
+    long = (wide.unpivot(list(ids), vals, "__name", "__cell")
+            .select(*ids, "__cell.section", "__cell.transect", "__cell.field", "__cell.value")
+            .filter(F.col("value").isNotNull()))
     keys = [*ids, "section", "transect"]
     return (long.groupBy(*keys).pivot("field", ["species", "tally"]).agg(F.max("value"))
             .select(*keys, "species", "tally"))
