@@ -9,10 +9,11 @@ of partitions, a setting, not the data).
 
 The order must be total (unique keys).  Range bounds come from sampling,
 and a second evaluation of the same plan may sample differently, so the
-numbered partitions are checkpointed (reliable storage named by
-``spark.checkpoint.dir``) before the sizes are counted: both the sizes and
-the final rows then read the same materialized partitions, and a lost
-executor costs a re-read, not a re-numbering.
+numbered partitions are written once as a Parquet table in the shared
+folder named by ``spark.checkpoint.dir`` (one job; an RDD checkpoint would
+compute its input twice) and read back: both the sizes and the final rows
+read the same materialized numbers, and a lost executor costs a re-read,
+not a re-numbering.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def _orders(order: Sequence) -> list[Column]:
     out = []
@@ -44,8 +47,10 @@ def global_sequence(df: DataFrame, order: Sequence, name: str = "seq",
     ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-              .checkpoint(eager=True))
+                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    path = scratch_path(spark, "sequence")
+    ranged.write.parquet(path)
+    ranged = spark.read.parquet(path)
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     # one row per partition: an unpartitioned window here touches n rows only
     offsets = sizes.select(

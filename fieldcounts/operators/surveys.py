@@ -3,9 +3,8 @@ K3, A19-A24).
 
 The survey calendar has one row per survey date, so windows over it are
 small (a study year's dates per partition).  It is joined back to the
-count table on (study year, date); its size is bounded by the number of
-dates, and AQE turns that join into a broadcast when the built calendar is
-small.
+count table on (study year, date) as a broadcast: its size is bounded by
+the number of days in the data's span, not by the number of records.
 """
 
 from __future__ import annotations
@@ -59,8 +58,14 @@ def survey_numbers(obs: DataFrame, overrides: Sequence[dict] = REFERENCE_OVERRID
 
 def attach_survey_numbers(obs: DataFrame, numbers: DataFrame, year: str = "study_year",
                           date: str = "visit_date") -> DataFrame:
-    """Corrected survey number of each record (the calendar comes from the same table)."""
-    return natural_join(obs, numbers.select(year, date, "cor_survey_num"), [year, date], "left")
+    """Corrected survey number of each record (the calendar comes from the same table).
+
+    The calendar holds one row per survey date, so its size is bounded by
+    the days in the data's span whatever the number of records: it is
+    broadcast, and the count table is not shuffled for this join.
+    """
+    cal = F.broadcast(numbers.select(year, date, "cor_survey_num"))
+    return natural_join(obs, cal, [year, date], "left")
 
 
 # W7

@@ -784,3 +784,14 @@ def s3_analysis_table_roundtrip(spark, d):
     path = scratch_path(spark, "analysis")
     files.write_analysis_table(obs_cal(spark, d), path)
     return files.read_analysis_table(spark, path)
+
+
+@register("s5_s2_csv_roundtrip", V.ctes(SQL_BW) + """
+SELECT study_year, visit_date, alpha_code, baywide_count FROM bwu""")
+def s5_s2_csv_roundtrip(spark, d):
+    """S5 + S2: the A6 summary exported as CSV with a header and read back with its schema."""
+    from ..session import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "summary")
+    files.write_csv_table(S.baywide_counts(obs_cal(spark, d)), path)
+    return files.read_csv_table(spark, path, "study_year int, visit_date date, alpha_code string, baywide_count long")

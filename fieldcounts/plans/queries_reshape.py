@@ -242,3 +242,17 @@ FROM old_wide WINDOW w AS (PARTITION BY YEAR, MONTH, DAY)""")
 def r20_old_day_total(spark, d):
     """Old wide rows with the taxon's total of the same date on every row (all dates)."""
     return RS.old_day_total(V.old_wide(spark, d), R20_TAXON)
+
+
+@register("s1_read_wide_sheets", V.ctes(V.SQL_SHEET_TALLY) + """
+SELECT "index", date, section, transect, species, tally FROM sheet_tally""")
+def s1_read_wide_sheets(spark, d):
+    """S1 + R1: wide sheets written as one CSV folder per survey date, read back and tallied."""
+    from ..session import scratch_path
+    from ..sources import files
+    wide = V.wide_sheet(spark, d)
+    path = scratch_path(spark, "sheets")
+    # one task per date, so each date's folder holds one sheet file
+    wide.repartition("date").write.partitionBy("date").option("header", True).csv(path)
+    cols = [c for c in wide.columns if c != "date"]
+    return RS.wide_sheets_to_tally(files.read_wide_sheets(spark, path, cols, skip_rows=0))
