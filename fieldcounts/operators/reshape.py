@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.nullsafe import as_text, if_else, natural_join, paste, strict_sum
+from ..functions.nullsafe import as_text, if_else, natural_join, paste
 from .sequence import global_sequence
 
 # Name repairs applied in this order before splitting sheet columns.
@@ -220,7 +220,7 @@ def coverage_long(matrix: DataFrame) -> DataFrame:
 
 # R16
 def status_matrix(status_rows: DataFrame, blocks: Sequence[str], date: str = "visit_date",
-                  block: str = "block", boat_markers: Sequence[str] = ("east_sec", "middle_sec", "west_sec"),
+                  block: str = "block", boat_markers: Sequence[str] = ("east.sec", "middle.sec", "west.sec"),
                   label: str = "no record") -> DataFrame:
     """Date x block survey status; boat blocks first; no row -> ``label``."""
     s = status_rows.select(date, block, "area_not_surveyed", "no_birds_observed").distinct()

@@ -17,7 +17,7 @@ EVENT_BLOCKS = ["b0", "b1", "b2", "b3"]
 
 
 def status_matrix(spark, d, pick="max"):
-    return RS.status_matrix(V.status_obs(spark, d, pick), V.STATUS_BLOCKS)
+    return RS.status_matrix(V.status_obs(spark, d, pick), V.STATUS_BLOCKS, boat_markers=V.STATUS_BOAT_MARKERS)
 
 
 @register("r16_status_matrix", V.ctes(V.SQL_STATUS_OBS, V.sql_status_matrix()) + "\nSELECT * FROM smat")

@@ -137,5 +137,5 @@ SELECT coalesce(m.visit_date, a.visit_date) AS visit_date, m.* EXCLUDE (visit_da
 FROM smat m FULL JOIN a27 a ON m.visit_date = a.visit_date""")
 def x6_missed_with_notes(spark, d):
     """The date x block status table beside each date's notes (full join on date)."""
-    m = RS.status_matrix(V.status_obs(spark, d), V.STATUS_BLOCKS)
+    m = RS.status_matrix(V.status_obs(spark, d), V.STATUS_BLOCKS, boat_markers=V.STATUS_BOAT_MARKERS)
     return N.missed_with_notes(m, digests(spark, d))

@@ -179,6 +179,7 @@ def sql_status_obs(pick: str = "max", name: str = "status_obs") -> str:
 
 SQL_STATUS_OBS = sql_status_obs()
 STATUS_BLOCKS = [f"{TRANSECTS[s % 3]}_sec{s // 3 + 1}" for s in range(25)]
+STATUS_BOAT_MARKERS = [f"{t}_sec" for t in TRANSECTS]
 
 
 # -------------------------------------------------- notes (documents, conversations)

@@ -64,3 +64,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/fieldcounts/{name}-{uuid.uuid4().hex}"
+
+
+def recommended_conf(largest_shuffle_bytes: int, executor_cores_total: int,
+                     target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
+    """Shuffle and scan settings sized to the data, for a cluster session.
+
+    The initial shuffle partition count gives about ``target_partition_bytes``
+    per partition of the largest shuffle (at least two waves of the cluster's
+    cores); AQE then coalesces small ones and splits skewed ones.
+    """
+    parts = max(2 * executor_cores_total, -(-largest_shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }
