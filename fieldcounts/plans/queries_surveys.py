@@ -176,3 +176,59 @@ def a24_effort_comparison(spark, d):
     """Summed means per (year, subset) with the year's number of surveys (right join)."""
     r = SV.effort_comparison(effort(spark, d), SV.surveys_per_year(numbers(spark, d)))
     return r.withColumn("total_birds", r6("total_birds"))
+
+
+# Whole-table variants: every date of the table is a survey (years with more than
+# four dates get no corrected number, so the subsets reduce to "all").
+SQL_EFFORT_ALL = SQL_NUM_ALL + """,
+eff AS (SELECT study_year, alpha_code, 'all' AS which_surveys, avg(bay_total) AS m FROM st GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '3', avg(bay_total) FROM st WHERE cor_survey_num < 4 GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '2', avg(bay_total) FROM st WHERE cor_survey_num < 3 GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '1', avg(bay_total) FROM st WHERE cor_survey_num < 2 GROUP BY 1, 2),
+spy AS (SELECT study_year, max(survey_num) AS survey_num FROM numbers GROUP BY study_year)"""
+
+
+def numbers_all(spark, d):
+    return SV.survey_numbers(with_study_day(V.obs(spark, d)))
+
+
+def obs_num_all(spark, d):
+    o = with_study_day(V.obs(spark, d))
+    return SV.attach_survey_numbers(o, SV.survey_numbers(o))
+
+
+@register("a19_between_survey_variation_all_dates", V.ctes(SQL_NUM_ALL) + """
+SELECT study_year, alpha_code, round_even(avg(bay_total), 6) AS mean_total,
+       round_even(stddev_samp(bay_total), 6) AS sd_total, count(*) AS num_surveys
+FROM st GROUP BY study_year, alpha_code""")
+def a19_between_survey_variation_all_dates(spark, d):
+    """A19 on every date of the table."""
+    r = SV.between_survey_variation(obs_num_all(spark, d))
+    return r.select("study_year", "alpha_code", r6("mean_total").alias("mean_total"),
+                    r6("sd_total").alias("sd_total"), "num_surveys")
+
+
+@register("a22_effort_subsets_all_dates", V.ctes(SQL_EFFORT_ALL) + """
+SELECT study_year, alpha_code, which_surveys, round_even(m, 6) AS mean_bay_survey_count FROM eff""")
+def a22_effort_subsets_all_dates(spark, d):
+    """A22 on every date of the table."""
+    r = SV.effort_subsets(obs_num_all(spark, d))
+    return r.withColumn("mean_bay_survey_count", r6("mean_bay_survey_count"))
+
+
+@register("a24_effort_comparison_all_dates", V.ctes(SQL_EFFORT_ALL) + """
+SELECT s.study_year, e.which_surveys, round_even(e.total_birds, 6) AS total_birds, s.survey_num
+FROM (SELECT study_year, which_surveys, sum(m) AS total_birds FROM eff GROUP BY 1, 2) e
+RIGHT JOIN spy s ON e.study_year = s.study_year""")
+def a24_effort_comparison_all_dates(spark, d):
+    """A23 + A24 on every date of the table."""
+    r = SV.effort_comparison(SV.effort_subsets(obs_num_all(spark, d)), SV.surveys_per_year(numbers_all(spark, d)))
+    return r.withColumn("total_birds", r6("total_birds"))
+
+
+@register("r17_survey_date_matrix_all_dates", V.ctes(SQL_NUM_ALL) + "\nSELECT study_year, " + ", ".join(
+    f"min(CAST(visit_date AS VARCHAR)) FILTER (WHERE cor_survey_num = {i}) AS s_{i}" for i in range(1, 5))
+    + " FROM numbers GROUP BY study_year")
+def r17_survey_date_matrix_all_dates(spark, d):
+    """R17 on every date of the table."""
+    return SV.survey_date_matrix(numbers_all(spark, d))
