@@ -221,11 +221,11 @@ def r15_coverage_totals(spark, d):
 
 
 @register("r15_coverage_long", V.ctes(SQL_COV) + """
-SELECT d.survey_date, CAST(b.temp_block AS DOUBLE) AS section,
-       CAST(count(c.temp_block) AS INTEGER) AS done
-FROM (SELECT DISTINCT survey_date FROM cov) d CROSS JOIN (SELECT DISTINCT temp_block FROM cov) b
-LEFT JOIN cov c ON c.survey_date = d.survey_date AND c.temp_block = b.temp_block
-GROUP BY d.survey_date, b.temp_block""")
+SELECT g.survey_date, CAST(g.temp_block AS DOUBLE) AS section, CAST(count(c.temp_block) AS INTEGER) AS done
+FROM (SELECT survey_date, unnest((SELECT list(DISTINCT temp_block) FROM cov)) AS temp_block
+      FROM (SELECT DISTINCT survey_date FROM cov)) g
+LEFT JOIN cov c ON c.survey_date = g.survey_date AND c.temp_block = g.temp_block
+GROUP BY g.survey_date, g.temp_block""")
 def r15_coverage_long(spark, d):
     """R14 back in long form with the block as a number (1.3)."""
     return RS.coverage_long(RS.coverage_matrix(V.old_wide(spark, d)))

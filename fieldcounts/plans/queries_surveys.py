@@ -108,9 +108,8 @@ def r17_survey_date_matrix(spark, d):
 
 
 @register("k3_sample_surveys", V.ctes(SQL_NUM, f"""
-grid AS (SELECT CAST(y AS INTEGER) AS study_year, CAST(s AS INTEGER) AS cor_survey_num
-         FROM (SELECT unnest(generate_series(min(study_year), max(study_year))) AS y FROM numbers),
-              (SELECT unnest([1, 2, 3, 4]) AS s)),
+grid AS (SELECT CAST(y AS INTEGER) AS study_year, CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS cor_survey_num
+         FROM (SELECT unnest(generate_series(min(study_year), max(study_year))) AS y FROM numbers)),
 picked AS (SELECT study_year, cor_survey_num FROM (
              SELECT *, row_number() OVER (PARTITION BY study_year ORDER BY
                  (CAST(study_year AS BIGINT) * 2654435761 + CAST(cor_survey_num AS BIGINT) * 40503
