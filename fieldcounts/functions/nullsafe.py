@@ -149,3 +149,9 @@ def natural_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     rest_l = [c for c in left.columns if c not in lk]
     rest_r = [c for c in right.columns if c not in rk]
     return joined.select(*key_cols, *rest_l, *rest_r)
+
+
+# K1: ordered output (only at sinks: a global sort is a range shuffle).
+def arrange(df: DataFrame, *keys) -> DataFrame:
+    """Sort like ``arrange``: ``"col"`` ascending, ``"-col"`` descending, NULLs last both ways."""
+    return df.orderBy(*sort_keys(*keys))

@@ -795,3 +795,14 @@ def s5_s2_csv_roundtrip(spark, d):
     path = scratch_path(spark, "summary")
     files.write_csv_table(S.baywide_counts(obs_cal(spark, d)), path)
     return files.read_csv_table(spark, path, "study_year int, visit_date date, alpha_code string, baywide_count long")
+
+
+@register("k1_ordered_survey_totals", V.ctes(OBS_CAL) + f"""
+SELECT alpha_code, study_year, visit_date, {strict_sum('section_final')} AS spp_survey_tot
+FROM obs_cal GROUP BY alpha_code, study_year, visit_date
+ORDER BY study_year ASC NULLS LAST, visit_date ASC NULLS LAST, spp_survey_tot DESC NULLS LAST, alpha_code""")
+def k1_ordered_survey_totals(spark, d):
+    """K1: survey totals in report order (year, date, descending total, code), NULLs last."""
+    from ..functions.nullsafe import arrange
+    return arrange(S.taxon_survey_total(obs_cal(spark, d)), "study_year", "visit_date", "-spp_survey_tot",
+                   "alpha_code")

@@ -63,3 +63,9 @@ def test_mean_rounded_strict(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", None)], "k string, v long")
     out = df.groupBy("k").agg(N.mean_rounded("v", 1).alias("m"))
     assert rows(out) == [("a", 1.5), ("b", None)]
+
+
+def test_arrange_puts_nulls_last_both_ways(spark):
+    df = spark.createDataFrame([(None, "b"), (2, "a"), (1, "c"), (2, "b")], "x int, y string")
+    assert [tuple(r) for r in N.arrange(df, "x", "y").collect()] == [(1, "c"), (2, "a"), (2, "b"), (None, "b")]
+    assert [tuple(r) for r in N.arrange(df, "-x", "y").collect()] == [(2, "a"), (2, "b"), (1, "c"), (None, "b")]
