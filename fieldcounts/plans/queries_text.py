@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import notes as N
 from ..operators import reshape as RS
 from . import views as V

@@ -48,15 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     alone.  Only a session without it (tests, local bench) gets a fresh
     folder under the system temp directory.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="fieldcounts-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 - some sessions refuse core settings at run time
+            pass
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from fieldcounts.operators import notes as N
 from fieldcounts.operators import quality as Q
 from conftest import rows

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from fieldcounts.functions.calendar import with_study_day
 from fieldcounts.operators import surveys as SV
 from conftest import rows
