@@ -30,6 +30,15 @@ LAND_BLOCKS = [(5, "walker_creek", "east", 1), (6, "cypress_grove", "east", 1),
                (7, "millerton_bivalve", "east", 1), (8, "bivalve", "east", 1),
                (9, "inverness", "west", 3)]
 
+# The taxon columns of the old wide table, in its order.
+OLD_TABLE_TAXA = ["COLO", "PALO", "PACOLO", "RTLO", "RTPALO", "LOON", "HOGR", "EAGR", "EAHOGR", "WEGR", "CLGR",
+                  "WECLGR", "RNGR", "PBGR", "AWPE", "BRPE", "DCCO", "BRCO", "PECO", "CORM", "GBHE", "GREG", "SNEG",
+                  "GRHE", "BCNH", "CAGO", "ROGO", "BRAN", "MALL", "GADW", "NOPI", "GWTE", "CITE", "AMWI", "EUWI",
+                  "NOSH", "REHE", "CANV", "RNDU", "GRSC", "LESC", "SCAUP", "COGO", "BAGO", "BUFF", "HADU", "WWSC",
+                  "SUSC", "SCOTER", "BLSC", "OLDS", "RUDU", "HOME", "RBME", "COME", "OSPR", "PEFA", "NOHA", "COMO",
+                  "AMCO", "REPH", "BOGU", "FOTE", "COMU", "RHAU", "PIGU", "CAAU", "BEKI", "KAYAK", "WODU", "KIEI",
+                  "GWFG", "AMCOGRSCLESCBUFF", "COMERBME", "MUSW"]
+
 OLD_WIDE_FIELDS = ["ID", "MONTH", "DAY", "YEAR", "SECTION", "BOAT", "BEAUFORT", "NOTES", "WATERBIRDLOG",
                    "PROOF_LEVEL", "Initials"]
 
@@ -96,7 +105,7 @@ def fill_label(df: DataFrame, label: str = "no record", cols: Sequence[str] | No
 
 
 # R3 (+ R4, R5)
-def key_wide_table(wide: DataFrame, blocks: DataFrame, taxa_cols: Sequence[str]) -> DataFrame:
+def key_wide_table(wide: DataFrame, blocks: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_TAXA) -> DataFrame:
     """Full join with the block dimension, date key, sequence-prefixed composite keys.
 
     The full join is a left join against the (fixed, 17-row) block table
@@ -148,7 +157,7 @@ def derive_blocks(keyed: DataFrame) -> DataFrame:
 
 
 # R10
-def derive_observations(keyed: DataFrame, taxa_cols: Sequence[str]) -> DataFrame:
+def derive_observations(keyed: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_TAXA) -> DataFrame:
     """One row per (block, taxon) with a global observation id in key order."""
     long = keyed.unpivot(["date_transect_block_key"], list(taxa_cols), "species", "count")
     long = long.withColumn("count", F.col("count").cast("long"))
@@ -168,7 +177,7 @@ LONG_COLUMNS = ["date_transect_block_key", "date_transect_key", "date_key", "sur
 
 
 # R12
-def unpivot_keyed_wide(keyed: DataFrame, taxa_cols: Sequence[str]) -> DataFrame:
+def unpivot_keyed_wide(keyed: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_TAXA) -> DataFrame:
     ids = ["date_transect_block_key", "date_transect_key", "date_key", "survey_block", "survey_type"]
     long = keyed.unpivot(ids, list(taxa_cols), "species", "count")
     return long.withColumn("count", F.col("count").cast("long")).select(*LONG_COLUMNS)

@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.nullsafe import if_else, in_set, not_in_set, safe_divide, strict_avg, strict_sum
 
 
+# The code sets of the section-versus-bay check, in report order.
+SECTION_CHECK_SETS = [["GRSC", "SCAUP"], ["DCCO", "BRAC"], ["BUFF"], ["SUSC"], ["RUDU"], ["HOGR", "EAGR", "HEGR"],
+                      ["BLBR"], ["AMCO"], ["WEGR"], ["AMWI"]]
+# Codes among the five most abundant in at least one year (the same report).
+MOST_ABUNDANT = ["SUSC", "BUFF", "SCAUP", "GRSC", "RUDU", "HOGR", "BLBR", "AMCO", "DCCO", "WEGR", "BRAC", "AMWI"]
+
+
 def _strict_over(agg, c: str, w) -> F.Column:
     """Window aggregate that is NULL when any value in the frame is NULL (R without na.rm)."""
     return F.when(F.count(c).over(w) == F.count(F.lit(1)).over(w), agg(c).over(w))
@@ -173,3 +180,17 @@ def with_codes(df: DataFrame, codes: Sequence[str], code: str = "alpha_code") ->
 
 def percent(df: DataFrame, value: str = "mean_proportion", name: str = "percent") -> DataFrame:
     return df.withColumn(name, F.col(value) * 100)
+
+
+def section_vs_bay_by_set(obs: DataFrame, code_sets: Sequence[Sequence[str]] = SECTION_CHECK_SETS,
+                          code: str = "alpha_code", **kw) -> DataFrame:
+    """W5 for several code sets at once, labelled by set ("GRSC,SCAUP", ...).
+
+    Section totals are computed once for all codes; each row is then emitted
+    once per set containing its code (sets may overlap).
+    """
+    per = section_vs_bay(obs, None, code=code, **kw)
+    sets = F.array(*[F.struct(F.lit(",".join(s)).alias("label"), F.array(*[F.lit(c) for c in s]).alias("codes"))
+                     for s in code_sets])
+    hits = F.filter(sets, lambda s: F.array_contains(s["codes"], F.col(code)))
+    return per.withColumn("__set", F.explode(hits)).withColumn("code_set", F.col("__set.label")).drop("__set")

@@ -806,3 +806,17 @@ def k1_ordered_survey_totals(spark, d):
     from ..functions.nullsafe import arrange
     return arrange(S.taxon_survey_total(obs_cal(spark, d)), "study_year", "visit_date", "-spp_survey_tot",
                    "alpha_code")
+
+
+W5_SETS = [["Brand#2", "Brand#3"], ["Brand#12"], ["Brand#2", "Brand#22"]]
+
+
+@register("w5_section_vs_bay_by_set", V.ctes(OBS_CAL, f"""
+sec AS (SELECT study_year, visit_date, alpha_code, section, {strict_sum('section_final')} AS section_count
+        FROM obs_cal GROUP BY study_year, visit_date, alpha_code, section),
+secb AS (SELECT *, CAST(sum(section_count) OVER (PARTITION BY study_year, visit_date, alpha_code) AS BIGINT)
+                AS baywide_count FROM sec)""") + "\n" + "\nUNION ALL\n".join(
+    f"SELECT *, '{','.join(s)}' AS code_set FROM secb WHERE alpha_code IN ({_sql_list(s)})" for s in W5_SETS))
+def w5_section_vs_bay_by_set(spark, d):
+    """W5 over several (overlapping) code sets in one pass, labelled by set."""
+    return SH.section_vs_bay_by_set(obs_cal(spark, d), W5_SETS)
