@@ -63,23 +63,29 @@ def wide_sheets_to_tally(wide: DataFrame, ids: Sequence[str] = ("index", "date")
     """Unpivot ``<section>_<transect>_species|tally`` pairs to one row per tally line.
 
     The section / transect / field of a column depend on its name only, so
-    they are parsed once from the schema and carried as literals through the
-    unpivot; rows are never re-parsed.
+    they are parsed once from the schema.  Each section's species and tally
+    columns are unpivoted together as one pair, so the rows come out whole:
+    no re-pivot, no aggregation, no shuffle.  A line whose species and tally
+    are both missing is dropped; one missing half stays missing.
     """
-    value_cols = [c for c in wide.columns if c not in ids and ("species" in c or "tally" in c)]
-    cell = "struct<section:string,transect:string,field:string,value:string>"
-    vals = []
-    for c in value_cols:
+    pairs: dict[tuple, dict] = {}
+    for c in wide.columns:
+        if c in ids or not ("species" in c or "tally" in c):
+            continue
         sec, tr, fld = sheet_name_parts(c)
-        vals.append(F.struct(F.lit(sec).cast("string").alias("section"), F.lit(tr).cast("string").alias("transect"),
-                             F.lit(fld).cast("string").alias("field"),
-                             F.col(f"`{c}`").cast("string").alias("value")).cast(cell))
-    long = (wide.unpivot(list(ids), vals, "__name", "__cell")
-            .select(*ids, "__cell.section", "__cell.transect", "__cell.field", "__cell.value")
-            .filter(F.col("value").isNotNull()))
-    keys = [*ids, "section", "transect"]
-    return (long.groupBy(*keys).pivot("field", ["species", "tally"]).agg(F.max("value"))
-            .select(*keys, "species", "tally"))
+        if fld in ("species", "tally"):
+            pairs.setdefault((sec, tr), {})[fld] = c
+    cell = "struct<section:string,transect:string,species:string,tally:string>"
+
+    def val(name):
+        return F.col(f"`{name}`").cast("string") if name is not None else F.lit(None).cast("string")
+
+    vals = [F.struct(F.lit(sec).cast("string").alias("section"), F.lit(tr).cast("string").alias("transect"),
+                     val(cols.get("species")).alias("species"), val(cols.get("tally")).alias("tally")).cast(cell)
+            for (sec, tr), cols in pairs.items()]
+    long = wide.unpivot(list(ids), vals, "__name", "__cell")
+    out = long.select(*ids, "__cell.section", "__cell.transect", "__cell.species", "__cell.tally")
+    return out.filter(F.col("species").isNotNull() | F.col("tally").isNotNull())
 
 
 # R2
@@ -94,14 +100,22 @@ def _mdy_text(m="MONTH", d="DAY", y="YEAR") -> Column:
     return paste(m, d, y, sep="-")
 
 
+def _fill(df: DataFrame, value, cols: Sequence[str] | None, kinds: tuple) -> DataFrame:
+    """NULL -> ``value`` in ``cols`` (default: every column of a matching type); names may hold dots."""
+    targets = set(cols) if cols is not None else {f.name for f in df.schema.fields
+                                                  if isinstance(f.dataType, kinds)}
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(value).cast(df.schema[c].dataType)).alias(c)
+                       if c in targets else F.col(f"`{c}`") for c in df.columns])
+
+
 # R5
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    return df.na.fill(0, list(cols)) if cols is not None else df.na.fill(0)
+    return _fill(df, 0, cols, (T.NumericType,))
 
 
 # R6
 def fill_label(df: DataFrame, label: str = "no record", cols: Sequence[str] | None = None) -> DataFrame:
-    return df.na.fill(label, list(cols)) if cols is not None else df.na.fill(label)
+    return _fill(df, label, cols, (T.StringType,))
 
 
 # R3 (+ R4, R5)
@@ -228,26 +242,43 @@ def coverage_long(matrix: DataFrame) -> DataFrame:
 
 
 # R16
+STATUS_LABELS = ["surveyed", "not surveyed", "surveyed, no birds obs"]
+
+
+def _status_label(code: Column) -> Column:
+    out = None
+    for i, lab in enumerate(STATUS_LABELS, start=1):
+        out = F.when(code == i, F.lit(lab)) if out is None else out.when(code == i, F.lit(lab))
+    return out
+
+
+def _status_code() -> Column:
+    """1 surveyed, 2 not surveyed, 3 surveyed with no birds (the second test overrides; NA stays NA)."""
+    first = if_else(F.col("area_not_surveyed") == 0, F.lit(1), F.lit(2))
+    return if_else(F.col("no_birds_observed") == 1, F.lit(3), first)
+
+
 def status_matrix(status_rows: DataFrame, blocks: Sequence[str], date: str = "visit_date",
                   block: str = "block", boat_markers: Sequence[str] = ("east.sec", "middle.sec", "west.sec"),
                   label: str = "no record") -> DataFrame:
-    """Date x block survey status; boat blocks first; no row -> ``label``."""
+    """Date x block survey status; boat blocks first; no row -> ``label``.
+
+    The pivot aggregates a numeric status code (hash aggregation) and maps it
+    to its label afterwards.
+    """
     s = status_rows.select(date, block, "area_not_surveyed", "no_birds_observed").distinct()
-    first = if_else(F.col("area_not_surveyed") == 0, F.lit("surveyed"), F.lit("not surveyed"))
-    status = if_else(F.col("no_birds_observed") == 1, F.lit("surveyed, no birds obs"), first)
-    s = s.withColumn("surveyed", status)
+    s = s.withColumn("__code", _status_code())
     ordered = [b for m in boat_markers for b in blocks if m in b]
     ordered += [b for b in blocks if b not in ordered]
-    wide = s.groupBy(date).pivot(block, list(blocks)).agg(F.max("surveyed"))
-    return fill_label(wide.select(date, *ordered), label, ordered)
+    wide = s.groupBy(date).pivot(block, list(blocks)).agg(F.max("__code"))
+    cells = [_status_label(F.col(f"`{b}`")).alias(b) for b in ordered]
+    return fill_label(wide.select(date, *cells), label, ordered)
 
 
 def status_long(status_rows: DataFrame, date: str = "visit_date", block: str = "block") -> DataFrame:
     """Long form of the R16 status (one row per visited date and block)."""
     s = status_rows.select(date, block, "area_not_surveyed", "no_birds_observed").distinct()
-    first = if_else(F.col("area_not_surveyed") == 0, F.lit("surveyed"), F.lit("not surveyed"))
-    return s.withColumn("surveyed", if_else(F.col("no_birds_observed") == 1,
-                                            F.lit("surveyed, no birds obs"), first))
+    return s.withColumn("surveyed", _status_label(_status_code()))
 
 
 # R19

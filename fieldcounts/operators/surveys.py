@@ -104,8 +104,8 @@ def survey_date_matrix(numbers: DataFrame, slots: int = 4, year: str = "study_ye
     """Study year x corrected survey number -> survey date as text (s_1 .. s_4)."""
     n = numbers.withColumn("__slot", F.concat(F.lit("s_"), F.col("cor_survey_num").cast("string")))
     names = [f"s_{i}" for i in range(1, slots + 1)]
-    return (n.groupBy(year).pivot("__slot", names).agg(F.min(F.col(date).cast("string")))
-            .select(year, *names))
+    wide = n.groupBy(year).pivot("__slot", names).agg(F.min(F.col(date)))
+    return wide.select(year, *[F.col(c).cast("string").alias(c) for c in names])
 
 
 # K3

@@ -105,33 +105,48 @@ survey_obs AS (
 
 # ----------------------------------------------------------- old_wide
 def old_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The old wide table: one row per (date, section), one column per taxon."""
+    """The old wide table: one row per (date, section), one column per taxon.
+
+    Text fields are built from numeric aggregates (priority digit, status
+    and line-status ranks), so the grouping runs as a hash aggregation.
+    """
     t = obs_with_type(spark, sf_dir)
     taxa = [F.sum(F.when(F.col("taxon_type") == v, F.col("section_final"))).cast("int").alias(v)
             for v in TAXON_TYPES]
+    digit = F.substring("priority", 1, 1).cast("int")
+    status_rank = F.when(F.col("status") == "F", 1).when(F.col("status") == "O", 2).otherwise(3)
+    line_rank = F.when(F.col("line_status") == "F", 0).otherwise(1)
     g = t.groupBy("visit_date", "section").agg(
-        F.min("order_key").alias("ID"),
-        (F.count(F.lit(1)) % 6).cast("int").alias("BEAUFORT"),
-        F.min("priority").alias("NOTES"),
-        F.when(F.max("survey_type") == "R", F.max("priority")).otherwise(F.lit("")).alias("WATERBIRDLOG"),
-        F.when(F.max("status") == "F", F.lit("")).when(F.max("status") == "O", F.lit("EP"))
-         .otherwise(F.lit("Pl")).alias("PROOF_LEVEL"),
-        F.concat(F.min("line_status"), F.max("line_status")).alias("Initials"),
+        F.min("order_key").alias("ID"), F.count(F.lit(1)).alias("__n"),
+        F.min(digit).alias("__dmin"), F.max(digit).alias("__dmax"),
+        F.max((F.col("survey_type") == "R").cast("int")).alias("__r"),
+        F.max(status_rank).alias("__st"), F.min(line_rank).alias("__lmin"), F.max(line_rank).alias("__lmax"),
         *taxa)
+    fo = F.array(F.lit("F"), F.lit("O"))
     return g.select(
         "ID",
         F.month("visit_date").alias("MONTH"), F.dayofmonth("visit_date").alias("DAY"),
         F.year("visit_date").alias("YEAR"),
         (F.floor(F.col("section") / 3) + 1).cast("int").alias("SECTION"),
         (F.col("section") % 3 + 1).cast("int").alias("BOAT"),
-        "BEAUFORT", "NOTES", "WATERBIRDLOG", "PROOF_LEVEL", "Initials", *TAXON_TYPES)
+        (F.col("__n") % 6).cast("int").alias("BEAUFORT"),
+        F.concat(F.lit("priority "), F.col("__dmin").cast("string")).alias("NOTES"),
+        F.when(F.col("__r") == 1, F.concat(F.lit("priority "), F.col("__dmax").cast("string")))
+         .otherwise(F.lit("")).alias("WATERBIRDLOG"),
+        F.when(F.col("__st") == 1, F.lit("")).when(F.col("__st") == 2, F.lit("EP")).otherwise(F.lit("Pl"))
+         .alias("PROOF_LEVEL"),
+        F.concat(F.element_at(fo, F.col("__lmin") + 1), F.element_at(fo, F.col("__lmax") + 1)).alias("Initials"),
+        *TAXON_TYPES)
 
 
 SQL_OLD_WIDE = SQL_OBS_WITH_TYPE + """,
 old_wide_g AS (
   SELECT visit_date, section, min(order_key) AS ID,
-         CAST(count(*) % 6 AS INTEGER) AS BEAUFORT, min(priority) AS NOTES,
-         CASE WHEN max(survey_type) = 'R' THEN max(priority) ELSE '' END AS WATERBIRDLOG,
+         CAST(count(*) % 6 AS INTEGER) AS BEAUFORT,
+         'priority ' || CAST(min(CAST(substr(priority, 1, 1) AS INTEGER)) AS VARCHAR) AS NOTES,
+         CASE WHEN max(survey_type) = 'R'
+              THEN 'priority ' || CAST(max(CAST(substr(priority, 1, 1) AS INTEGER)) AS VARCHAR) ELSE '' END
+           AS WATERBIRDLOG,
          CASE WHEN max(status) = 'F' THEN '' WHEN max(status) = 'O' THEN 'EP' ELSE 'Pl' END AS PROOF_LEVEL,
          min(line_status) || max(line_status) AS Initials,
          """ + ",\n         ".join(
@@ -162,11 +177,13 @@ def status_obs(spark: SparkSession, sf_dir: str, pick: str = "max") -> DataFrame
     ``pick`` chooses which of the statuses met on a (date, block) decides:
     ``max`` (the current table) or ``min`` (an older version, for U5)."""
     agg = F.max if pick == "max" else F.min
-    g = obs(spark, sf_dir).groupBy("visit_date", "section").agg(agg("status").alias("status"))
+    # statuses order F < O < P; a numeric rank keeps the grouping a hash aggregation
+    rank = F.when(F.col("status") == "F", 1).when(F.col("status") == "O", 2).when(F.col("status") == "P", 3)
+    g = obs(spark, sf_dir).groupBy("visit_date", "section").agg(agg(rank).alias("__rank"))
     return g.select(
         "visit_date", block_name().alias("block"),
-        (F.col("status") == "P").cast("int").alias("area_not_surveyed"),
-        (F.col("status") == "F").cast("int").alias("no_birds_observed"))
+        (F.col("__rank") == 3).cast("int").alias("area_not_surveyed"),
+        (F.col("__rank") == 1).cast("int").alias("no_birds_observed"))
 
 
 def sql_status_obs(pick: str = "max", name: str = "status_obs") -> str:
@@ -326,11 +343,15 @@ def wide_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
     aggs = []
     for s in SHEET_SECTIONS:
-        p = sheet_prefix(s)
         hit = F.col("section") == s
-        aggs.append(F.max(F.when(hit, F.col("alpha_code"))).alias(f"{p}_species"))
-        aggs.append(F.sum(F.when(hit, F.col("section_final"))).cast("string").alias(f"{p}_tally"))
-    return o.groupBy(F.col("alpha_code").alias("index"), F.col("visit_date").alias("date")).agg(*aggs)
+        aggs.append(F.sum(F.when(hit, F.col("section_final"))).alias(f"__t{s}"))
+    g = o.groupBy(F.col("alpha_code").alias("index"), F.col("visit_date").alias("date")).agg(*aggs)
+    # the line's code is the species wherever the section has a tally (numeric aggregates only)
+    cells = []
+    for s in SHEET_SECTIONS:
+        p, t = sheet_prefix(s), F.col(f"__t{s}")
+        cells += [F.when(t.isNotNull(), F.col("index")).alias(f"{p}_species"), t.cast("string").alias(f"{p}_tally")]
+    return g.select("index", "date", *cells)
 
 
 def _sheet_case(kind: str) -> str:

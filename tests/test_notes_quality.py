@@ -80,3 +80,15 @@ def test_key_mismatch_pattern_from_column(spark):
                                "k string, lookup string")
     out = Q.key_mismatch(df, "k", "lookup")
     assert rows(out, "k") == [("3.1-5-2000.west.inverness",)]   # "." in the lookup matches any character
+
+
+def test_status_matrix_labels_and_missing_cells(spark):
+    from fieldcounts.operators import reshape as RS
+    rows_ = [(D(2000, 1, 1), "east.sec1", 0, 0), (D(2000, 1, 1), "west.sec2", 1, 0),
+             (D(2000, 1, 2), "east.sec1", 1, 1), (D(2000, 1, 2), "bivalve", None, 0)]
+    st = spark.createDataFrame(rows_, "visit_date date, block string, area_not_surveyed int, no_birds_observed int")
+    m = RS.status_matrix(st, ["bivalve", "west.sec2", "east.sec1"])
+    assert m.columns == ["visit_date", "east.sec1", "west.sec2", "bivalve"]   # boat blocks first
+    got = {r.visit_date: tuple(r)[1:] for r in m.collect()}
+    assert got[D(2000, 1, 1)] == ("surveyed", "not surveyed", "no record")
+    assert got[D(2000, 1, 2)] == ("surveyed, no birds obs", "no record", "no record")   # NA flag -> NA -> no record
