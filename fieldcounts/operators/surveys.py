@@ -81,12 +81,14 @@ def survey_intervals(numbers: DataFrame, year: str = "study_year", date: str = "
     rows = numbers.filter(F.col("cor_survey_num") > 1)
     order = [F.col(day).asc_nulls_last(), F.col(date).asc_nulls_last()]
     w = Window.partitionBy(year).orderBy(*order)
+    back = Window.partitionBy(year).orderBy(F.col(day).desc_nulls_first(), F.col(date).desc_nulls_first())
     rows = (rows.withColumn("__rn", F.row_number().over(w))
             .withColumn("__pc", F.lag("cor_survey_num").over(w))
-            .withColumn("__pd", F.lag(day).over(w)))
-    key = F.struct(F.col(day).isNull(), F.col(day), F.col(date).isNull(), F.col(date))
-    last = rows.groupBy(year).agg(F.max_by("cor_survey_num", key).alias("__lc"),
-                                  F.max_by(day, key).alias("__ld"))
+            .withColumn("__pd", F.lag(day).over(w))
+            .withColumn("__rb", F.row_number().over(back)))
+    # each year's last row (first in reverse order): one row per study year
+    last = rows.filter(F.col("__rb") == 1).select(year, F.col("cor_survey_num").alias("__lc"),
+                                                   F.col(day).alias("__ld"))
     # one row per study year: ordering it in one partition is cheap
     yw = Window.orderBy(F.col(year).asc_nulls_last())
     prev = last.select(year, F.lag("__lc").over(yw).alias("__yc"), F.lag("__ld").over(yw).alias("__yd"))
@@ -95,7 +97,7 @@ def survey_intervals(numbers: DataFrame, year: str = "study_year", date: str = "
     pc = F.when(first, F.col("__yc")).otherwise(F.col("__pc"))
     pd = F.when(first, F.col("__yd")).otherwise(F.col("__pd"))
     interval = F.when(F.col("cor_survey_num") == pc + 1, F.col(day) - pd)
-    return j.withColumn("survey_interval", interval).drop("__rn", "__pc", "__pd", "__yc", "__yd")
+    return j.withColumn("survey_interval", interval).drop("__rn", "__rb", "__pc", "__pd", "__yc", "__yd")
 
 
 # R17
