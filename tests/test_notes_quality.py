@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from fieldcounts.operators import notes as N
 from fieldcounts.operators import quality as Q
 from conftest import rows
@@ -92,3 +94,16 @@ def test_status_matrix_labels_and_missing_cells(spark):
     got = {r.visit_date: tuple(r)[1:] for r in m.collect()}
     assert got[D(2000, 1, 1)] == ("surveyed", "not surveyed", "no record")
     assert got[D(2000, 1, 2)] == ("surveyed, no birds obs", "no record", "no record")   # NA flag -> NA -> no record
+
+
+def test_two_hunting_notes_double_the_counts_unless_deduped(spark):
+    notes = spark.createDataFrame(
+        [(D(2000, 1, 1), "b1", "hunters at dawn"), (D(2000, 1, 1), "b1", "more hunting later")],
+        "visit_date date, block string, block_notes string")
+    counts = spark.createDataFrame([(D(2000, 1, 1), "BUFF", 5, "b1")],
+                                   "visit_date date, species string, count long, block string")
+    low = N.lowered_notes(notes)
+    kept = N.with_hunters(counts, N.hunter_presence(low), ["BUFF"])
+    assert kept.agg(F.sum("count")).first()[0] == 10          # the reference's behaviour
+    once = N.with_hunters(counts, N.hunter_presence(low, dedupe=True), ["BUFF"])
+    assert once.agg(F.sum("count")).first()[0] == 5

@@ -72,3 +72,27 @@ def test_strict_sum_matches_r_sum(spark, data):
         ref.setdefault(k, []).append(v)
     for k, vs in ref.items():
         assert got[k] == (None if any(v is None for v in vs) else sum(vs))
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 3)), max_size=12),
+       st.lists(st.tuples(st.sampled_from(["a", "c", None]), st.integers(0, 3)), max_size=12),
+       st.sampled_from(["inner", "left", "full"]))
+def test_natural_join_matches_missing_keys(spark, left, right, how):
+    l = spark.createDataFrame(left, "k string, x int")
+    r = spark.createDataFrame(right, "k string, y int")
+    got = sorted((tuple(row) for row in N.natural_join(l, r, ["k"], how).collect()),
+                 key=lambda t: tuple((v is not None, v) for v in t))
+    ref = []
+    matched_r = set()
+    for lk, x in left:
+        hits = [(i, y) for i, (rk, y) in enumerate(right) if rk == lk]   # None == None matches, as in dplyr
+        for i, y in hits:
+            ref.append((lk, x, y))
+            matched_r.add(i)
+        if not hits and how in ("left", "full"):
+            ref.append((lk, x, None))
+    if how == "full":
+        ref += [(rk, None, y) for i, (rk, y) in enumerate(right) if i not in matched_r]
+    ref.sort(key=lambda t: tuple((v is not None, v) for v in t))
+    assert got == ref
