@@ -83,3 +83,16 @@ def test_effort_subsets_null_number_only_in_all(spark):
     e = SV.effort_subsets(obs_num)
     got = {r.which_surveys: r.mean_bay_survey_count for r in e.collect()}
     assert got == {"all": 25.0, "3": 20.0, "2": 15.0, "1": 10.0}
+
+
+def test_effort_all_equals_bay_mean_on_driver_tables(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from fieldcounts.plans import views as V
+    o = with_study_day(V.survey_obs(spark, SF_SMALL))
+    on = SV.attach_survey_numbers(o, SV.survey_numbers(o))
+    a22 = SV.effort_subsets(on).filter(F.col("which_surveys") == "all").drop("which_surveys")
+    a21 = SV.bay_mean_by_taxon(on)
+    assert a22.count() == a21.count() > 0
+    assert a22.exceptAll(a21.select(*a22.columns)).count() == 0
