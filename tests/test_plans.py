@@ -53,3 +53,20 @@ def test_global_sequence_has_no_single_partition_exchange_on_rows(spark):
     assert "BroadcastExchange" in plan
     # the only single-partition exchange is on the per-partition sizes (after the aggregate)
     assert plan.count("SinglePartition") <= 1
+
+
+def test_record_level_aggregations_are_hash_based(spark):
+    from fieldcounts.operators import reshape as RS
+    for df in (V.old_wide(spark, SF_SMALL), V.status_obs(spark, SF_SMALL), V.wide_sheet(spark, SF_SMALL),
+               RS.status_matrix(V.status_obs(spark, SF_SMALL), V.STATUS_BLOCKS,
+                                boat_markers=V.STATUS_BOAT_MARKERS)):
+        plan = _plan(df)
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_sheet_unpivot_adds_no_shuffle(spark):
+    from fieldcounts.operators import reshape as RS
+    wide = V.wide_sheet(spark, SF_SMALL)
+    before = _plan(wide).count("Exchange hashpartitioning")
+    after = _plan(RS.wide_sheets_to_tally(wide)).count("Exchange hashpartitioning")
+    assert after == before
