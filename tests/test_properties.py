@@ -96,3 +96,21 @@ def test_natural_join_matches_missing_keys(spark, left, right, how):
         ref += [(rk, None, y) for i, (rk, y) in enumerate(right) if i not in matched_r]
     ref.sort(key=lambda t: tuple((v is not None, v) for v in t))
     assert got == ref
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["A", "B", "C", "D"]), st.integers(1, 50)),
+                min_size=1, max_size=80))
+def test_daily_shares_sum_to_one_and_rank_is_a_permutation(spark, data):
+    from fieldcounts.operators import shares as SH
+    base = dt.date(2000, 12, 1)
+    df = spark.createDataFrame([(2000, base + dt.timedelta(days=d), c, v) for d, c, v in data],
+                               "study_year int, visit_date date, alpha_code string, section_final long")
+    per_day = {}
+    for r in SH.daily_shares(df).collect():
+        per_day.setdefault(r.visit_date, []).append(r)
+    for rs in per_day.values():
+        assert abs(sum(r.date_spp_proportion_all for r in rs) - 1.0) < 1e-9
+        assert sorted(r.abund_rank for r in rs) == list(range(1, len(rs) + 1))
+        by_rank = sorted(rs, key=lambda r: r.abund_rank)
+        assert all(a.date_spp_proportion_all >= b.date_spp_proportion_all for a, b in zip(by_rank, by_rank[1:]))

@@ -70,3 +70,10 @@ def test_classes(spark):
     y = spark.createDataFrame([(10,), (11,), (20,), (21,)], "num_year_detected long")
     assert rows(SH.years_class(y), "num_year_detected", "abund_group") == [
         (10, "low"), (11, "middle"), (20, "middle"), (21, "high")]
+
+
+def test_baywide_all_row_is_distinct_from_a_null_code(spark):
+    o = spark.createDataFrame([(2000, D(2000, 12, 1), None, 1, 4), (2000, D(2000, 12, 1), "A", 1, 6)],
+                              "study_year int, visit_date date, alpha_code string, section int, section_final long")
+    got = rows(S.baywide_counts(o), "alpha_code", "baywide_count")
+    assert got == [(None, 4), ("A", 6), ("all", 10)]
