@@ -90,3 +90,14 @@ def test_key_wide_table_both_sides_of_full_join(spark):
     rebuilt = RS.rebuild_full_long(RS.derive_surveys(k), RS.derive_transects(k), blocks, obs)
     eq = RS.tables_equal(rebuilt.select(*RS.LONG_COLUMNS), RS.unpivot_keyed_wide(k, ["BUFF"])).first()
     assert eq.equal and eq.only_in_a == 0 and eq.only_in_b == 0
+
+
+def test_read_wide_sheets_crlf_and_date_folder(spark):
+    base = tempfile.mkdtemp(prefix="sheets2-")
+    os.makedirs(os.path.join(base, "date=2021-03-04"))
+    with open(os.path.join(base, "date=2021-03-04", "part-00000.csv"), "w", newline="") as f:
+        f.write("index,sec1_east_species,sec1_east_tally\r\n1,BUFF,3\r\n2,,\r\n")
+    w = files.read_wide_sheets(spark, base, ["index", "sec1_east_species", "sec1_east_tally"], skip_rows=0)
+    assert rows(w, "date", "index", "sec1_east_species", "sec1_east_tally") == [
+        (D(2021, 3, 4), "1", "BUFF", "3"), (D(2021, 3, 4), "2", None, None)]
+    assert rows(RS.wide_sheets_to_tally(w), "index", "species", "tally") == [("1", "BUFF", "3")]
