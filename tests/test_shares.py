@@ -77,3 +77,16 @@ def test_baywide_all_row_is_distinct_from_a_null_code(spark):
                               "study_year int, visit_date date, alpha_code string, section int, section_final long")
     got = rows(S.baywide_counts(o), "alpha_code", "baywide_count")
     assert got == [(None, 4), ("A", 6), ("all", 10)]
+
+
+def test_normalise_names_reference_fixes(spark):
+    counts = spark.createDataFrame(
+        [("Scaup sp.", 10), ("Horned Grebe spX", 2), ("Pac/Com Loon", 3), ("Surf Scoter", None), ("Mallard", 4)],
+        "common_name string, count long")
+    taxa = spark.createDataFrame(
+        [("SCAUP", "Scaup"), ("WCGR", "Western/Clark's Grebe"), ("PCLO", "Pacific/Common Loon"),
+         ("SUSC", "Surf Scoter")], "alpha_code string, common_name string")
+    out = TX.normalise_names(counts, taxa, 2021)
+    # the grebe rule is a regex ("." matches any character); NA counts go; unknown names get no code
+    assert rows(out, "alpha_code", "baywide_count", "season") == [
+        (None, 4, 2021), ("PCLO", 3, 2021), ("SCAUP", 10, 2021), ("WCGR", 2, 2021)]
