@@ -90,3 +90,15 @@ def test_normalise_names_reference_fixes(spark):
     # the grebe rule is a regex ("." matches any character); NA counts go; unknown names get no code
     assert rows(out, "alpha_code", "baywide_count", "season") == [
         (None, 4, 2021), ("PCLO", 3, 2021), ("SCAUP", 10, 2021), ("WCGR", 2, 2021)]
+
+
+def test_remaining_lump_threshold_duck_and_names(spark):
+    sm = spark.createDataFrame([(2000, "A", 60.0), (2000, "B", 30.0), (2000, "DUCK", 6.0), (2000, "C", 4.0)],
+                               "study_year int, alpha_code string, mean_abund double")
+    cum = SH.cumulative_share(sm)          # A 0.6, B 0.9, DUCK 0.96, C 1.0
+    thr = SH.share_threshold(cum)          # smallest cumulative share >= 0.9 is 0.9
+    taxa = spark.createDataFrame([("A", "Aname"), ("DUCK", "Duck sp.")], "alpha_code string, common_name string")
+    out = SH.remaining_lump(cum, thr, taxa, ["Aname", "Remaining spp."])
+    got = {r.alpha_code: (r.total2, r.common_name, r.common_name_order) for r in out.collect()}
+    assert got == {"A": (60.0, "Aname", 1), "B": (30.0, "Remaining spp.", 2),
+                   "Remaining spp": (10.0, "Remaining spp.", 2)}
