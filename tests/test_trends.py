@@ -72,3 +72,13 @@ def test_local_trend_reproduces_a_parabola(spark):
     df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y)], "g int, x double, y double")
     got = TR.local_trend(df, ["g"], "x", "y").select((F.col("fitted") - F.col("y")).alias("e")).collect()
     assert max(abs(r.e) for r in got) < 1e-8
+
+
+def test_linear_trend_drops_incomplete_pairs(spark):
+    data = [("g", 1.0, 1.0), ("g", 2.0, None), ("g", 3.0, 3.0), ("g", 4.0, 5.0),
+            ("two", 1.0, 1.0), ("two", 2.0, 2.0)]
+    df = spark.createDataFrame(data, "k string, x double, y double")
+    out = {r.k: r for r in TR.linear_trend(df, ["k"], "x", "y").collect()}
+    b, _ = np.polyfit([1.0, 3.0, 4.0], [1.0, 3.0, 5.0], 1)
+    assert out["g"].trend == round(b, 2) and out["g"].upper95ci is not None   # 3 complete pairs: interval
+    assert out["two"].trend == 1.0 and out["two"].upper95ci is None          # 2 pairs: no interval
