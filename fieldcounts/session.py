@@ -9,6 +9,7 @@ comes from the platform; we only fill settings that are unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,15 +43,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only if unset.
+    """Return the shared checkpoint folder the session names.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is left
-    alone.  Only a session without it (tests, local bench) gets a fresh
-    folder under the system temp directory.
+    On a cluster ``spark.checkpoint.dir`` must name shared storage; without it
+    this fails, because a folder of our own choosing would lie on one machine.
+    Only a ``local[...]`` session (tests, local bench), whose driver and
+    executors are one process, gets a fresh scratch folder instead.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="fieldcounts-ckpt-")
         sc.setCheckpointDir(current)
         try:
@@ -66,22 +70,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/fieldcounts/{name}-{uuid.uuid4().hex}"
-
-
-def recommended_conf(largest_shuffle_bytes: int, executor_cores_total: int,
-                     target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
-    """Shuffle and scan settings sized to the data, for a cluster session.
-
-    The initial shuffle partition count gives about ``target_partition_bytes``
-    per partition of the largest shuffle (at least two waves of the cluster's
-    cores); AQE then coalesces small ones and splits skewed ones.
-    """
-    parts = max(2 * executor_cores_total, -(-largest_shuffle_bytes // target_partition_bytes))
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-    }
