@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import bpe, quality, warc
 
 QUERIES = {
+    "op1_quality_rules": (quality.quality_query, None),
+    "op9_bpe_roundtrip": (bpe.bpe_query, None),
     "op10_warc_archive": (warc.archive_pages, warc.ARCHIVE_SQL),
 }
 
