@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, warc
+from . import bpe, packing, quality, warc
 
 QUERIES = {
     "op1_quality_rules": (quality.quality_query, None),
+    "op8_best_fit_packing": (packing.packing_query, None),
     "op9_bpe_roundtrip": (bpe.bpe_query, None),
     "op10_warc_archive": (warc.archive_pages, warc.ARCHIVE_SQL),
 }
