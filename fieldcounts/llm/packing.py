@@ -6,8 +6,7 @@ their lengths alone, and there are at most ``capacity`` different lengths, so
 the plan is made on the histogram of lengths (on the driver, whatever the
 number of documents):
 
-1. Large lengths (over ``capacity / SMALL_SHARE``) are split into ``groups``
-   groups of equal cardinality and rounded up to the longest of their group.
+1. Large lengths (over ``capacity / share``) are split into ``groups`` groups of equal cardinality and rounded up to the longest of their group.
 2. Configurations of these few sizes are optimised: a linear program over all
    of them, solved by column generation (the next configuration is a knapsack
    over the current prices); its whole part is taken.
@@ -16,6 +15,9 @@ number of documents):
 4. The rest, longest first, goes to the fullest sequences it still fits (best
    fit), new sequences being opened where none fits.
 
+This is done for a few bounds of large lengths and numbers of groups; the plan
+with the fewest sequences is taken.
+
 The plan speaks of runs ("the next n pieces of length l lie in the n sequences
 from s on, at offset o"), so its size depends on the lengths and not on the
 number of pieces.  Pieces get their place by their rank among the pieces of
@@ -42,8 +44,8 @@ from .common import cut, table, text_batches
 
 CAPACITY = 2048
 CLOSING_ID = 0
-GROUPS = 32             # groups of equal cardinality that large lengths are rounded to
-SMALL_SHARE = 3         # lengths up to capacity / SMALL_SHARE are small
+GROUPS = (8, 32)        # numbers of groups of equal cardinality that large lengths are rounded to
+SMALL_SHARES = (4, 3, 2)   # lengths up to capacity / share are small
 RANK_GROUP = 256        # pieces of one length ranked together, at least
 RANK_GROUPS = 100_000   # groups of ranked pieces, about, at most (more pieces make larger groups)
 
@@ -142,17 +144,25 @@ class Runs:
             count -= take
 
 
-def make_plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> np.ndarray:
+def make_plan(counts: np.ndarray, capacity: int = CAPACITY, groups=GROUPS, shares=SMALL_SHARES) -> np.ndarray:
     """Rows (length, first rank, number, first sequence, offset), ranks ascending for each length.
 
-    ``counts[l]`` is the number of pieces of length l, for l up to the capacity.
+    ``counts[l]`` is the number of pieces of length l, for l up to the
+    capacity.  Of the plans for the given numbers of groups and bounds of
+    small lengths, the first with the fewest sequences is taken.
     """
+    plans = [plan_once(counts, capacity, g, share) for share in shares for g in groups]
+    return min(plans, key=lambda p: p[0])[1]
+
+
+def plan_once(counts: np.ndarray, capacity: int, groups: int, share: int) -> tuple[int, np.ndarray]:
+    """Number of sequences and rows of the plan for one number of groups and one bound of small lengths."""
     left = counts.astype(np.int64).copy()
     runs = Runs(capacity)
     if left[capacity]:
         runs.rows.append((capacity, int(left[capacity]), runs.open(int(left[capacity])), 0))
         left[capacity] = 0
-    of = equal_groups(left, capacity // SMALL_SHARE + 1, groups)
+    of = equal_groups(left, capacity // share + 1, groups)
     n_groups = int(of.max(initial=-1)) + 1
     if n_groups:
         sizes = np.array([np.flatnonzero(of == g).max() for g in range(n_groups)])
@@ -187,7 +197,7 @@ def make_plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
     before = np.cumsum(rows[:, 1]) - rows[:, 1]
     start = np.searchsorted(rows[:, 0], rows[:, 0])     # first row of the same length
-    return np.column_stack([rows[:, 0], before - before[start] if len(rows) else before, rows[:, 1:]])
+    return runs.next, np.column_stack([rows[:, 0], before - before[start] if len(rows) else before, rows[:, 1:]])
 
 
 # ---------------------------------------------------------------- the work on the pieces
@@ -220,14 +230,14 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                              + ", ids binary" * with_ids))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups=GROUPS, shares=SMALL_SHARES) -> DataFrame:
     """``pieces`` (a written table with ``length``, ``doc_id``, ``piece``) with ``sequence_id`` and ``offset`` appended."""
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").count().collect():     # at most ``capacity`` rows
         counts[length] = n
     size = max(RANK_GROUP, -(-int(counts.sum()) // RANK_GROUPS))
-    plan = make_plan(counts, capacity, groups)
+    plan = make_plan(counts, capacity, groups, shares)
 
     salts = F.array(*[F.lit(int(max(1, -(-int(n) // size)))) for n in counts])
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"),
