@@ -198,8 +198,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = Automaton(merges, model["vocab"], model.get("end_of_word_suffix") or "")
+        self.build(path, model)
         self.labels = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels |= {i: t for t, i in self.special.items()}
@@ -211,15 +210,22 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}      # white-space separated piece -> its ids
         self.known: dict[str, bytes] = {}       # word -> its ids
 
+    def build(self, path: str, model: dict) -> None:
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.automaton = Automaton(merges, model["vocab"], model.get("end_of_word_suffix") or "")
+
     def _word(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
-            ids = self.automaton.encode("".join(map(self.letters.__getitem__, word.encode("utf-8"))))
+            ids = self.word_ids("".join(map(self.letters.__getitem__, word.encode("utf-8"))))
             found = self.known[word] = np.array(ids, dtype="<u4").tobytes()
         return found
 
+    def word_ids(self, letters: str) -> list[int]:
+        return self.automaton.encode(letters)
+
     def _piece(self, piece: str) -> bytes:
         if self.specials and "<|" in piece:
             parts = self.specials.split(piece)

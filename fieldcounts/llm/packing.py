@@ -6,7 +6,8 @@ their lengths alone, and there are at most ``capacity`` different lengths, so
 the plan is made on the histogram of lengths (on the driver, whatever the
 number of documents):
 
-1. Large lengths (over ``capacity / share``) are split into ``groups`` groups of equal cardinality and rounded up to the longest of their group.
+1. Large lengths (over ``capacity / share``) are split into ``groups`` groups
+   of equal cardinality and rounded up to the longest of their group.
 2. Configurations of these few sizes are optimised: a linear program over all
    of them, solved by column generation (the next configuration is a knapsack
    over the current prices); its whole part is taken.
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .bpe import default_tokenizer, encoder
+from .bpe import Encoder, default_tokenizer
 from .common import cut, table, text_batches
 
 CAPACITY = 2048
@@ -202,6 +204,23 @@ def plan_once(counts: np.ndarray, capacity: int, groups: int, share: int) -> tup
 
 # ---------------------------------------------------------------- the work on the pieces
 
+class LibraryEncoder(Encoder):
+    """An encoder whose words are merged by the tokenizers library itself."""
+
+    def build(self, path: str, model: dict) -> None:
+        from tokenizers import Tokenizer
+        self.model = Tokenizer.from_file(path).model
+
+    def word_ids(self, letters: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(letters)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> LibraryEncoder:
+    """One encoder per Python worker and file."""
+    return LibraryEncoder(path)
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
                  closing_id: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text",
                  with_ids: bool = False) -> DataFrame:
