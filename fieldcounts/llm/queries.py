@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, language, packing, quality, substring, toxicity, warc
+from . import bpe, language, packing, pii, quality, substring, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": (quality.quality_query, None),
     "op3_toxicity": (toxicity.toxicity_query, None),
+    "op4_pii_surrogates": (pii.pii_query, None),
     "op5_language": (language.language_query, None),
     "op6_substring_dedup": (substring.substring_query, None),
     "op8_best_fit_packing": (packing.packing_query, None),
