@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, packing, pii, quality, substring, toxicity, warc
+from . import bpe, language, minhash, packing, pii, quality, substring, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": (quality.quality_query, None),
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pii_surrogates": (pii.pii_query, None),
     "op5_language": (language.language_query, None),
     "op6_substring_dedup": (substring.substring_query, None),
+    "op7_weighted_minhash": (minhash.dedup_query, None),
     "op8_best_fit_packing": (packing.packing_query, None),
     "op9_bpe_roundtrip": (bpe.bpe_query, None),
     "op10_warc_archive": (warc.archive_pages, warc.ARCHIVE_SQL),
