@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, language, minhash, packing, pii, quality, substring, toxicity, warc
+from . import bpe, embed_dedup, language, minhash, packing, pii, quality, substring, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": (quality.quality_query, None),
+    "op2_embedding_links": (embed_dedup.embedding_query, embed_dedup.EMBEDDING_SQL),
     "op3_toxicity": (toxicity.toxicity_query, None),
     "op4_pii_surrogates": (pii.pii_query, None),
     "op5_language": (language.language_query, None),
