@@ -34,6 +34,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_length(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with its length column, if it has one, set to the text's length."""
+    if length_col not in docs.columns:
+        return docs
+    kind = docs.schema[length_col].dataType
+    return docs.withColumn(length_col, F.length(text_col).cast(kind))
+
+
 def crc_remainder(column, modulus: int):
     """crc32 of the column's decimal text modulo ``modulus`` (NULL for NULL)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, table, with_length
 
 KEY = "documented test key: pass your own"
 WIDEN = 6
@@ -283,4 +283,4 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, personal data and secrets replaced."""
-    return replace_entities(docs)
+    return with_length(replace_entities(docs))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, text_batches
+from .common import cut, table, text_batches, with_length
 
 SHORT_WORDS = 5
 MIN_WORDS = 10
@@ -254,4 +254,5 @@ def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without repeated passages; those left without a word go."""
-    return remove_repeats(docs).filter(r"text IS NULL OR text RLIKE '\\S'").select(*docs.columns)
+    left = remove_repeats(docs).filter(F.col("text").isNull() | F.col("text").rlike(r"\S"))
+    return with_length(left).select(*docs.columns)
