@@ -258,10 +258,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             columns = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "links", "root"])
 
+    text_batches(vectors.sparkSession, 8)         # rows hold two blocks of vectors
     pairs = tasks.join(body, ["label", "width", "block"]).join(body_b, ["label", "width", "block_b"])
     found = cut(pairs.select("width", "block", "block_b", "ids", "many", "data", "ids_b", "many_b", "data_b")
                 .repartition(F.xxhash64("label", "block", "block_b"))
                 .mapInArrow(compare, "id long, links long, root long"), "vec-found")
+    text_batches(vectors.sparkSession)
     links = cut(found.groupBy("id").agg(F.sum("links").alias("links")), "vec-links")
     groups = components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")), "vec-groups")
     near = links.join(groups, "id").select(F.col("id").alias("rep"), "links", "component")

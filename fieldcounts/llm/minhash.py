@@ -16,12 +16,13 @@ shingle points into.  Texts that agree on all rows of a band share a bucket;
 with 14 bands of 4 rows a pair of similarity 0.8 does with probability 0.9994.
 
 Buckets are not paired out.  Equal texts first become one class.  Then every
-member of a bucket is compared with the bucket's smallest class only, exactly,
-by weighted Jaccard similarity of the whole texts; verified links give
-components.  Only where a bucket still holds several components are members of
-different components compared, each member outside the bucket's largest
-component with the others.  So each candidate pair is either verified or
-already in one component.
+member of a bucket is compared with the bucket's hub only, the member that
+shares the most buckets with others (in a group of copies, most likely what
+they were copied from), exactly, by weighted Jaccard similarity of the whole
+texts; verified links give components.  Only where the members of a hub's
+buckets still are several components are those outside the largest compared
+with the others, in blocks of texts whose pairs never leave their task.  So
+each candidate pair is either verified or already in one component.
 
 Defined results: a NULL text and a text without words resemble nothing; a NULL
 id is never a duplicate (component NULL, kept); rows with one id are one
@@ -48,6 +49,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 CELLS, BLOCKS, LANES = 1 << 20, 16, 8
 DRAWS_BITS = 15
+BLOCK = 64
 GRID = 16.0
 CHUNK_CHARS = 1_000_000
 SEED = 20240229
@@ -305,6 +307,73 @@ def verified(pairs: DataFrame, texts: DataFrame, rare, name: str, threshold: flo
                .mapInArrow(run, "src long, dst long"), f"{name}-links")
 
 
+def links_between(left: list, right: list, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of ids of other components whose sets reach the threshold; items are (id, component, set)."""
+    hashes = np.concatenate([kinds for _, _, (kinds, _) in right])
+    order = np.argsort(hashes, kind="stable")
+    owner = np.repeat(np.arange(len(right)), [len(kinds) for _, _, (kinds, _) in right])[order]
+    weight = np.exp(np.concatenate([steps for _, _, (_, steps) in right]) / GRID)[order]
+    hashes, total = hashes[order], np.bincount(owner, weights=weight, minlength=len(right))
+    part = np.array([c for _, c, _ in right])
+    out = []
+    for own, component, (kinds, steps) in left:
+        mine = np.exp(steps / GRID)
+        lo, hi = np.searchsorted(hashes, kinds, "left"), np.searchsorted(hashes, kinds, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], weights=np.minimum(np.repeat(mine, n), weight[at]), minlength=len(right))
+        alike = both / (mine.sum() + total - both) >= threshold
+        out += [(own, right[k][0]) for k in np.flatnonzero(alike & (part != component))]
+    return out
+
+
+def linked_within(placed: DataFrame, texts: DataFrame, rare, threshold: float) -> DataFrame:
+    """Links across components among the members ``placed(hub, rep, component)`` of each hub's buckets.
+
+    Members outside their group's largest component are compared with all
+    others of the group.  Groups are dealt into blocks of about BLOCK texts; a
+    task compares two blocks exactly and returns the links alone, so a group
+    of any size is spread over tasks and no pair that is no link leaves one.
+    """
+    sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    mixed = cut(sizes.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
+                                         F.sum("n").alias("n"), F.count("*").alias("kinds"))
+                .filter("kinds > 1").select("hub", "largest", "n"), "near-mixed")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = cut(placed.join(mixed, "hub").select(
+        "hub", "rep", "component", (F.col("component") != F.col("largest")).alias("outside"),
+        F.pmod(F.xxhash64("rep"), parts).cast("int").alias("block")), "near-mixed-members")
+    used = cut(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id")
+               .select(F.col("id").alias("rep"), "text"), "near-2-texts")
+    blocks = cut(members.join(used, "rep").groupBy("hub", "block").agg(
+        F.collect_list(F.struct("rep", "component", "outside", "text")).alias("docs"),
+        F.max("outside").alias("outside")), "near-blocks")
+    one = blocks.select("hub", "block", "outside")
+    tasks = cut(one.filter("outside").select("hub", F.col("block").alias("a"))
+                .join(one.select("hub", F.col("block").alias("b")), "hub"), "near-block-pairs")
+
+    def run(batches):
+        for batch in batches:
+            src, dst = [], []
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                def sets(docs):
+                    made = [weighted_set(h, rare.value) for h in shingles([d["text"] for d in docs])]
+                    return [(d["rep"], d["component"], s) for d, s in zip(docs, made)]
+                left, right = left.as_py(), right.as_py()
+                for x, y in links_between(sets([d for d in left if d["outside"]]), sets(right), threshold):
+                    src.append(min(x, y))
+                    dst.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    body = blocks.select("hub", "block", "docs")
+    pairs = (tasks.join(body.select("hub", F.col("block").alias("a"), F.col("docs").alias("left")), ["hub", "a"])
+             .join(body.select("hub", F.col("block").alias("b"), F.col("docs").alias("right")), ["hub", "b"]))
+    text_batches(texts.sparkSession, 8)           # rows hold two blocks of texts
+    out = cut(pairs.select("left", "right").mapInArrow(run, "src long, dst long"), "near-2-links")
+    text_batches(texts.sparkSession)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = SIMILARITY) -> DataFrame:
     """(id, component, kept) for every row with an id: component is the smallest id of the row's group."""
@@ -318,35 +387,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = cut(classes.select("rep", F.explode("bands").alias("key"))
                   .groupBy("rep", "key").agg(F.lit(1).alias("one")).select("rep", "key"), "near-members")
-    buckets = cut(members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-                  .select("key", "hub"), "near-buckets")
-    inside = cut(members.join(buckets, "key"), "near-inside")
-    stars = cut(inside.filter("rep != hub").select("hub", F.col("rep").alias("id")).distinct(), "near-stars")
-    links = verified(stars, texts, rare, "near-1", threshold)
+    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+    inside = cut(members.join(shared, "key"), "near-inside")
+    degree = cut(inside.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree")), "near-degrees")
+    central = inside.join(degree, "rep").groupBy("key").agg(
+        F.max(F.struct("degree", (-F.col("rep")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("hub"))
+    grouped = cut(inside.join(cut(central, "near-hubs"), "key").filter("rep != hub").select("hub", "rep").distinct(),
+                  "near-grouped")
+    links = verified(grouped.select("hub", F.col("rep").alias("id")), texts, rare, "near-1", threshold)
 
-    # where a bucket still holds several components, its other members are compared across them
     found = components(links, "near-a")
-    placed = cut(inside.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-                 .select("key", "rep", F.coalesce("component", "rep").alias("component")), "near-placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = cut(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                         F.count("*").alias("kinds")).filter("kinds > 1").select("key", "largest"),
-                "near-mixed")
-    open_members = cut(placed.join(mixed, "key"), "near-open")
-    few = open_members.filter("component != largest").select("key", F.col("rep").alias("a"),
-                                                              F.col("component").alias("ca"))
-    every = open_members.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = cut(few.join(every, "key").filter("ca != cb")
-               .select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("id")).distinct()
-               .join(stars, ["hub", "id"], "left_anti"), "near-rest")
-    more = verified(rest, texts, rare, "near-2", threshold)
+    placed = cut(grouped.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+                 .select("hub", "rep", F.coalesce("component", "rep").alias("component")), "near-placed")
+    more = linked_within(placed, texts, rare, threshold)
 
     reps = components(links.union(more), "near-b")
     own = classes.select("digest", "rep").join(reps.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
-    grouped = signed.select("id", "digest").join(cut(own, "near-own"), "digest").groupBy("id").agg(
+    groups = signed.select("id", "digest").join(cut(own, "near-own"), "digest").groupBy("id").agg(
         F.min("component").alias("component"))
-    return cut(grouped, "near-groups")
+    return cut(groups, "near-groups")
 
 
 def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
