@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from .nullsafe import _col
 
-# Fixed values of the reference calendar: the Nov 1 lookup covers these years.
-CALENDAR_FIRST_YEAR = 1989
-CALENDAR_LAST_YEAR = 2020
-
 
 def study_year(date) -> Column:
     """Months before June belong to the previous study year (rule 1)."""
@@ -37,13 +33,13 @@ def season(date, rule: int = 1) -> Column:
     raise ValueError("rule must be 1 or 2")
 
 
-def study_day(date, first_year: int = CALENDAR_FIRST_YEAR,
-              last_year: int = CALENDAR_LAST_YEAR) -> Column:
+def study_day(date, first_year: int | None = None, last_year: int | None = None) -> Column:
     """Days after Nov 1 of the calendar year; earlier days count on from Dec 31.
 
     Keeps the reference's result exactly: Nov 1 itself is not "after" Nov 1,
-    so it gets ``yday + (dec31 - nov1)`` (365, or 366 in leap years); calendar
-    years outside ``[first_year, last_year]`` give NULL (no lookup row).
+    so it gets ``yday + (dec31 - nov1)`` (365, or 366 in leap years).  With
+    ``first_year`` and ``last_year`` (the surveyed lookup has 1989 to 2020),
+    other calendar years give NULL, as a lookup without their row does.
     """
     d = _col(date)
     y = F.year(d)
@@ -51,7 +47,9 @@ def study_day(date, first_year: int = CALENDAR_FIRST_YEAR,
     nov1 = F.dayofyear(F.make_date(y, F.lit(11), F.lit(1)))
     dec31 = F.dayofyear(F.make_date(y, F.lit(12), F.lit(31)))
     value = F.when(yday > nov1, yday - nov1).otherwise(yday + (dec31 - nov1))
-    return F.when(y.between(first_year, last_year), value)
+    if first_year is not None:
+        value = F.when(y >= first_year, value)
+    return value if last_year is None else F.when(y <= last_year, value)
 
 
 def survey_period(date) -> Column:
@@ -64,8 +62,8 @@ def survey_period(date) -> Column:
             .when(m == 2, 4))
 
 
-def with_study_day(df: DataFrame, date: str = "visit_date", first_year: int = CALENDAR_FIRST_YEAR,
-                   last_year: int = CALENDAR_LAST_YEAR) -> DataFrame:
+def with_study_day(df: DataFrame, date: str = "visit_date", first_year: int | None = None,
+                   last_year: int | None = None) -> DataFrame:
     """add ``year_day``, ``study_year`` and ``study_day``."""
     return df.withColumns({
         "year_day": F.dayofyear(F.col(date)),

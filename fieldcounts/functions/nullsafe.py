@@ -11,6 +11,7 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c) -> Column:
@@ -109,18 +110,26 @@ def round_half_even_ratio(num, den, digits: int) -> Column:
     return q_even.cast("double") / F.lit(float(scale))
 
 
-def mean_rounded(c, digits: int, cents: int = 0) -> Column:
-    """Strict mean of ``c`` rounded half-even to ``digits``, exactly.
+def ratio_rounded(total, n, kind: T.DataType, digits: int) -> Column:
+    """``total / n`` rounded half-even to ``digits``; ``kind`` is the type of the summed values.
 
-    ``c`` holds whole numbers, or numbers with at most ``cents`` decimals; they
-    are summed as integers so the ratio is exact.
+    Whole numbers and decimals are divided as integers (a decimal by its own
+    scale), so ties are exact; doubles are rounded as doubles.
     """
-    c = _col(c)
-    as_int = F.round(c * F.lit(10 ** cents)).cast("long") if cents else c.cast("long")
-    total = F.sum(as_int)
-    n = F.count(c)
-    rounded = round_half_even_ratio(total, n * F.lit(10 ** cents), digits)
-    return F.when((F.count(c) == F.count(F.lit(1))) & (n > 0), rounded)
+    total, n = _col(total), _col(n)
+    if isinstance(kind, T.IntegralType):
+        return round_half_even_ratio(total, n, digits)
+    if isinstance(kind, T.DecimalType):
+        unit = 10 ** kind.scale
+        return round_half_even_ratio((total * F.lit(unit)).cast("decimal(38,0)"), n * F.lit(unit), digits)
+    return F.bround(total.cast("double") / n, digits)
+
+
+def mean_rounded(df: DataFrame, column: str, digits: int) -> Column:
+    """Strict mean of a column of ``df`` rounded half-even to ``digits`` (see ``ratio_rounded``)."""
+    n = F.count(column)
+    rounded = ratio_rounded(F.sum(column), n, df.schema[column].dataType, digits)
+    return F.when((n == F.count(F.lit(1))) & (n > 0), rounded)
 
 
 # Dplyr joins match NA keys with NA keys.

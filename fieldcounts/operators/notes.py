@@ -58,24 +58,24 @@ def survey_notes_lower(notes: DataFrame, date: str = "visit_date", text: str = "
 
 
 # X3
-def numeric_note_parts(notes: DataFrame, parts: int = 10, date: str = "visit_date", block: str = "block",
+def numeric_note_parts(notes: DataFrame, parts: int | None = None, date: str = "visit_date", block: str = "block",
                        text: str = "block_notes") -> DataFrame:
-    """Notes holding a digit, split on "," or "." into at most ``parts`` pieces (rest dropped),
+    """Notes holding a digit, split on "," or "." (into the first ``parts`` pieces, if given),
     one row per non-empty piece (pieces are not trimmed)."""
     d = notes.filter(grepl(text, "\\d")).select(date, block, text).distinct().filter(F.col(text).isNotNull())
-    pieces = F.slice(F.split(F.col(text), ",|\\."), 1, parts)
+    pieces = F.split(F.col(text), ",|\\.")
+    if parts is not None:
+        pieces = F.slice(pieces, 1, parts)
     e = d.select(date, block, text, F.explode(pieces).alias("extract_notes"))
     return e.filter(F.col("extract_notes").isNotNull() & (F.col("extract_notes") != ""))
 
 
 # X4
 def hunter_presence(lowered: DataFrame, word: str = "hunt", date: str = "visit_date", block: str = "block",
-                    text: str = "block_notes", dedupe: bool = False) -> DataFrame:
-    """(date, block) rows whose note mentions ``word``; one row per such note
-    unless ``dedupe`` (the reference keeps one per note, which repeats counts
-    after the join when a block has two such notes on a day)."""
-    h = lowered.filter(grepl(text, word)).select(date, block, F.lit(True).alias("hunters"))
-    return h.distinct() if dedupe else h
+                    text: str = "block_notes") -> DataFrame:
+    """(date, block) with a note that mentions ``word``: one row each, and the number of such notes."""
+    hit = lowered.filter(grepl(text, word))
+    return hit.groupBy(date, block).agg(F.count(F.lit(1)).alias("n_notes")).withColumn("hunters", F.lit(True))
 
 
 # X5
@@ -85,10 +85,12 @@ def with_hunters(counts: DataFrame, hunt: DataFrame, game: Sequence[str] = GAME_
 
     Same rows as a full join on (date, block) restricted to hunted blocks,
     computed as: counts semi-joined to the (small) set of hunted blocks, left
-    join to the hunter rows, plus hunter rows that matched no count.
+    join to the hunted (date, block) pairs, plus pairs that matched no count.
+    A pair is one row however many notes it has, so no count is repeated;
+    ``n_notes`` (NULL without hunters) keeps their number as a weight.
     """
     blocks = hunt.select(block).distinct()
-    c = counts.join(blocks, block, "left_semi")
+    c = natural_join(counts, blocks, [block], "left_semi")
     left = natural_join(c, hunt, [date, block], "left")
     seen = c.select(date, block).distinct()
     only_hunt = natural_join(hunt, seen, [date, block], "left_anti")
@@ -114,19 +116,19 @@ def presence_effect(labelled: DataFrame, date: str = "visit_date", block: str =
 
 
 # A27
-def notes_per_date(block_hits: DataFrame, survey: DataFrame, date: str = "visit_date",
-                   sep: str = " | ") -> DataFrame:
-    """All notes of a date in one text: keyword block notes first, then survey notes,
-    each part ordered by its text."""
-    b = block_hits.select(date, F.col("block_w_notes").alias("notes"), F.lit(0).alias("src"))
-    s = survey.select(date, F.col("survey_notes").alias("notes"), F.lit(1).alias("src"))
-    u = b.unionByName(s)
-    parts = F.array_sort(F.collect_list(F.struct("src", "notes")))
-    return u.groupBy(date).agg(F.array_join(F.transform(parts, lambda x: x["notes"]), sep).alias("all_date_notes"))
+def notes_per_date(block_hits: DataFrame, survey: DataFrame, date: str = "visit_date") -> DataFrame:
+    """All notes of a date, one row each: ``src`` 0 keyword block notes, 1 survey notes.
+
+    (date, src, notes) is the reading order; sort by it at a sink.  Notes are
+    never gathered into one value, so a date may have any number of them.
+    """
+    b = block_hits.select(date, F.lit(0).alias("src"), F.col("block_w_notes").alias("notes"))
+    s = survey.select(date, F.lit(1).alias("src"), F.col("survey_notes").alias("notes"))
+    return b.unionByName(s)
 
 
 # X6
-def missed_with_notes(status_matrix: DataFrame, digests: DataFrame, date: str = "visit_date") -> DataFrame:
-    """Status table and per-date notes side by side (full join on date), date first."""
-    j = natural_join(status_matrix, digests, [date], "full")
+def missed_with_notes(status_matrix: DataFrame, notes: DataFrame, date: str = "visit_date") -> DataFrame:
+    """Status table and the notes of its date side by side, a row per note (full join on date), date first."""
+    j = natural_join(status_matrix, notes, [date], "full")
     return j.select(date, *[c for c in j.columns if c != date])

@@ -76,12 +76,17 @@ def frequency(records: DataFrame, *cols: str) -> DataFrame:
 def crosstab_full(records: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
     """Two-way table with zero cells: one row per ``row`` value, one column per ``col`` value.
 
-    Built as a pivot (one aggregation pass, counted map-side) rather than
-    ``DataFrame.crosstab``, which gathers the counts on the driver.
+    With ``values``, all other values are counted together as ``unlisted``.
+    One aggregation pass, counted map-side, unlike ``DataFrame.crosstab``,
+    which gathers the counts on the driver.
     """
-    piv = records.groupBy(row).pivot(col, list(values) if values is not None else None).agg(F.count(F.lit(1)))
-    cells = [c for c in piv.columns if c != row]
-    return piv.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in cells])
+    if values is None:
+        piv = records.groupBy(row).pivot(col).agg(F.count(F.lit(1)))
+        cells = [c for c in piv.columns if c != row]
+        return piv.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in cells])
+    listed = F.coalesce(F.col(col).isin(list(values)), F.lit(False))
+    return records.groupBy(row).agg(*[F.count(F.when(F.col(col) == v, 1)).alias(str(v)) for v in values],
+                                    F.count(F.when(~listed, 1)).alias("unlisted"))
 
 
 def frequency_over(records: DataFrame, cols: Sequence[str], more_than: int = 1) -> DataFrame:
@@ -95,37 +100,54 @@ def missed_by_block(status: DataFrame, block: str = "block", label: str = "not s
             .agg(F.count(F.lit(1)).alias("n_missed")))
 
 
+def missed_rows(status: DataFrame, date: str = "visit_date", block: str = "block",
+                label: str = "not surveyed") -> DataFrame:
+    """The missed (date, block) pairs themselves; order by date and block at a sink."""
+    return status.filter(F.col("surveyed") == label).select(date, block).distinct()
+
+
+def exclude_dates(records: DataFrame, dates: Sequence[str], date: str = "visit_date") -> DataFrame:
+    """Records of all but the given dates (records without a date stay)."""
+    return records.filter(~in_set(date, [F.lit(d).cast("date") for d in dates]))
+
+
 # U4
 def row_count_invariants(surveys: DataFrame, transects: DataFrame, blocks: DataFrame, observations: DataFrame,
-                         n_taxa: int, coverage: DataFrame) -> DataFrame:
-    """Row-count identities of the relational model, as one row of counts and checks."""
-    cells = [c for c in coverage.columns if c != "survey_date"]
-    cov = coverage.agg(F.count(F.lit(1)).alias("n_dates"))
-    cov_sum = coverage.select(sum((F.col(f"`{c}`") for c in cells), F.lit(0)).alias("c")).agg(
-        F.sum("c").alias("n_covered"),
-        F.sum(F.lit(len(cells)) - F.col("c")).alias("n_missed"))
+                         n_taxa: int, pairs: DataFrame) -> DataFrame:
+    """Row-count identities of the relational model, as one row of counts and checks.
+
+    ``pairs`` are the covered (survey date, block) pairs (``coverage_pairs``).
+    The last check compares dates x blocks with the missed pairs and the rows
+    of the block table, which come from different tables.
+    """
     r = one_row(
         surveys.agg(F.count(F.lit(1)).alias("n_surveys")),
         transects.agg(F.count(F.lit(1)).alias("n_transects")),
         blocks.agg(F.count(F.lit(1)).alias("n_blocks"),
                    F.countDistinct("date_transect_key").alias("n_block_transect_keys")),
         observations.agg(F.count(F.lit(1)).alias("n_observations")),
-        cov.select("n_dates"), cov_sum)
+        pairs.agg(F.countDistinct("survey_date").alias("n_dates"), F.countDistinct("temp_block").alias("n_coverage_blocks"),
+                  F.count(F.lit(1)).alias("n_covered")))
+    cells = F.col("n_dates") * F.col("n_coverage_blocks")
+    r = r.withColumn("n_missed", cells - F.col("n_covered"))
     return r.select(
         "n_surveys", "n_transects", "n_blocks", "n_observations", "n_block_transect_keys", "n_dates",
-        F.lit(len(cells)).cast("long").alias("n_coverage_blocks"), "n_covered", "n_missed",
+        "n_coverage_blocks", "n_covered", "n_missed",
         (F.col("n_block_transect_keys") == F.col("n_transects")).alias("keys_match_transects"),
         (F.col("n_transects") == 3 * F.col("n_surveys")).alias("three_transects_per_survey"),
         (F.col("n_observations") == F.col("n_blocks") * n_taxa).alias("observations_are_blocks_x_taxa"),
-        (F.col("n_dates") * len(cells) == F.col("n_missed") + F.col("n_covered")).alias("coverage_adds_up"))
+        (cells == F.col("n_missed") + F.col("n_blocks")).alias("coverage_adds_up"))
 
 
 # U5
-def compare_status_matrix(new: DataFrame, old: DataFrame, blocks: Sequence[str],
+def compare_status_matrix(new: DataFrame, old: DataFrame, blocks: Sequence[str] | None = None,
                           date: str = "visit_date") -> DataFrame:
-    """Cells that differ between two date x block status tables (NULL-aware)."""
+    """Cells that differ between two date x block status tables (NULL-aware); all columns but the date, or ``blocks``."""
+    every = list(blocks) if blocks is not None else list(dict.fromkeys(
+        c for c in [*new.columns, *old.columns] if c != date))
+
     def long(df, name):
-        present = [b for b in blocks if b in df.columns]
+        present = [b for b in every if b in df.columns]
         return df.unpivot([date], [F.col(f"`{b}`").cast("string") for b in present], "block", name)
     j = natural_join(long(new, "new_status"), long(old, "old_status"), [date, "block"], "full")
     return j.filter(~F.col("new_status").eqNullSafe(F.col("old_status")))

@@ -9,6 +9,7 @@ values Spark gathers itself (bounded by the pivot column's cardinality).
 from __future__ import annotations
 
 import re
+from itertools import zip_longest
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,6 @@ OLD_TABLE_TAXA = ["COLO", "PALO", "PACOLO", "RTLO", "RTPALO", "LOON", "HOGR", "E
                   "AMCO", "REPH", "BOGU", "FOTE", "COMU", "RHAU", "PIGU", "CAAU", "BEKI", "KAYAK", "WODU", "KIEI",
                   "GWFG", "AMCOGRSCLESCBUFF", "COMERBME", "MUSW"]
 
-OLD_WIDE_FIELDS = ["ID", "MONTH", "DAY", "YEAR", "SECTION", "BOAT", "BEAUFORT", "NOTES", "WATERBIRDLOG",
-                   "PROOF_LEVEL", "Initials"]
-
 BLOCK_SCHEMA = T.StructType([
     T.StructField("transect", T.StringType()), T.StructField("BOAT", T.IntegerType()),
     T.StructField("SECTION", T.IntegerType()), T.StructField("survey_block", T.StringType()),
@@ -66,15 +64,19 @@ def wide_sheets_to_tally(wide: DataFrame, ids: Sequence[str] = ("index", "date")
     they are parsed once from the schema.  Each section's species and tally
     columns are unpivoted together as one pair, so the rows come out whole:
     no re-pivot, no aggregation, no shuffle.  A line whose species and tally
-    are both missing is dropped; one missing half stays missing.
+    are both missing is dropped; one missing half stays missing.  Sections
+    whose repaired names are equal stay pairs of their own: the first species
+    column goes with the first tally column, and so on.
     """
-    pairs: dict[tuple, dict] = {}
+    columns: dict[tuple, dict[str, list]] = {}
     for c in wide.columns:
         if c in ids or not ("species" in c or "tally" in c):
             continue
         sec, tr, fld = sheet_name_parts(c)
         if fld in ("species", "tally"):
-            pairs.setdefault((sec, tr), {})[fld] = c
+            columns.setdefault((sec, tr), {"species": [], "tally": []})[fld].append(c)
+    pairs = [(place, dict(zip(("species", "tally"), pair)))
+             for place, found in columns.items() for pair in zip_longest(found["species"], found["tally"])]
     cell = "struct<section:string,transect:string,species:string,tally:string>"
 
     def val(name):
@@ -82,7 +84,7 @@ def wide_sheets_to_tally(wide: DataFrame, ids: Sequence[str] = ("index", "date")
 
     vals = [F.struct(F.lit(sec).cast("string").alias("section"), F.lit(tr).cast("string").alias("transect"),
                      val(cols.get("species")).alias("species"), val(cols.get("tally")).alias("tally")).cast(cell)
-            for (sec, tr), cols in pairs.items()]
+            for (sec, tr), cols in pairs]
     long = wide.unpivot(list(ids), vals, "__name", "__cell")
     out = long.select(*ids, "__cell.section", "__cell.transect", "__cell.species", "__cell.tally")
     return out.filter(F.col("species").isNotNull() | F.col("tally").isNotNull())
@@ -122,12 +124,13 @@ def fill_label(df: DataFrame, label: str = "no record", cols: Sequence[str] | No
 def key_wide_table(wide: DataFrame, blocks: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_TAXA) -> DataFrame:
     """Full join with the block dimension, date key, sequence-prefixed composite keys.
 
-    The full join is a left join against the (fixed, 17-row) block table
-    plus the block rows no wide row matched; both sides of that are tiny,
-    so the wide table is never shuffled for the join.
+    The full join is a left join against the block table plus the block rows
+    no wide row matched; the planner measures the block table and broadcasts
+    it if small, so the wide table is not shuffled for the join.  Rows are
+    numbered by date, section, boat and, where it is there, ID.
     """
     keys = ["BOAT", "SECTION"]
-    left = natural_join(wide, F.broadcast(blocks), keys, "left")
+    left = natural_join(wide, blocks, keys, "left")
     seen = wide.select(*keys).distinct()
     unmatched = natural_join(blocks, seen, keys, "left_anti")
     for c in wide.columns:
@@ -135,7 +138,8 @@ def key_wide_table(wide: DataFrame, blocks: DataFrame, taxa_cols: Sequence[str]
             unmatched = unmatched.withColumn(c, F.lit(None).cast(wide.schema[c].dataType))
     joined = left.unionByName(unmatched.select(*left.columns))
     joined = joined.withColumn("date_key", F.try_to_date(_mdy_text(), "M-d-yyyy"))
-    seq = global_sequence(joined, ["date_key", "SECTION", "BOAT"], "__seq")
+    order = ["date_key", "SECTION", "BOAT"] + [c for c in ("ID",) if c in joined.columns]
+    seq = global_sequence(joined, order, "__seq")
     keyed = seq.select(
         F.concat_ws(".", F.col("__seq").cast("string"), _mdy_text(), as_text("survey_block"))
         .alias("date_transect_block_key"),
@@ -172,10 +176,19 @@ def derive_blocks(keyed: DataFrame) -> DataFrame:
 
 # R10
 def derive_observations(keyed: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_TAXA) -> DataFrame:
-    """One row per (block, taxon) with a global observation id in key order."""
-    long = keyed.unpivot(["date_transect_block_key"], list(taxa_cols), "species", "count")
-    long = long.withColumn("count", F.col("count").cast("long"))
-    return global_sequence(long, ["date_transect_block_key", "species"], "observation_id")
+    """One row per (block, taxon) with a global observation id in (key, species) order.
+
+    Every block has the same taxa, so the blocks alone are numbered by their
+    key; a row's id is the block's number and the taxon's place in sorted
+    order.  The long table is neither shuffled nor written.
+    """
+    key, taxa = "date_transect_block_key", sorted(taxa_cols)
+    ranked = global_sequence(keyed.select(key, *[F.col(f"`{t}`") for t in taxa]), [key], "__block")
+    cells = [F.struct(F.lit(t).alias("species"), F.col(f"`{t}`").cast("long").alias("count"),
+                      F.lit(k + 1).alias("place")) for k, t in enumerate(taxa)]
+    long = ranked.select(key, "__block", F.explode(F.array(*cells)).alias("c"))
+    return long.select(key, "c.species", "c.count",
+                       ((F.col("__block") - 1) * len(taxa) + F.col("c.place")).alias("observation_id"))
 
 
 # R11
@@ -217,32 +230,38 @@ def parse_block_key(block_table: DataFrame, key: str = "date_transect_block_key"
 
 
 # R14
-def coverage_matrix(wide: DataFrame, blocks: Sequence[str] | None = None) -> DataFrame:
-    """Survey date x block (``BOAT.SECTION``): 1 when any row exists, else 0."""
-    d = wide.select(F.try_to_date(_mdy_text(), "M-d-yyyy").alias("survey_date"),
-                    paste("BOAT", "SECTION", sep=".").alias("temp_block")).distinct()
-    piv = d.groupBy("survey_date").pivot("temp_block", list(blocks) if blocks is not None else None)
-    m = piv.agg(F.max(F.lit(1)))
-    block_cols = [c for c in m.columns if c != "survey_date"]
-    return m.select("survey_date", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in block_cols])
+def coverage_pairs(wide: DataFrame) -> DataFrame:
+    """The different (survey date, ``BOAT.SECTION``) of the table."""
+    return wide.select(F.try_to_date(_mdy_text(), "M-d-yyyy").alias("survey_date"),
+                       paste("BOAT", "SECTION", sep=".").alias("temp_block")).distinct()
+
+
+def coverage_matrix(wide: DataFrame, blocks: Sequence[str]) -> DataFrame:
+    """Survey date x block: 1 when any row exists, else 0; ``unlisted`` counts blocks outside the list."""
+    hit = [F.max(F.when(F.col("temp_block") == b, 1).otherwise(0)).alias(b) for b in blocks]
+    other = F.sum(F.when(F.col("temp_block").isin(list(blocks)), 0).otherwise(1)).cast("int").alias("unlisted")
+    return coverage_pairs(wide).groupBy("survey_date").agg(*hit, other)
 
 
 # R15
-def coverage_totals(matrix: DataFrame) -> DataFrame:
-    """Days surveyed per block: column sums of the coverage matrix, as (block, total)."""
-    cols = [c for c in matrix.columns if c != "survey_date"]
-    sums = matrix.agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in cols])
-    return sums.unpivot([], [F.col(f"`{c}`") for c in cols], "block", "days_surveyed")
+def coverage_totals(wide: DataFrame) -> DataFrame:
+    """Days surveyed per block (column sums of R14), as (block, total)."""
+    return coverage_pairs(wide).groupBy(F.col("temp_block").alias("block")).agg(
+        F.count(F.lit(1)).alias("days_surveyed"))
 
 
-def coverage_long(matrix: DataFrame) -> DataFrame:
-    cols = [c for c in matrix.columns if c != "survey_date"]
-    long = matrix.unpivot(["survey_date"], [F.col(f"`{c}`") for c in cols], "section", "done")
-    return long.withColumn("section", F.col("section").cast("double"))
+def coverage_long(wide: DataFrame, blocks: Sequence[str]) -> DataFrame:
+    """R14 in long form: a row per survey date and listed block, and per unlisted block that occurs."""
+    pairs = coverage_pairs(wide)
+    per_date = pairs.groupBy("survey_date").agg(F.collect_set("temp_block").alias("seen"))   # blocks of one date
+    every = F.array_distinct(F.concat(F.array(*[F.lit(b) for b in blocks]), F.col("seen")))
+    return per_date.select("survey_date", "seen", F.explode(every).alias("b")).select(
+        "survey_date", F.col("b").try_cast("double").alias("section"),
+        F.array_contains("seen", F.col("b")).cast("int").alias("done"))
 
 
 # R16
-STATUS_LABELS = ["surveyed", "not surveyed", "surveyed, no birds obs"]
+STATUS_LABELS = ["surveyed", "not surveyed", "surveyed, no birds obs", "conflicting records"]
 
 
 def _status_label(code: Column) -> Column:
@@ -263,16 +282,21 @@ def status_matrix(status_rows: DataFrame, blocks: Sequence[str], date: str = "vi
                   label: str = "no record") -> DataFrame:
     """Date x block survey status; boat blocks first; no row -> ``label``.
 
-    The pivot aggregates a numeric status code (hash aggregation) and maps it
-    to its label afterwards.
+    A (date, block) whose records disagree is labelled as conflicting, and
+    ``unlisted`` counts the date's blocks outside the list.  Numeric status
+    codes are aggregated (hash aggregation) and mapped to labels afterwards.
     """
     s = status_rows.select(date, block, "area_not_surveyed", "no_birds_observed").distinct()
-    s = s.withColumn("__code", _status_code())
+    code = F.coalesce(_status_code(), F.lit(0))          # 0: a flag is missing
+    s = s.groupBy(date, block).agg(F.min(code).alias("__low"), F.max(code).alias("__high")).withColumn(
+        "__code", F.when(F.col("__low") == F.col("__high"), F.col("__high")).otherwise(len(STATUS_LABELS)))
     ordered = [b for m in boat_markers for b in blocks if m in b]
     ordered += [b for b in blocks if b not in ordered]
-    wide = s.groupBy(date).pivot(block, list(blocks)).agg(F.max("__code"))
+    wide = s.groupBy(date).agg(
+        *[F.max(F.when(F.col(block) == b, F.col("__code"))).alias(b) for b in ordered],
+        F.count(F.when(~F.coalesce(F.col(block).isin(list(blocks)), F.lit(False)), 1)).alias("unlisted"))
     cells = [_status_label(F.col(f"`{b}`")).alias(b) for b in ordered]
-    return fill_label(wide.select(date, *cells), label, ordered)
+    return fill_label(wide.select(date, *cells, "unlisted"), label, ordered)
 
 
 def status_long(status_rows: DataFrame, date: str = "visit_date", block: str = "block") -> DataFrame:
@@ -309,13 +333,24 @@ def old_day_total(wide: DataFrame, taxon: str, month: int | None = None, day: in
 
 # U3
 def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: same schema?, rows only in a, rows only in b, equal?"""
+    """One row: same schema?, rows only in a, rows only in b, equal?  (One shuffle: +1 and -1 per row, summed.)"""
     same_schema = [(f.name, f.dataType) for f in a.schema.fields] == [(f.name, f.dataType) for f in b.schema.fields]
-    if not same_schema:
-        b = b.select(*a.columns)
-    only_a = a.exceptAll(b).select(F.lit(1).alias("__a"), F.lit(0).alias("__b"))
-    only_b = b.exceptAll(a).select(F.lit(0).alias("__a"), F.lit(1).alias("__b"))
-    out = only_a.unionByName(only_b).agg(F.coalesce(F.sum("__a"), F.lit(0)).cast("long").alias("only_in_a"),
-                                         F.coalesce(F.sum("__b"), F.lit(0)).cast("long").alias("only_in_b"))
+    both = a.withColumn("__d", F.lit(1)).unionByName(b.select(*a.columns).withColumn("__d", F.lit(-1)))
+    rest = both.groupBy(*a.columns).agg(F.sum("__d").alias("d"))
+    out = rest.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("only_in_a"),
+                   F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("only_in_b"))
     return out.select(F.lit(same_schema).alias("same_schema"), "only_in_a", "only_in_b",
                       (F.lit(same_schema) & (F.col("only_in_a") == 0) & (F.col("only_in_b") == 0)).alias("equal"))
+
+
+def numbering_check(numbered: DataFrame, name: str, group: str, per_group: int) -> DataFrame:
+    """One row: are the numbers 1..N, each once, and does every group have ``per_group`` numbers in a row?"""
+    groups = numbered.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("low"),
+                                         F.max(name).alias("high"))
+    out = groups.agg(F.sum("n").alias("n_rows"), F.min("low").alias("first_number"), F.max("high").alias("last_number"),
+                     F.countDistinct("low").alias("n_starts"), F.count(F.lit(1)).alias("n_groups"),
+                     F.min(((F.col("high") - F.col("low") + 1 == F.col("n")) & (F.col("n") == per_group))
+                           .cast("int")).alias("whole"))
+    good = ((F.col("first_number") == 1) & (F.col("last_number") == F.col("n_rows"))
+            & (F.col("n_starts") == F.col("n_groups")) & (F.col("whole") == 1))
+    return out.select("n_rows", "first_number", "last_number", good.alias("numbered_in_order"))

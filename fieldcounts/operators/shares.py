@@ -13,14 +13,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nullsafe import if_else, in_set, not_in_set, safe_divide, strict_avg, strict_sum
+from ..functions.nullsafe import if_else, in_set, natural_join, not_in_set, safe_divide, strict_avg, strict_sum
 
 
 # The code sets of the section-versus-bay check, in report order.
 SECTION_CHECK_SETS = [["GRSC", "SCAUP"], ["DCCO", "BRAC"], ["BUFF"], ["SUSC"], ["RUDU"], ["HOGR", "EAGR", "HEGR"],
                       ["BLBR"], ["AMCO"], ["WEGR"], ["AMWI"]]
-# Codes among the five most abundant in at least one year (the same report).
-MOST_ABUNDANT = ["SUSC", "BUFF", "SCAUP", "GRSC", "RUDU", "HOGR", "BLBR", "AMCO", "DCCO", "WEGR", "BRAC", "AMWI"]
 
 
 def _strict_over(agg, c: str, w) -> F.Column:
@@ -93,12 +91,12 @@ def remaining_lump(cum: DataFrame, threshold: DataFrame, taxa: DataFrame, name_o
                    always_lumped: Sequence[str] = ("DUCK",), label: str = "Remaining spp",
                    name_label: str = "Remaining spp.") -> DataFrame:
     """Codes past the share threshold (or always lumped) become one label; names attached."""
-    j = cum.join(threshold, year, "full")
+    j = natural_join(cum, threshold, [year], "full")
     lumped = if_else((F.col("year_cum_prop") > F.col("min_over90")) | in_set(code, always_lumped),
                      F.lit(label), F.col(code))
     g = j.withColumn("alpha_code2", lumped).groupBy(year, "alpha_code2").agg(strict_sum("total").alias("total2"))
     g = g.withColumnRenamed("alpha_code2", code)
-    named = g.join(taxa.select(code, "common_name"), code, "left")
+    named = natural_join(g, taxa.select(code, "common_name"), [code], "left")
     named = named.withColumn("common_name", F.coalesce("common_name", F.lit(name_label)))
     return fixed_category_order(named, "common_name", name_order)
 
@@ -186,10 +184,11 @@ def section_vs_bay_by_set(obs: DataFrame, code_sets: Sequence[Sequence[str]] = S
                           code: str = "alpha_code", **kw) -> DataFrame:
     """W5 for several code sets at once, labelled by set ("GRSC,SCAUP", ...).
 
-    Section totals are computed once for all codes; each row is then emitted
-    once per set containing its code (sets may overlap).
+    Only codes of some set are aggregated, once; each row is then emitted once
+    per set containing its code (sets may overlap).
     """
-    per = section_vs_bay(obs, None, code=code, **kw)
+    wanted = sorted({c for s in code_sets for c in s})
+    per = section_vs_bay(obs, wanted, code=code, **kw)
     sets = F.array(*[F.struct(F.lit(",".join(s)).alias("label"), F.array(*[F.lit(c) for c in s]).alias("codes"))
                      for s in code_sets])
     hits = F.filter(sets, lambda s: F.array_contains(s["codes"], F.col(code)))

@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nullsafe import (mean_rounded, round_half_even_ratio, strict_avg, strict_max,
+from ..functions.nullsafe import (mean_rounded, ratio_rounded, round_half_even_ratio, strict_avg, strict_max,
                                   strict_min, strict_sum)
 from ..functions.calendar import season as season_expr
 
@@ -42,9 +42,9 @@ def taxon_section_annual_mean(obs: DataFrame, code: str = "alpha_code", year: st
 # A5
 def years_detected(obs: DataFrame, code: str = "alpha_code", year: str = "study_year",
                    value: str = "section_final") -> DataFrame:
-    """Number of study years in which the code was counted above zero."""
+    """Number of study years in which the code was counted above zero (a missing year counts as one)."""
     return (obs.filter(F.col(value) > 0).groupBy(code)
-            .agg(F.countDistinct(year).alias("num_years_detected")))
+            .agg((F.countDistinct(year) + F.max(F.col(year).isNull().cast("long"))).alias("num_years_detected")))
 
 
 def years_recorded(yearly: DataFrame, code: str = "alpha_code") -> DataFrame:
@@ -58,14 +58,16 @@ def baywide_counts(obs: DataFrame, year: str = "study_year", date: str = "visit_
                    all_label: str = "all", carry: Sequence[str] = ()) -> DataFrame:
     """Per-survey totals for every code and for all codes together, one pass.
 
-    Grouping sets ``(year, date)`` and ``(year, date, code)`` share one scan
-    and one shuffle; ``grouping`` tells the all-codes row from a NULL code.
-    ``carry`` names columns that depend on the date only (such as the survey
-    number); they ride along as extra keys of both sets.
+    The records are aggregated once per (year, date, code); the grouping sets
+    then run on these few rows, so no record is doubled.  ``grouping`` tells
+    the all-codes row from a NULL code.  ``carry`` names columns that depend
+    on the date only (such as the survey number); they ride along as keys.
     """
     keys = [year, date, *carry]
-    g = obs.groupingSets([keys, keys + [code]], *keys, code).agg(
-        strict_sum(value).alias("baywide_count"), F.grouping(code).alias("_gid"))
+    per = obs.groupBy(*keys, code).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"),
+                                       F.count(F.lit(1)).alias("_rows"))
+    g = per.groupingSets([keys, keys + [code]], *keys, code).agg(
+        F.when(F.sum("_n") == F.sum("_rows"), F.sum("_sum")).alias("baywide_count"), F.grouping(code).alias("_gid"))
     return g.select(*keys, F.when(F.col("_gid") == 1, F.lit(all_label)).otherwise(F.col(code)).alias(code),
                     "baywide_count")
 
@@ -88,7 +90,7 @@ def season_mean_median(baywide: DataFrame, year: str = "study_year", code: str =
 def all_taxa_annual_mean(obs: DataFrame, year: str = "study_year", date: str = "visit_date",
                          value: str = "section_final") -> DataFrame:
     tot = obs.groupBy(year, date).agg(strict_sum(value).alias("baywide_count"))
-    return tot.groupBy(year).agg(strict_avg("baywide_count").alias("all_wbirds"))
+    return tot.groupBy(year).agg(strict_avg("baywide_count").alias("all_taxa"))
 
 
 # A12
@@ -113,7 +115,7 @@ def taxon_season_summary(season_totals: DataFrame, code: str = "alpha_code",
                          season: str = "season") -> DataFrame:
     """(code, season) -> mean (half-even, 2 digits), max and min of survey totals."""
     return season_totals.groupBy(code, season).agg(
-        mean_rounded("summed_num", 2).alias("mean_num"),
+        mean_rounded(season_totals, "summed_num", 2).alias("mean_num"),
         strict_max("summed_num").alias("max_num"),
         strict_min("summed_num").alias("min_num"))
 
@@ -136,7 +138,7 @@ def season_total_summary(obs: DataFrame, date: str = "visit_date", value: str =
     daily = obs.groupBy(date).agg(strict_sum(value).alias("summed_num"))
     daily = daily.withColumn("season", season_expr(date, rule))
     return daily.groupBy("season").agg(
-        mean_rounded("summed_num", 2).alias("seas_mean_num"),
+        mean_rounded(daily, "summed_num", 2).alias("seas_mean_num"),
         strict_max("summed_num").alias("seas_max_num"),
         strict_min("summed_num").alias("seas_min_num"))
 
@@ -146,7 +148,7 @@ def section_mean_and_records(obs: DataFrame, code: str = "alpha_code", section:
                              value: str = "section_final") -> DataFrame:
     """(code, section) -> mean rounded to 1 digit, and the number of records."""
     return obs.groupBy(code, section).agg(
-        mean_rounded(value, 1).alias("spp_section_mean"),
+        mean_rounded(obs, value, 1).alias("spp_section_mean"),
         F.count(F.lit(1)).alias("num_surveys_detected"))
 
 
@@ -167,17 +169,17 @@ def section_taxon_trend(obs: DataFrame, code: str = "alpha_code", section: str =
     complete = (total_n == rows) & (F.count("_s").over(w) == F.count(F.lit(1)).over(w))
     return yearly.select(
         code, section, year, "spp_section_year_mean",
-        F.when(complete, round_half_even_ratio(total_s, total_n, 1)).alias("spp_section_mean"))
+        F.when(complete, ratio_rounded(total_s, total_n, obs.schema[value].dataType, 1))
+        .alias("spp_section_mean"))
 
 
 # A25
-def value_summary(records: DataFrame, key: str = "species", value: str = "count",
-                  decimals: int = 2) -> DataFrame:
-    """Per key: max, min, mean (1 digit, half-even, exact over ``decimals``), n."""
+def value_summary(records: DataFrame, key: str = "species", value: str = "count") -> DataFrame:
+    """Per key: max, min, mean (1 digit, half-even), n."""
     return records.groupBy(key).agg(
         strict_max(value).alias("max_count"),
         strict_min(value).alias("min_count"),
-        mean_rounded(value, 1, cents=decimals).alias("mean_count"),
+        mean_rounded(records, value, 1).alias("mean_count"),
         F.count(F.lit(1)).alias("num_records"))
 
 
@@ -190,6 +192,8 @@ def day_total(obs: DataFrame, year: str = "study_year", day: str = "study_day",
 # R18
 def totals_by_type_matrix(raw: DataFrame, types: Sequence[str], date: str = "visit_date",
                           kind: str = "survey_type", value: str = "section_final") -> DataFrame:
-    """Calendar year x survey type totals, one column per type (explicit list)."""
-    return (raw.withColumn("year", F.year(date)).groupBy("year")
-            .pivot(kind, list(types)).agg(strict_sum(value)))
+    """Calendar year x survey type totals, one column per type, and ``unlisted`` for all other types together."""
+    listed = F.col(kind).isin(list(types))
+    label = F.when(listed, F.col(kind)).otherwise("unlisted")
+    per = raw.withColumn("year", F.year(date)).withColumn("__kind", label)
+    return per.groupBy("year").pivot("__kind", [*types, "unlisted"]).agg(strict_sum(value))

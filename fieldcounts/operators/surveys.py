@@ -60,9 +60,9 @@ def attach_survey_numbers(obs: DataFrame, numbers: DataFrame, year: str = "study
                           date: str = "visit_date") -> DataFrame:
     """Corrected survey number of each record (the calendar comes from the same table).
 
-    The calendar holds one row per survey date, so its size is bounded by
-    the days in the data's span whatever the number of records: it is
-    broadcast, and the count table is not shuffled for this join.
+    The calendar has one row per survey date (a study year is a function of
+    the date), so at most 366 rows a year whatever the number of records: it
+    is broadcast, and the count table is not shuffled for this join.
     """
     cal = F.broadcast(numbers.select(year, date, "cor_survey_num"))
     return natural_join(obs, cal, [year, date], "left")
@@ -103,11 +103,22 @@ def survey_intervals(numbers: DataFrame, year: str = "study_year", date: str = "
 # R17
 def survey_date_matrix(numbers: DataFrame, slots: int = 4, year: str = "study_year",
                        date: str = "visit_date") -> DataFrame:
-    """Study year x corrected survey number -> survey date as text (s_1 .. s_4)."""
-    n = numbers.withColumn("__slot", F.concat(F.lit("s_"), F.col("cor_survey_num").cast("string")))
-    names = [f"s_{i}" for i in range(1, slots + 1)]
-    wide = n.groupBy(year).pivot("__slot", names).agg(F.min(F.col(date)))
-    return wide.select(year, *[F.col(c).cast("string").alias(c) for c in names])
+    """Study year x corrected survey number -> survey dates as text (s_1 .. s_4, s_over).
+
+    A slot with several dates lists them all, in order, as "date, date";
+    ``s_over`` lists "number: date" of numbers above ``slots`` and of numbers
+    below 1, so no numbered survey is lost.
+    """
+    cor = F.col("cor_survey_num")
+    inside = cor.between(1, slots)
+    text = F.when(inside, F.col(date).cast("string")).otherwise(
+        F.concat(cor.cast("string"), F.lit(": "), F.col(date).cast("string")))
+    names = [*[f"s_{i}" for i in range(1, slots + 1)], "s_over"]
+    n = numbers.select(year, F.when(inside, F.concat(F.lit("s_"), cor.cast("string")))
+                       .when(cor.isNotNull(), "s_over").alias("__slot"), text.alias("__text"))
+    # a study year's survey dates: a few short texts per cell
+    wide = n.groupBy(year).pivot("__slot", names).agg(F.array_join(F.array_sort(F.collect_list("__text")), ", "))
+    return wide.select(year, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in names])
 
 
 # K3
@@ -115,6 +126,8 @@ def sample_surveys(numbers: DataFrame, k: int = 3, seed: int = 42, slots: int =
                    year: str = "study_year") -> DataFrame:
     """Per study year, ``k`` of the slots 1..``slots`` at random (repeatable), joined to the numbers.
 
+    ``slots`` is the sampling grid: surveys numbered above it cannot be drawn.
+
     Years span min..max of the calendar; the draw orders slots by an integer
     hash of (seed, year, slot), so the same seed gives the same sample.
     """
@@ -179,5 +192,6 @@ def surveys_per_year(numbers: DataFrame, year: str = "study_year") -> DataFrame:
 
 # A24
 def effort_comparison(subsets: DataFrame, per_year: DataFrame, year: str = "study_year") -> DataFrame:
-    tot = subsets.groupBy(year, "which_surveys").agg(F.sum("mean_bay_survey_count").alias("total_birds"))
-    return tot.join(per_year, year, "right")
+    """Summed means per (year, subset); a missing mean makes the sum missing, a missing year matches a missing year."""
+    tot = subsets.groupBy(year, "which_surveys").agg(strict_sum("mean_bay_survey_count").alias("total_birds"))
+    return natural_join(tot, per_year, [year], "right")

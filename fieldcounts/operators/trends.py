@@ -2,9 +2,8 @@
 
 M1 (straight line with a 95 % interval) and M2 (quadratic) are closed-form
 from grouped sums, so they are ordinary aggregations.  M3 (local quadratic
-regression) needs, for every point, its neighbours in the same group; it
-runs per group with ``applyInPandas`` on a table already aggregated to one
-row per (group, x) -- a series of yearly values -- so a group is small.
+regression) works on a series already aggregated to one row per (group, x),
+gathered into one short array per group.
 """
 
 from __future__ import annotations
@@ -14,78 +13,58 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 # ------------------------------------------------------------ t quantiles
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularized incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
+def t_within(t: float, df: int) -> float:
+    """P(|T| < t) of Student's t for whole degrees of freedom: a finite sum of cosine powers."""
+    angle = math.atan(t / math.sqrt(df))
+    square = math.cos(angle) ** 2
+    first = 1 if df % 2 else 0                  # odd: cos, cos^3, ...; even: 1, cos^2, ...
+    term, total = (math.cos(angle) if first else 1.0), 0.0
+    for power in range(first, df - 1, 2):
+        total += term
+        term *= square * (power + 1) / (power + 2)
+    inner = math.sin(angle) * total
+    return 2 / math.pi * (angle + inner) if first else inner
 
 
-def _betai(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+def t_quantile(p: float, df: int) -> float:
+    """The t with P(T < t) = p (p above one half), by halving an interval."""
+    inside, low, high = 2 * p - 1, 0.0, 1.0
+    while t_within(high, df) < inside:
+        low, high = high, 2 * high
+    while high - low > 1e-14 * high:
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        low, high = (middle, high) if t_within(middle, df) < inside else (low, middle)
+    return (low + high) / 2
 
 
-def t_cdf(t: float, df: int) -> float:
-    x = df / (df + t * t)
-    tail = 0.5 * _betai(df / 2.0, 0.5, x)
-    return 1.0 - tail if t >= 0 else tail
+Z975 = 1.959963984540054
 
 
-def t_quantile(p: float, df: int) -> float:
-    """Student t quantile by bisection on the CDF."""
-    lo, hi = 0.0, 1.0
-    while t_cdf(hi, df) < p:
-        hi *= 2.0
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if t_cdf(mid, df) < p:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2.0
+def _series(z: float) -> list[float]:
+    """Coefficients of 1, 1/df, 1/df^2, ... in the expansion of the t quantile around the normal one."""
+    powers = {1: [1, 1], 2: [3, 16, 5], 3: [-15, 17, 19, 3], 4: [-945, -1920, 1482, 776, 79]}
+    divisors = {1: 4, 2: 96, 3: 384, 4: 92160}
+    return [z] + [sum(c * z ** (2 * k + 1) for k, c in enumerate(powers[n])) / divisors[n] for n in powers]
 
 
 T_TABLE_MAX_DF = 200
 T975 = [t_quantile(0.975, k) for k in range(1, T_TABLE_MAX_DF + 1)]
-Z975 = 1.959963984540054
+T975_SERIES = _series(Z975)                     # past the table: exact to about 1e-13
 
 
 def t975(df_col: Column) -> Column:
-    """0.975 quantile of Student's t for a column of degrees of freedom (normal past 200)."""
+    """0.975 quantile of Student's t for a column of degrees of freedom."""
     table = F.array(*[F.lit(v) for v in T975])
+    far = F.lit(0.0)
+    for c in reversed(T975_SERIES):
+        far = far / df_col + F.lit(c)
     return (F.when((df_col >= 1) & (df_col <= T_TABLE_MAX_DF), F.element_at(table, df_col.cast("int")))
-            .when(df_col > T_TABLE_MAX_DF, F.lit(Z975)))
+            .when(df_col > T_TABLE_MAX_DF, far))
 
 
 # ------------------------------------------------------------------- M1
@@ -140,51 +119,66 @@ def quadratic_trend(df: DataFrame, group: Sequence[str], x: str, y: str) -> Data
 
 
 # ------------------------------------------------------------------- M3
-def loess_points(xs, ys, span: float = 0.75, degree: int = 2):
-    """Direct local regression evaluated at the data points (tricube weights)."""
-    import numpy as np
-    x = np.asarray(xs, dtype=float)
-    y = np.asarray(ys, dtype=float)
-    n = len(x)
-    out = np.full(n, np.nan)
-    if n == 0:
-        return out
-    q = int(math.floor(n * span + 1e-5))
-    for i in range(n):
-        dist = np.abs(x - x[i])
-        if span <= 1.0:
-            h = np.sort(dist)[max(min(q, n), 1) - 1]
-        else:
-            h = dist.max() * span
-        if h <= 0:
-            out[i] = y[dist == 0].mean()
-            continue
-        r = np.clip(dist / h, 0.0, 1.0)
-        w = (1.0 - r ** 3) ** 3
-        keep = w > 0
-        X = np.vander(x[keep] - x[i], degree + 1, increasing=True)
-        sw = np.sqrt(w[keep])
-        coef, *_ = np.linalg.lstsq(X * sw[:, None], y[keep] * sw, rcond=None)
-        out[i] = coef[0]
-    return out
-
-
 def local_trend(df: DataFrame, group: Sequence[str], x: str, y: str, span: float = 0.75) -> DataFrame:
-    """Per group: local quadratic fit (span, tricube) evaluated at each x.
+    """Per group: local quadratic fit (span, tricube weights) evaluated at each x.
 
-    ``df`` should hold one row per (group, x) -- e.g. yearly means -- so each
-    group handed to pandas is a short series.
+    ``df`` should hold one row per (group, x) -- e.g. yearly means -- so a
+    group is one short array, and the fit is array functions on it.  Where the
+    weighted points do not determine a parabola, a straight line is fitted,
+    and where they do not determine a line, their weighted mean is taken.
     """
     group = list(group)
-    src = df.select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(
+    rows = df.select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    fields = [f for f in src.schema.fields if f.name in group]
-    schema = T.StructType(fields + [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()),
-                                    T.StructField("fitted", T.DoubleType())])
-
-    def fit(pdf):
-        pdf = pdf.sort_values("x", kind="mergesort").reset_index(drop=True)
-        pdf["fitted"] = loess_points(pdf["x"].to_numpy(), pdf["y"].to_numpy(), span)
-        return pdf[[*group, "x", "y", "fitted"]]
-
-    return src.groupBy(*group).applyInPandas(fit, schema)
+    series = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
+    points, n = F.col("points"), F.size("points")
+    near = F.greatest(F.least(F.floor(n * F.lit(span) + F.lit(1e-5)).cast("int"), n), F.lit(1))
+
+    def fit(p):
+        gaps = F.transform(points, lambda a: F.abs(a["x"] - p["x"]))
+        reach = F.get(F.array_sort(gaps), near - 1) if span <= 1.0 else F.array_max(gaps) * F.lit(span)
+
+        def add(m, a):
+            u = F.try_divide(a["x"] - p["x"], reach)
+            w = F.when(reach <= 0, F.when(a["x"] == p["x"], 1.0).otherwise(0.0)).when(
+                F.abs(u) < 1, F.pow(1 - F.pow(F.abs(u), 3), 3)).otherwise(0.0)
+            u = F.coalesce(u, F.lit(0.0))
+            step = [w, w * u, w * u * u, w * u * u * u, w * u * u * u * u, w * a["y"], w * u * a["y"], w * u * u * a["y"]]
+            return F.array(*[m[k] + v for k, v in enumerate(step)])
+
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"),
+                        F.aggregate(points, F.array(*[F.lit(0.0)] * 8), add).alias("m"))
+
+    fitted = series.select(*group, F.explode(F.transform(points, fit)).alias("f")).select(*group, "f.*")
+    s0, s1, s2, s3, s4, t0, t1, t2 = (F.col("m")[k] for k in range(8))
+    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    parabola = F.try_divide(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2), det)
+    flat = s0 * s2 - s1 * s1
+    line = F.try_divide(t0 * s2 - t1 * s1, flat)
+    return fitted.select(*group, "x", "y", F.when(det > F.lit(1e-10) * s0 * s2 * s4, parabola)
+                         .when(flat > F.lit(1e-10) * s0 * s2, line).otherwise(t0 / s0).alias("fitted"))
+
+
+def local_trend_sql(series: str, group: str, span: float) -> str:
+    """DuckDB CTEs ``m3_gaps`` to ``m3`` for a CTE ``series`` with columns (group, x, y)."""
+    reach = (f"max(CASE WHEN rk = greatest(least(CAST(floor(n * {span} + 1e-5) AS BIGINT), n), 1) THEN gap END)"
+             if span <= 1.0 else f"max(gap) * {span}")
+    sums = ", ".join(f"sum(w * {'*'.join(['u'] * k) or '1'}) AS s{k}" for k in range(5))
+    sums += ", " + ", ".join(f"sum(w * {'*'.join(['u'] * k) or '1'} * y1) AS t{k}" for k in range(3))
+    return f"""
+m3_gaps AS (SELECT a.{group}, a.x, a.y, b.x AS x1, b.y AS y1, abs(b.x - a.x) AS gap,
+              row_number() OVER (PARTITION BY a.{group}, a.x ORDER BY abs(b.x - a.x)) AS rk,
+              count(*) OVER (PARTITION BY a.{group}, a.x) AS n
+            FROM {series} a JOIN {series} b ON a.{group} = b.{group}),
+m3_reach AS (SELECT {group}, x, {reach} AS h FROM m3_gaps GROUP BY {group}, x),
+m3_weights AS (SELECT g.*, CASE WHEN h > 0 THEN (x1 - g.x) / h ELSE 0 END AS u,
+                 CASE WHEN h <= 0 THEN CASE WHEN x1 = g.x THEN 1.0 ELSE 0.0 END
+                      WHEN gap / h < 1 THEN pow(1 - pow(gap / h, 3), 3) ELSE 0.0 END AS w
+               FROM m3_gaps g JOIN m3_reach r ON g.{group} = r.{group} AND g.x = r.x),
+m3_sums AS (SELECT {group}, x, any_value(y) AS y, {sums} FROM m3_weights GROUP BY {group}, x),
+m3_det AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det,
+             s0 * s2 - s1 * s1 AS flat FROM m3_sums),
+m3 AS (SELECT {group}, x, y, CASE
+         WHEN det > 1e-10 * s0 * s2 * s4
+           THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det
+         WHEN flat > 1e-10 * s0 * s2 THEN (t0 * s2 - t1 * s1) / flat ELSE t0 / s0 END AS fitted FROM m3_det)"""

@@ -95,7 +95,7 @@ def a4_taxon_section_annual_mean(spark, d):
 
 
 @register("a5_years_detected", V.ctes(OBS_CAL) + """
-SELECT alpha_code, count(DISTINCT study_year) AS num_years_detected
+SELECT alpha_code, count(DISTINCT study_year) + max(CAST(study_year IS NULL AS BIGINT)) AS num_years_detected
 FROM obs_cal WHERE section_final > 0 GROUP BY alpha_code""")
 def a5_years_detected(spark, d):
     """A5: number of study years with a count above zero, per code."""
@@ -147,11 +147,11 @@ def a8_season_mean_median(spark, d):
 
 
 @register("a9_all_taxa_annual_mean", V.ctes(SQL_BW) + f"""
-SELECT study_year, round_even({strict('avg', 'baywide_count')}, 6) AS all_wbirds FROM bw_all GROUP BY study_year""")
+SELECT study_year, round_even({strict('avg', 'baywide_count')}, 6) AS all_taxa FROM bw_all GROUP BY study_year""")
 def a9_all_taxa_annual_mean(spark, d):
     """Mean per study year of the all-codes survey totals."""
     r = S.all_taxa_annual_mean(obs_cal(spark, d))
-    return r.withColumn("all_wbirds", r6("all_wbirds"))
+    return r.withColumn("all_taxa", r6("all_taxa"))
 
 
 SQL_RANK = SQL_BW + """,
@@ -573,9 +573,9 @@ def a20_day_total(spark, d):
 
 @register("a25_value_summary", V.ctes(V.SQL_EVENTS_VALUES) + f"""
 SELECT species, round_even(max_count, 6) AS max_count, round_even(min_count, 6) AS min_count,
-       {rhe('s', 'n * 100', 1)} AS mean_count, n AS num_records
-FROM (SELECT species, max(count) AS max_count, min(count) AS min_count,
-             sum(CAST(round(count * 100) AS BIGINT)) AS s, count(*) AS n FROM events_values GROUP BY species)""")
+       round_even(m, 1) AS mean_count, n AS num_records
+FROM (SELECT species, max(count) AS max_count, min(count) AS min_count, avg(count) AS m, count(*) AS n
+      FROM events_values GROUP BY species)""")
 def a25_value_summary(spark, d):
     """Per species max, min, mean (1 digit) and records, on signed counts."""
     r = S.value_summary(V.events_values(spark, d))
@@ -588,7 +588,9 @@ SURVEY_TYPES = ["A", "N", "R"]
 
 @register("r18_totals_by_type_matrix", V.ctes(V.SQL_OBS) + "\nSELECT CAST(year(visit_date) AS INTEGER) AS year, "
           + ", ".join(f"CAST(sum(section_final) FILTER (WHERE survey_type = '{t}') AS BIGINT) AS {t}"
-                      for t in SURVEY_TYPES) + "\nFROM obs GROUP BY 1")
+                      for t in SURVEY_TYPES)
+          + ", CAST(sum(section_final) FILTER (WHERE survey_type IS NULL OR survey_type NOT IN ("
+          + ", ".join(f"'{t}'" for t in SURVEY_TYPES) + ")) AS BIGINT) AS unlisted\nFROM obs GROUP BY 1")
 def r18_totals_by_type_matrix(spark, d):
     """Calendar year x survey type totals, one column per type."""
     return S.totals_by_type_matrix(V.obs(spark, d), SURVEY_TYPES)
@@ -628,6 +630,33 @@ def a1_lump_taxa(spark, d):
     return TX.lump_taxa(o, LUMP_MEMBERS, LUMP_LABEL, "lumped.brand2")
 
 
+# stand-ins for the two lumping groups of the reference (three codes each)
+LUMP_GROUPS = {"scaup": (TX.SCAUP_GROUP, ["Brand#11", "Brand#12", "Brand#13"]),
+               "grebe": (TX.GREBE_GROUP, ["Brand#21", "Brand#22", "Brand#23"])}
+
+
+@register("a1_lump_groups", V.ctes(V.SQL_OBS, f"""
+obs_a AS (SELECT {C.season()} AS season, visit_date, survey_num, section, section_final,
+                 CASE """ + " ".join(f"WHEN alpha_code = '{b}' THEN '{c}'" for codes, brands in LUMP_GROUPS.values()
+                                     for c, b in zip(codes, brands)) + """ ELSE alpha_code END AS alpha_code FROM obs)""")
+          + "\nUNION ALL\n".join(f"""
+SELECT season, visit_date, survey_num, section, '{codes[-1]}' AS alpha_code, {strict_sum('section_final')} AS section_final,
+       'lumped.{name}' AS data_is
+FROM obs_a WHERE alpha_code IN ({_sql_list(codes)}) GROUP BY season, visit_date, survey_num, section"""
+                                  for name, (codes, _) in LUMP_GROUPS.items()) + f"""
+UNION ALL
+SELECT season, visit_date, survey_num, section, alpha_code, section_final, NULL FROM obs_a
+WHERE alpha_code IS NULL OR alpha_code NOT IN ({_sql_list([c for codes, _ in LUMP_GROUPS.values() for c in codes])})""")
+def a1_lump_groups(spark, d):
+    """A1 twice: the scaup group and the grebe group, each into its pooled code."""
+    o = with_season(V.obs(spark, d)).withColumn("data_is", F.lit(None).cast("string"))
+    names = {b: c for codes, brands in LUMP_GROUPS.values() for c, b in zip(codes, brands)}
+    o = o.replace(names, subset=["alpha_code"])
+    for name, (codes, _) in LUMP_GROUPS.items():
+        o = TX.lump_taxa(o, codes, codes[-1], f"lumped.{name}")
+    return o
+
+
 @register("l1_attach_taxonomy", V.ctes(V.SQL_TAXA, SQL_BW) + """
 SELECT s.study_year, s.alpha_code, round_even(s.mean_abund, 6) AS mean_abund, t.common_name, t.species,
        t.species_number
@@ -719,7 +748,8 @@ def f7_species_list(spark, d):
 def _t975_sql(df_expr: str) -> str:
     lst = "[" + ", ".join(repr(v) for v in TR.T975) + "]"
     return (f"CASE WHEN {df_expr} BETWEEN 1 AND {TR.T_TABLE_MAX_DF} THEN {lst}[CAST({df_expr} AS INTEGER)] "
-            f"WHEN {df_expr} > {TR.T_TABLE_MAX_DF} THEN {TR.Z975} END")
+            f"WHEN {df_expr} > {TR.T_TABLE_MAX_DF} THEN "
+            + " + ".join(f"{c!r} / pow({df_expr}, {k})" for k, c in enumerate(TR.T975_SERIES)) + " END")
 
 
 @register("m1_linear_trend", V.ctes(SQL_A14) + f"""
@@ -735,6 +765,19 @@ def m1_linear_trend(spark, d):
     return TR.linear_trend(S.taxon_season_summary(season_totals(spark, d)), ["alpha_code"], "season", "mean_num")
 
 
+@register("m1_linear_trend_survey_totals", V.ctes(OBS_SEASON) + f"""
+SELECT alpha_code, round_even(b, 2) AS trend, round_even(b + half, 2) AS upper95ci, round_even(b - half, 2) AS lower95ci
+FROM (SELECT *, {_t975_sql('n - 2')} * CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2) / sxx) END
+             AS half
+      FROM (SELECT alpha_code, CAST(regr_count(summed_num, season) AS BIGINT) AS n, regr_slope(summed_num, season) AS b,
+                   regr_sxx(summed_num, season) AS sxx, regr_sxy(summed_num, season) AS sxy,
+                   regr_syy(summed_num, season) AS syy
+            FROM sst GROUP BY alpha_code))""")
+def m1_linear_trend_survey_totals(spark, d):
+    """M1 on the survey totals of A12: per code, slope on season with a 95 % interval (2 digits)."""
+    return TR.linear_trend(season_totals(spark, d), ["alpha_code"], "season", "summed_num")
+
+
 @register("m2_quadratic_trend", V.ctes(OBS_CAL, f"""
 dt AS (SELECT study_year, study_day, CAST({strict('sum', 'section_final')} AS DOUBLE) AS bay_total
        FROM obs_cal GROUP BY study_year, study_day),
@@ -759,18 +802,26 @@ def m2_quadratic_trend(spark, d):
                     F.bround("linear", 6).alias("linear"), F.bround("quadratic", 9).alias("quadratic"))
 
 
-@register("m3_local_trend")
+@register("m3_local_trend", V.ctes(SQL_BW, """
+m3_in AS (SELECT alpha_code, CAST(study_year AS DOUBLE) AS x, mean_abund AS y FROM sm
+          WHERE alpha_code <> 'all' AND mean_abund IS NOT NULL)""", TR.local_trend_sql("m3_in", "alpha_code", 0.75)) + """
+SELECT alpha_code, x, round_even(y, 6) AS y, round_even(fitted, 6) AS fitted FROM m3""")
 def m3_local_trend(spark, d):
-    """M3: local quadratic smoother (span 0.75) of each code's yearly mean (no SQL twin; tolerance-tested)."""
+    """M3: local quadratic smoother (span 0.75) of each code's yearly mean."""
     sm = season_means(spark, d).filter(F.col("alpha_code") != "all")
-    return TR.local_trend(sm, ["alpha_code"], "study_year", "mean_abund", span=0.75)
+    r = TR.local_trend(sm, ["alpha_code"], "study_year", "mean_abund", span=0.75)
+    return r.select("alpha_code", "x", r6("y").alias("y"), r6("fitted").alias("fitted"))
 
 
-@register("m3_local_trend_all_taxa")
+@register("m3_local_trend_all_taxa", V.ctes(SQL_BW, f"""
+m3_in AS (SELECT 'all' AS series, CAST(study_year AS DOUBLE) AS x, {strict('avg', 'baywide_count')} AS y FROM bw_all
+          GROUP BY study_year)""", TR.local_trend_sql("m3_in", "series", 1.1)) + """
+SELECT series, x, round_even(y, 6) AS y, round_even(fitted, 6) AS fitted FROM m3""")
 def m3_local_trend_all_taxa(spark, d):
-    """M3 with span 1.1 on the all-codes yearly mean (one series)."""
+    """M3 with span 1.1 on the all-codes yearly mean (one value per year)."""
     a = S.all_taxa_annual_mean(obs_cal(spark, d)).withColumn("series", F.lit("all"))
-    return TR.local_trend(a, ["series"], "study_year", "all_wbirds", span=1.1)
+    r = TR.local_trend(a, ["series"], "study_year", "all_taxa", span=1.1)
+    return r.select("series", "x", r6("y").alias("y"), r6("fitted").alias("fitted"))
 
 
 # ------------------------------------------------------------- sources

@@ -39,6 +39,25 @@ def a29_missed_by_block(spark, d):
     return Q.missed_by_block(RS.status_long(V.status_obs(spark, d)))
 
 
+@register("a29_missed_rows", V.ctes(V.SQL_STATUS_OBS, V.sql_status_matrix()) + """
+SELECT DISTINCT visit_date, block FROM sl2 WHERE surveyed = 'not surveyed'""")
+def a29_missed_rows(spark, d):
+    """The missed (date, block) pairs, in date and block order."""
+    return Q.missed_rows(RS.status_long(V.status_obs(spark, d))).orderBy("visit_date", "block")
+
+
+LEFT_OUT_DATES = ["1996-02-29", "1997-01-01"]
+
+
+@register("f8_without_dates", V.ctes(V.SQL_OBS) + f"""
+SELECT visit_date, count(*) AS n_records FROM obs
+WHERE visit_date IS NULL OR visit_date NOT IN ({", ".join(f"DATE '{x}'" for x in LEFT_OUT_DATES)}) GROUP BY visit_date""")
+def f8_without_dates(spark, d):
+    """F8: records of all but two dates, counted per date."""
+    kept = Q.exclude_dates(V.obs(spark, d), LEFT_OUT_DATES)
+    return kept.groupBy("visit_date").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 _UNPIV = ", ".join(V.STATUS_BLOCKS)
 
 
@@ -142,7 +161,9 @@ def a26_negative_codes(spark, d):
 
 
 @register("a26_code_by_block", V.ctes(SQL_POOLED) + "\nSELECT species, " + ", ".join(
-    f"count(*) FILTER (WHERE block = '{b}') AS {b}" for b in EVENT_BLOCKS) + " FROM pooled GROUP BY species")
+    f"count(*) FILTER (WHERE block = '{b}') AS {b}" for b in EVENT_BLOCKS)
+    + ", count(*) FILTER (WHERE block IS NULL OR block NOT IN (" + ", ".join(f"'{b}'" for b in EVENT_BLOCKS)
+    + ")) AS unlisted FROM pooled GROUP BY species")
 def a26_code_by_block(spark, d):
     """Two-way code x block table of pooled negatives, zero cells included."""
     return Q.crosstab_full(Q.pooled_negatives(V.events_values(spark, d), POOLED), "species", "block",

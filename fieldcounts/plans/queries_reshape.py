@@ -32,7 +32,7 @@ wj AS (SELECT w.*, b.transect, b.survey_block, b.survey_type FROM old_wide w
          (SELECT 1 FROM old_wide w WHERE w.BOAT = b.BOAT AND w.SECTION = b.SECTION)),
 wk AS (SELECT *, {_MDY} AS mdy, CAST(try_strptime({_MDY}, '%m-%d-%Y') AS DATE) AS date_key FROM wj),
 keyed AS (
-  SELECT CAST(row_number() OVER (ORDER BY date_key ASC NULLS LAST, SECTION, BOAT) AS VARCHAR) || '.' || mdy
+  SELECT CAST(row_number() OVER (ORDER BY date_key ASC NULLS LAST, SECTION, BOAT, ID) AS VARCHAR) || '.' || mdy
            || '.' || coalesce(survey_block, 'NA') AS date_transect_block_key,
          mdy || '.' || coalesce(transect, 'NA') AS date_transect_key,
          date_key, survey_block, survey_type, BOAT, SECTION, {", ".join(_REST)},
@@ -158,6 +158,17 @@ def u3_tables_equal(spark, d):
     return RS.tables_equal(rebuilt, RS.unpivot_keyed_wide(k, TAXA))
 
 
+@register("u3_numbering_check", V.ctes(SQL_KEYED) + f"""
+SELECT count(*) AS n_rows, min(observation_id) AS first_number, max(observation_id) AS last_number,
+       min(observation_id) = 1 AND max(observation_id) = count(*) AND count(DISTINCT observation_id) = count(*)
+         AND count(DISTINCT date_transect_block_key) * {len(TAXA)} = count(*) AS numbered_in_order
+FROM obs_long""")
+def u3_numbering_check(spark, d):
+    """The observation ids are 1..N, each once, and each block's taxa are numbered in a row."""
+    o = RS.derive_observations(keyed(spark, d), TAXA)
+    return RS.numbering_check(o, "observation_id", "date_transect_block_key", len(TAXA))
+
+
 @register("u4_row_count_invariants", V.ctes(SQL_KEYED, """
 cov AS (SELECT DISTINCT CAST(try_strptime(coalesce(CAST(MONTH AS VARCHAR), 'NA') || '-' || coalesce(CAST(DAY AS VARCHAR), 'NA')
             || '-' || coalesce(CAST(YEAR AS VARCHAR), 'NA'), '%m-%d-%Y') AS DATE) AS survey_date,
@@ -173,13 +184,12 @@ SELECT n_surveys, n_transects, n_blocks, n_observations, n_block_transect_keys,
        n_block_transect_keys = n_transects AS keys_match_transects,
        n_transects = 3 * n_surveys AS three_transects_per_survey,
        n_observations = n_blocks * {len(TAXA)} AS observations_are_blocks_x_taxa,
-       true AS coverage_adds_up
+       n_dates * n_coverage_blocks = (n_dates * n_coverage_blocks - n_covered) + n_blocks AS coverage_adds_up
 FROM c""")
 def u4_row_count_invariants(spark, d):
     """U4: row-count identities of the relational model, one row."""
     k, s, t, b, o = model(spark, d)
-    cov = RS.coverage_matrix(V.old_wide(spark, d))
-    return Q.row_count_invariants(s, t, b, o, len(TAXA), cov)
+    return Q.row_count_invariants(s, t, b, o, len(TAXA), RS.coverage_pairs(V.old_wide(spark, d)))
 
 
 @register("r13_parse_block_key", V.ctes(SQL_KEYED, """
@@ -199,6 +209,9 @@ def r13_parse_block_key(spark, d):
                                         "surveyblock2", "block_tbl")
 
 
+# every BOAT.SECTION of the survey plan
+COVER_BLOCKS = [f"{b}.{s}" for b in (1, 2, 3) for s in range(1, 10)]
+
 SQL_COV = V.SQL_OLD_WIDE + """,
 cov AS (SELECT DISTINCT CAST(try_strptime(coalesce(CAST(MONTH AS VARCHAR), 'NA') || '-' || coalesce(CAST(DAY AS VARCHAR), 'NA')
             || '-' || coalesce(CAST(YEAR AS VARCHAR), 'NA'), '%m-%d-%Y') AS DATE) AS survey_date,
@@ -207,28 +220,32 @@ cov AS (SELECT DISTINCT CAST(try_strptime(coalesce(CAST(MONTH AS VARCHAR), 'NA')
 
 
 @register("r14_coverage_matrix", V.ctes(SQL_COV) + """
-SELECT * FROM (PIVOT cov ON temp_block USING CAST(count(*) AS INTEGER) GROUP BY survey_date)""")
+SELECT survey_date, """ + ", ".join(f"CAST(count(*) FILTER (WHERE temp_block = '{b}') AS INTEGER) AS \"{b}\""
+                                    for b in COVER_BLOCKS) + """,
+       CAST(count(*) FILTER (WHERE temp_block NOT IN (""" + ", ".join(f"'{b}'" for b in COVER_BLOCKS) + """)) AS INTEGER)
+         AS unlisted
+FROM cov GROUP BY survey_date""")
 def r14_coverage_matrix(spark, d):
-    """Survey date x BOAT.SECTION coverage (1 surveyed, 0 not), columns from the data."""
-    return RS.coverage_matrix(V.old_wide(spark, d))
+    """Survey date x BOAT.SECTION coverage (1 surveyed, 0 not), a column per block."""
+    return RS.coverage_matrix(V.old_wide(spark, d), COVER_BLOCKS)
 
 
 @register("r15_coverage_totals", V.ctes(SQL_COV) + """
 SELECT temp_block AS block, count(*) AS days_surveyed FROM cov GROUP BY temp_block""")
 def r15_coverage_totals(spark, d):
     """Days surveyed per block (column sums of R14)."""
-    return RS.coverage_totals(RS.coverage_matrix(V.old_wide(spark, d)))
+    return RS.coverage_totals(V.old_wide(spark, d))
 
 
 @register("r15_coverage_long", V.ctes(SQL_COV) + """
 SELECT g.survey_date, CAST(g.temp_block AS DOUBLE) AS section, CAST(count(c.temp_block) AS INTEGER) AS done
-FROM (SELECT survey_date, unnest((SELECT list(DISTINCT temp_block) FROM cov)) AS temp_block
+FROM (SELECT survey_date, unnest([""" + ", ".join(f"'{b}'" for b in COVER_BLOCKS) + """]) AS temp_block
       FROM (SELECT DISTINCT survey_date FROM cov)) g
 LEFT JOIN cov c ON c.survey_date = g.survey_date AND c.temp_block = g.temp_block
 GROUP BY g.survey_date, g.temp_block""")
 def r15_coverage_long(spark, d):
     """R14 back in long form with the block as a number (1.3)."""
-    return RS.coverage_long(RS.coverage_matrix(V.old_wide(spark, d)))
+    return RS.coverage_long(V.old_wide(spark, d), COVER_BLOCKS)
 
 
 R20_TAXON = "PROMO"

@@ -9,7 +9,7 @@ from ..operators import surveys as SV
 from . import sqlcal as C
 from . import views as V
 from .catalog import r6, register
-from .sqltext import strict_sum
+from .sqltext import strict, strict_sum
 
 # Test binding of the manual corrections (FIXTURES.md): add 1 in 1997; (1995, 2) -> 3.
 TEST_OVERRIDES = [{"study_year": 1997, "add": 1}, {"study_year": 1995, "survey_num": 2, "set": 3}]
@@ -99,9 +99,15 @@ def w7_survey_intervals_all_dates(spark, d):
     return SV.survey_intervals(SV.survey_numbers(with_study_day(V.obs(spark, d))))
 
 
-@register("r17_survey_date_matrix", V.ctes(SQL_NUM) + "\nSELECT study_year, " + ", ".join(
-    f"min(CAST(visit_date AS VARCHAR)) FILTER (WHERE cor_survey_num = {i}) AS s_{i}" for i in range(1, 5))
-    + " FROM numbers GROUP BY study_year")
+_DATE_CELLS = ", ".join(
+    f"string_agg(CAST(visit_date AS VARCHAR), ', ' ORDER BY CAST(visit_date AS VARCHAR)) "
+    f"FILTER (WHERE cor_survey_num = {i}) AS s_{i}" for i in range(1, 5)) + """,
+  string_agg(cor_survey_num || ': ' || visit_date, ', ' ORDER BY cor_survey_num || ': ' || visit_date)
+    FILTER (WHERE cor_survey_num NOT BETWEEN 1 AND 4) AS s_over"""
+
+
+@register("r17_survey_date_matrix", V.ctes(SQL_NUM) + "\nSELECT study_year, " + _DATE_CELLS
+          + " FROM numbers GROUP BY study_year")
 def r17_survey_date_matrix(spark, d):
     """Study year x corrected survey number -> date text."""
     return SV.survey_date_matrix(numbers(spark, d))
@@ -141,11 +147,11 @@ def a21_bay_mean_by_taxon(spark, d):
     return r.withColumn("mean_bay_survey_count", r6("mean_bay_survey_count"))
 
 
-SQL_EFFORT = SQL_NUM + """,
-eff AS (SELECT study_year, alpha_code, 'all' AS which_surveys, avg(bay_total) AS m FROM st GROUP BY 1, 2
-        UNION ALL SELECT study_year, alpha_code, '3', avg(bay_total) FROM st WHERE cor_survey_num < 4 GROUP BY 1, 2
-        UNION ALL SELECT study_year, alpha_code, '2', avg(bay_total) FROM st WHERE cor_survey_num < 3 GROUP BY 1, 2
-        UNION ALL SELECT study_year, alpha_code, '1', avg(bay_total) FROM st WHERE cor_survey_num < 2 GROUP BY 1, 2),
+SQL_EFFORT = SQL_NUM + f""",
+eff AS (SELECT study_year, alpha_code, 'all' AS which_surveys, {strict('avg', 'bay_total')} AS m FROM st GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '3', {strict('avg', 'bay_total')} FROM st WHERE cor_survey_num < 4 GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '2', {strict('avg', 'bay_total')} FROM st WHERE cor_survey_num < 3 GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '1', {strict('avg', 'bay_total')} FROM st WHERE cor_survey_num < 2 GROUP BY 1, 2),
 spy AS (SELECT study_year, max(survey_num) AS survey_num FROM numbers GROUP BY study_year)"""
 
 
@@ -167,10 +173,10 @@ def a23_surveys_per_year(spark, d):
     return SV.surveys_per_year(numbers(spark, d))
 
 
-@register("a24_effort_comparison", V.ctes(SQL_EFFORT) + """
+@register("a24_effort_comparison", V.ctes(SQL_EFFORT) + f"""
 SELECT s.study_year, e.which_surveys, round_even(e.total_birds, 6) AS total_birds, s.survey_num
-FROM (SELECT study_year, which_surveys, sum(m) AS total_birds FROM eff GROUP BY 1, 2) e
-RIGHT JOIN spy s ON e.study_year = s.study_year""")
+FROM (SELECT study_year, which_surveys, {strict('sum', 'm')} AS total_birds FROM eff GROUP BY 1, 2) e
+RIGHT JOIN spy s ON e.study_year IS NOT DISTINCT FROM s.study_year""")
 def a24_effort_comparison(spark, d):
     """Summed means per (year, subset) with the year's number of surveys (right join)."""
     r = SV.effort_comparison(effort(spark, d), SV.surveys_per_year(numbers(spark, d)))
@@ -179,11 +185,11 @@ def a24_effort_comparison(spark, d):
 
 # Whole-table variants: every date of the table is a survey (years with more than
 # four dates get no corrected number, so the subsets reduce to "all").
-SQL_EFFORT_ALL = SQL_NUM_ALL + """,
-eff AS (SELECT study_year, alpha_code, 'all' AS which_surveys, avg(bay_total) AS m FROM st GROUP BY 1, 2
-        UNION ALL SELECT study_year, alpha_code, '3', avg(bay_total) FROM st WHERE cor_survey_num < 4 GROUP BY 1, 2
-        UNION ALL SELECT study_year, alpha_code, '2', avg(bay_total) FROM st WHERE cor_survey_num < 3 GROUP BY 1, 2
-        UNION ALL SELECT study_year, alpha_code, '1', avg(bay_total) FROM st WHERE cor_survey_num < 2 GROUP BY 1, 2),
+SQL_EFFORT_ALL = SQL_NUM_ALL + f""",
+eff AS (SELECT study_year, alpha_code, 'all' AS which_surveys, {strict('avg', 'bay_total')} AS m FROM st GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '3', {strict('avg', 'bay_total')} FROM st WHERE cor_survey_num < 4 GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '2', {strict('avg', 'bay_total')} FROM st WHERE cor_survey_num < 3 GROUP BY 1, 2
+        UNION ALL SELECT study_year, alpha_code, '1', {strict('avg', 'bay_total')} FROM st WHERE cor_survey_num < 2 GROUP BY 1, 2),
 spy AS (SELECT study_year, max(survey_num) AS survey_num FROM numbers GROUP BY study_year)"""
 
 
@@ -215,19 +221,18 @@ def a22_effort_subsets_all_dates(spark, d):
     return r.withColumn("mean_bay_survey_count", r6("mean_bay_survey_count"))
 
 
-@register("a24_effort_comparison_all_dates", V.ctes(SQL_EFFORT_ALL) + """
+@register("a24_effort_comparison_all_dates", V.ctes(SQL_EFFORT_ALL) + f"""
 SELECT s.study_year, e.which_surveys, round_even(e.total_birds, 6) AS total_birds, s.survey_num
-FROM (SELECT study_year, which_surveys, sum(m) AS total_birds FROM eff GROUP BY 1, 2) e
-RIGHT JOIN spy s ON e.study_year = s.study_year""")
+FROM (SELECT study_year, which_surveys, {strict('sum', 'm')} AS total_birds FROM eff GROUP BY 1, 2) e
+RIGHT JOIN spy s ON e.study_year IS NOT DISTINCT FROM s.study_year""")
 def a24_effort_comparison_all_dates(spark, d):
     """A23 + A24 on every date of the table."""
     r = SV.effort_comparison(SV.effort_subsets(obs_num_all(spark, d)), SV.surveys_per_year(numbers_all(spark, d)))
     return r.withColumn("total_birds", r6("total_birds"))
 
 
-@register("r17_survey_date_matrix_all_dates", V.ctes(SQL_NUM_ALL) + "\nSELECT study_year, " + ", ".join(
-    f"min(CAST(visit_date AS VARCHAR)) FILTER (WHERE cor_survey_num = {i}) AS s_{i}" for i in range(1, 5))
-    + " FROM numbers GROUP BY study_year")
+@register("r17_survey_date_matrix_all_dates", V.ctes(SQL_NUM_ALL) + "\nSELECT study_year, " + _DATE_CELLS
+          + " FROM numbers GROUP BY study_year")
 def r17_survey_date_matrix_all_dates(spark, d):
     """R17 on every date of the table."""
     return SV.survey_date_matrix(numbers_all(spark, d))

@@ -31,9 +31,8 @@ SQL_X2 = V.SQL_SURVEY_NOTES + """,
 x2 AS (SELECT visit_date, 'all survey:  ' || lower(survey_notes) AS survey_notes
        FROM (SELECT DISTINCT visit_date, survey_notes FROM survey_notes) WHERE survey_notes IS NOT NULL)"""
 SQL_A27 = SQL_X1 + ",\n" + SQL_X2 + """,
-a27 AS (SELECT visit_date, string_agg(notes, ' | ' ORDER BY src, notes) AS all_date_notes
-        FROM (SELECT visit_date, block_w_notes AS notes, 0 AS src FROM x1
-              UNION ALL SELECT visit_date, survey_notes, 1 FROM x2) GROUP BY visit_date)"""
+a27 AS (SELECT visit_date, 0 AS src, block_w_notes AS notes FROM x1
+        UNION ALL SELECT visit_date, 1, survey_notes FROM x2)"""
 
 
 @register("x1_keyword_notes", V.ctes(SQL_X1) + "\nSELECT visit_date, block, block_notes, block_w_notes FROM x1")
@@ -54,6 +53,12 @@ def x1_keyword_notes_reference_terms(spark, d):
     return N.keyword_notes(V.block_notes(spark, d))
 
 
+@register("x1_lowered_notes", V.ctes(SQL_X1) + "\nSELECT * FROM low")
+def x1_lowered_notes(spark, d):
+    """X1 input: the distinct lower-cased block notes."""
+    return N.lowered_notes(V.block_notes(spark, d))
+
+
 @register("x2_survey_notes", V.ctes(SQL_X2) + "\nSELECT * FROM x2")
 def x2_survey_notes(spark, d):
     """Distinct survey notes per date, lower-cased and prefixed."""
@@ -62,17 +67,18 @@ def x2_survey_notes(spark, d):
 
 @register("x3_numeric_note_parts", V.ctes(V.SQL_BLOCK_NOTES) + r"""
 SELECT visit_date, block, block_notes, extract_notes FROM (
-  SELECT visit_date, block, block_notes, unnest(string_split_regex(block_notes, ',|\.')[1:10]) AS extract_notes
+  SELECT visit_date, block, block_notes, unnest(string_split_regex(block_notes, ',|\.')) AS extract_notes
   FROM (SELECT DISTINCT visit_date, block, block_notes FROM block_notes
         WHERE coalesce(regexp_matches(block_notes, '\d'), false)) WHERE block_notes IS NOT NULL)
 WHERE extract_notes IS NOT NULL AND extract_notes <> ''""")
 def x3_numeric_note_parts(spark, d):
-    """Notes with a digit split on ',' or '.' into at most 10 non-empty parts."""
+    """Notes with a digit split on ',' or '.' into all its non-empty parts."""
     return N.numeric_note_parts(V.block_notes(spark, d))
 
 
 SQL_X4 = _x1_sql(TERMS, True) + f""",
-x4 AS (SELECT visit_date, block, true AS hunters FROM low WHERE coalesce(regexp_matches(block_notes, '{HUNT_WORD}'), false))"""
+x4 AS (SELECT visit_date, block, count(*) AS n_notes, true AS hunters FROM low
+       WHERE coalesce(regexp_matches(block_notes, '{HUNT_WORD}'), false) GROUP BY visit_date, block)"""
 
 
 def hunt(spark, d):
@@ -81,18 +87,19 @@ def hunt(spark, d):
 
 @register("x4_hunter_presence", V.ctes(SQL_X4) + "\nSELECT * FROM x4")
 def x4_hunter_presence(spark, d):
-    """(date, block) rows whose note mentions the word, one per note."""
+    """(date, block) with a note that mentions the word, and the number of such notes."""
     return hunt(spark, d)
 
 
 SQL_X5 = V.SQL_BLOCK_COUNTS + ",\n" + SQL_X4 + f""",
 x5 AS (SELECT coalesce(c.visit_date, h.visit_date) AS visit_date, coalesce(c.block, h.block) AS block,
-              c.species, c.count,
+              c.species, c.count, h.n_notes,
               CASE WHEN h.hunters IS NULL THEN 'hunters not present' ELSE 'hunters present' END AS hunters,
               CASE WHEN coalesce(c.species IN ({", ".join(_sql_str(g) for g in GAME)}), false)
                    THEN 'game species' ELSE 'non-game species' END AS game_spp
-       FROM block_counts c FULL JOIN x4 h ON c.visit_date = h.visit_date AND c.block = h.block
-       WHERE coalesce(c.block, h.block) IN (SELECT block FROM x4))"""
+       FROM block_counts c FULL JOIN x4 h
+         ON c.visit_date IS NOT DISTINCT FROM h.visit_date AND c.block IS NOT DISTINCT FROM h.block
+       WHERE EXISTS (SELECT 1 FROM x4 w WHERE w.block IS NOT DISTINCT FROM coalesce(c.block, h.block)))"""
 
 
 def labelled(spark, d):
@@ -126,14 +133,14 @@ def digests(spark, d):
 
 @register("a27_notes_per_date", V.ctes(SQL_A27) + "\nSELECT * FROM a27")
 def a27_notes_per_date(spark, d):
-    """Keyword block notes and survey notes of each date joined with ' | '."""
+    """Keyword block notes and survey notes of each date, a row per note in reading order (date, src, notes)."""
     return digests(spark, d)
 
 
 @register("x6_missed_with_notes", V.ctes(V.SQL_STATUS_OBS, V.sql_status_matrix(), SQL_A27) + """
-SELECT coalesce(m.visit_date, a.visit_date) AS visit_date, m.* EXCLUDE (visit_date), a.all_date_notes
-FROM smat m FULL JOIN a27 a ON m.visit_date = a.visit_date""")
+SELECT coalesce(m.visit_date, a.visit_date) AS visit_date, m.* EXCLUDE (visit_date), a.src, a.notes
+FROM smat m FULL JOIN a27 a ON m.visit_date IS NOT DISTINCT FROM a.visit_date""")
 def x6_missed_with_notes(spark, d):
-    """The date x block status table beside each date's notes (full join on date)."""
+    """The date x block status table beside each of the date's notes (full join on date)."""
     m = RS.status_matrix(V.status_obs(spark, d), V.STATUS_BLOCKS, boat_markers=V.STATUS_BOAT_MARKERS)
     return N.missed_with_notes(m, digests(spark, d))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.calendar import CALENDAR_FIRST_YEAR, CALENDAR_LAST_YEAR
-
 
 def study_year(d: str = "visit_date") -> str:
     return (f"CAST(CASE WHEN month({d}) < 6 THEN year({d}) - 1 "
@@ -17,12 +15,11 @@ def season(d: str = "visit_date", rule: int = 1) -> str:
             f"WHEN month({d}) <= 6 THEN year({d}) - 1 END AS INTEGER)")
 
 
-def study_day(d: str = "visit_date", lo: int = CALENDAR_FIRST_YEAR, hi: int = CALENDAR_LAST_YEAR) -> str:
+def study_day(d: str = "visit_date") -> str:
     nov1 = f"dayofyear(make_date(CAST(year({d}) AS INTEGER), 11, 1))"
     dec31 = f"dayofyear(make_date(CAST(year({d}) AS INTEGER), 12, 31))"
-    return (f"CAST(CASE WHEN year({d}) BETWEEN {lo} AND {hi} THEN "
-            f"CASE WHEN dayofyear({d}) > {nov1} THEN dayofyear({d}) - {nov1} "
-            f"ELSE dayofyear({d}) + ({dec31} - {nov1}) END END AS INTEGER)")
+    return (f"CAST(CASE WHEN dayofyear({d}) > {nov1} THEN dayofyear({d}) - {nov1} "
+            f"ELSE dayofyear({d}) + ({dec31} - {nov1}) END AS INTEGER)")
 
 
 def survey_period(d: str = "visit_date") -> str:

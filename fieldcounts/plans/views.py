@@ -12,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.calendar import study_year
+
 # Fixed values of the test binding (FIXTURES.md §2).
 TAXON_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 TRANSECTS = ["east", "middle", "west"]
-TAXA_LEFT_OUT = ["Brand#13", "Brand#24"]
 NOTES_EPOCH = "1995-01-01"
 NOTES_DAYS = 2400
-SURVEY_DAYS_KEEP = ["1999-12-28", "2001-03-05"]
-SURVEY_DAYS_DROP = ["1996-12-15", "1998-02-10", "2000-12-15", "2001-02-10"]
+# survey days by study year modulo 5: four surveys; three with one in period 4; three without;
+# five; three with a day outside all periods
+SURVEY_DAYS = [["12-15", "01-10", "01-25", "02-10"], ["01-10", "01-25", "02-10"], ["12-15", "01-10", "01-25"],
+               ["12-15", "12-28", "01-10", "01-25", "02-10"], ["01-10", "01-25", "03-05"]]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,31 +79,32 @@ obs AS (SELECT visit_date, alpha_code, section, survey_type, survey_num, section
 
 
 # --------------------------------------------------------- survey_obs
-def survey_dates_filter(date_col: str = "visit_date"):
-    d = F.col(date_col)
-    m, day = F.month(d), F.dayofmonth(d)
-    chosen = (((m == 12) & (day == 15)) | ((m == 1) & day.isin(10, 25)) | ((m == 2) & (day == 10))
-              | d.isin([F.lit(x).cast("date") for x in SURVEY_DAYS_KEEP]))
-    return chosen & ~d.isin([F.lit(x).cast("date") for x in SURVEY_DAYS_DROP])
-
-
 def survey_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """obs on a chosen survey calendar that reaches every numbering branch."""
-    return obs(spark, sf_dir).filter(survey_dates_filter())
+    """obs with every record's date folded onto one of its study year's survey days.
 
+    A study year has the days of ``SURVEY_DAYS[study_year % 5]``; the record's
+    day of the year picks one.  Together the years reach every numbering
+    branch, and no record is left out.
+    """
+    o = obs(spark, sf_dir)
+    year = study_year("visit_date")
+    kinds = F.array(*[F.array(*[F.lit(x) for x in days]) for days in SURVEY_DAYS])
+    days = F.get(kinds, F.pmod(year, F.lit(len(SURVEY_DAYS))))
+    day = F.get(days, F.pmod(F.dayofyear("visit_date"), F.size(days)))
+    calendar_year = F.when(day >= "06", year).otherwise(year + 1)
+    return o.withColumn("visit_date", F.to_date(F.concat_ws("-", calendar_year.cast("string"), day)))
 
-def _sql_dates(xs):
-    return ", ".join(f"DATE '{x}'" for x in xs)
 
+_SURVEY_DAYS_SQL = "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in days) + "]" for days in SURVEY_DAYS) + "]"
 
 SQL_SURVEY_OBS = SQL_OBS + f""",
+survey_days AS (SELECT *, CASE WHEN month(visit_date) < 6 THEN year(visit_date) - 1 ELSE year(visit_date) END AS sy,
+                  {_SURVEY_DAYS_SQL} AS kinds FROM obs),
+survey_day AS (SELECT *, kinds[1 + sy % {len(SURVEY_DAYS)}] AS days FROM survey_days),
+survey_md AS (SELECT *, days[1 + dayofyear(visit_date) % len(days)] AS md FROM survey_day),
 survey_obs AS (
-  SELECT * FROM obs
-  WHERE ((month(visit_date) = 12 AND day(visit_date) = 15)
-      OR (month(visit_date) = 1 AND day(visit_date) IN (10, 25))
-      OR (month(visit_date) = 2 AND day(visit_date) = 10)
-      OR visit_date IN ({_sql_dates(SURVEY_DAYS_KEEP)}))
-    AND visit_date NOT IN ({_sql_dates(SURVEY_DAYS_DROP)}))"""
+  SELECT CAST((CASE WHEN md >= '06' THEN sy ELSE sy + 1 END) || '-' || md AS DATE) AS visit_date,
+         alpha_code, section, survey_type, survey_num, section_final, status FROM survey_md)"""
 
 
 # ----------------------------------------------------------- old_wide
@@ -246,7 +250,7 @@ block_counts AS (
 def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taxonomy lookup: code, unique common name, scientific name, order."""
     p = _read(spark, sf_dir, "part")
-    g = p.filter(~F.col("p_brand").isin(TAXA_LEFT_OUT)).groupBy("p_brand").agg(
+    g = p.groupBy("p_brand").agg(
         F.min("p_name").alias("n1"), F.max("p_name").alias("n2"))
     num = F.substring(F.col("p_brand"), 7, 10)
     return g.select(
@@ -261,8 +265,7 @@ taxa AS (
   SELECT p_brand AS alpha_code, min(p_name) || ' ' || substr(p_brand, 7, 10) AS common_name,
          max(p_name) || ' ' || substr(p_brand, 7, 10) AS species,
          CAST(substr(p_brand, 7, 10) AS INTEGER) AS species_number
-  FROM part WHERE p_brand NOT IN (""" + ", ".join(f"'{x}'" for x in TAXA_LEFT_OUT) + """)
-  GROUP BY p_brand)"""
+  FROM part GROUP BY p_brand)"""
 
 
 # ------------------------------------------------------- events_values
@@ -375,8 +378,11 @@ sheet_tally AS (
 
 def sql_status_matrix(src: str = "status_obs", prefix: str = "") -> str:
     """SQL of R16 over ``src``: CTEs ``{prefix}sl2`` (long) and ``{prefix}smat`` (wide)."""
-    cells = ", ".join(f"coalesce(max(surveyed) FILTER (WHERE block = '{b}'), 'no record') AS {b}"
-                      for b in STATUS_BLOCKS)
+    cells = ", ".join(f"coalesce(CASE WHEN min(surveyed) FILTER (WHERE block = '{b}') <> max(surveyed) FILTER "
+                      f"(WHERE block = '{b}') THEN 'conflicting records' ELSE max(surveyed) FILTER (WHERE block = '{b}') "
+                      f"END, 'no record') AS {b}" for b in STATUS_BLOCKS)
+    listed = ", ".join(f"'{b}'" for b in STATUS_BLOCKS)
+    cells += f", count(DISTINCT block) FILTER (WHERE block NOT IN ({listed})) AS unlisted"
     return f"""{prefix}sl2 AS (
   SELECT visit_date, block,
          CASE WHEN no_birds_observed = 1 THEN 'surveyed, no birds obs'

@@ -19,14 +19,14 @@ SKIP_DATA_ROWS = 2
 
 
 def sheet_date(path_col) -> F.Column:
-    """Survey date from a sheet's file name: folder, extension and ``_p2`` removed.
+    """Survey date from a sheet's file name: folder, extension and part (``_p2``) removed.
 
     Files written by Spark with ``partitionBy("date")`` carry the date in
     their folder (``date=YYYY-MM-DD``); that is used when the name has none.
     """
     name = F.regexp_extract(path_col, r"([^/\\]+)$", 1)
     name = F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")
-    name = F.regexp_replace(name, "_p2", "")
+    name = F.regexp_replace(name, r"_p[0-9]+$", "")
     folder = F.regexp_extract(path_col, r"=([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})/[^/]*$", 1)
     return F.coalesce(F.try_to_date(name, "yyyy-M-d"), F.try_to_date(folder, "yyyy-M-d"))
 

@@ -22,8 +22,11 @@ def test_study_day_quirks(spark):
     assert out[D(1996, 12, 31)] == (1996, 60)
     assert out[D(1997, 1, 1)] == (1996, 61)
     assert out[D(1996, 2, 29)] == (1995, 120)
-    assert out[D(2021, 1, 5)] == (2020, None)   # outside the 1989-2020 lookup
-    assert out[D(1988, 12, 1)] == (1988, None)
+    assert out[D(2021, 1, 5)] == (2020, 65)      # no last year unless asked for
+    assert out[D(1988, 12, 1)] == (1988, 30)
+    bounded = {r.visit_date: r.study_day for r in with_study_day(_frame(spark, dates), first_year=1989,
+                                                                 last_year=2020).collect()}
+    assert bounded[D(2021, 1, 5)] is None and bounded[D(1988, 12, 1)] is None and bounded[D(1996, 12, 31)] == 60
     assert out[None] == (None, None)
 
 

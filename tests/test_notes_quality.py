@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldcounts.operators import notes as N
 from fieldcounts.operators import quality as Q
+from fieldcounts.operators import reshape as RS
 from conftest import rows
 
 D = dt.date
@@ -27,12 +28,13 @@ def test_padded_terms_need_spaces(spark):
     assert rows(plain, "block") == [("b1",), ("b3",)]
 
 
-def test_numeric_parts_split_and_cap(spark):
+def test_numeric_parts_split(spark):
     parts = N.numeric_note_parts(_notes(spark))
     assert rows(parts, "extract_notes") == [(" 2 terns",), (" end",), ("saw 3 gulls",)]
     many = spark.createDataFrame([(D(2000, 1, 1), "b", ",".join(str(i) for i in range(15)))],
                                  "visit_date date, block string, block_notes string")
-    assert N.numeric_note_parts(many).count() == 10
+    assert N.numeric_note_parts(many).count() == 15
+    assert N.numeric_note_parts(many, parts=10).count() == 10
 
 
 def test_hunters_join_and_effect(spark):
@@ -56,10 +58,12 @@ def test_notes_per_date_order(spark):
     hits = N.keyword_notes(_notes(spark), ["not", "hunt"], pad=False)
     survey = spark.createDataFrame([(D(2000, 1, 1), "Fog"), (D(2000, 1, 5), "Calm")],
                                    "visit_date date, survey_notes string")
-    dig = N.notes_per_date(hits, N.survey_notes_lower(survey))
-    got = {r.visit_date: r.all_date_notes for r in dig.collect()}
-    assert got[D(2000, 1, 1)] == "b1: hunters not seen | b2: not here | all survey:  fog"
-    assert got[D(2000, 1, 5)] == "all survey:  calm"
+    notes = N.notes_per_date(hits, N.survey_notes_lower(survey))
+    got = [tuple(r) for r in notes.orderBy("visit_date", "src", "notes").collect()]
+    assert [x for x in got if x[0] == D(2000, 1, 1)] == [
+        (D(2000, 1, 1), 0, "b1: hunters not seen"), (D(2000, 1, 1), 0, "b2: not here"),
+        (D(2000, 1, 1), 1, "all survey:  fog")]
+    assert (D(2000, 1, 5), 1, "all survey:  calm") in got
 
 
 def test_duplicates_crosstab_and_reconcile(spark):
@@ -69,7 +73,7 @@ def test_duplicates_crosstab_and_reconcile(spark):
     assert rows(dup, "alpha_code", "section_final", "num_rec") == [("A", 2, 2), ("A", 3, 2)]
     recs = spark.createDataFrame([("x", "b1"), ("x", "b1"), ("y", "b2")], "species string, block string")
     ct = Q.crosstab_full(recs, "species", "block", ["b1", "b2", "b3"])
-    assert rows(ct) == [("x", 2, 0, 0), ("y", 0, 1, 0)]
+    assert rows(ct) == [("x", 2, 0, 0, 0), ("y", 0, 1, 0, 0)]
     a = spark.createDataFrame([(D(2000, 1, 1), "b1"), (D(2000, 1, 2), None)], "visit_date date, block string")
     b = spark.createDataFrame([(D(2000, 1, 1), "b1"), (D(2000, 1, 3), "b2")], "visit_date date, block string")
     rec = Q.reconcile_presence(a, b)
@@ -90,13 +94,13 @@ def test_status_matrix_labels_and_missing_cells(spark):
              (D(2000, 1, 2), "east.sec1", 1, 1), (D(2000, 1, 2), "bivalve", None, 0)]
     st = spark.createDataFrame(rows_, "visit_date date, block string, area_not_surveyed int, no_birds_observed int")
     m = RS.status_matrix(st, ["bivalve", "west.sec2", "east.sec1"])
-    assert m.columns == ["visit_date", "east.sec1", "west.sec2", "bivalve"]   # boat blocks first
-    got = {r.visit_date: tuple(r)[1:] for r in m.collect()}
+    assert m.columns == ["visit_date", "east.sec1", "west.sec2", "bivalve", "unlisted"]   # boat blocks first
+    got = {r.visit_date: tuple(r)[1:-1] for r in m.collect()}
     assert got[D(2000, 1, 1)] == ("surveyed", "not surveyed", "no record")
     assert got[D(2000, 1, 2)] == ("surveyed, no birds obs", "no record", "no record")   # NA flag -> NA -> no record
 
 
-def test_two_hunting_notes_double_the_counts_unless_deduped(spark):
+def test_two_hunting_notes_count_once(spark):
     notes = spark.createDataFrame(
         [(D(2000, 1, 1), "b1", "hunters at dawn"), (D(2000, 1, 1), "b1", "more hunting later")],
         "visit_date date, block string, block_notes string")
@@ -104,6 +108,31 @@ def test_two_hunting_notes_double_the_counts_unless_deduped(spark):
                                    "visit_date date, species string, count long, block string")
     low = N.lowered_notes(notes)
     kept = N.with_hunters(counts, N.hunter_presence(low), ["BUFF"])
-    assert kept.agg(F.sum("count")).first()[0] == 10          # the reference's behaviour
-    once = N.with_hunters(counts, N.hunter_presence(low, dedupe=True), ["BUFF"])
-    assert once.agg(F.sum("count")).first()[0] == 5
+    assert [(r["count"], r.n_notes) for r in kept.collect()] == [(5, 2)]
+
+
+def test_fifty_notes_on_one_block_leave_the_mean_alone(spark):
+    notes = spark.createDataFrame([(D(2000, 1, 1), "b1", f"hunters {i}") for i in range(50)],
+                                  "visit_date date, block string, block_notes string")
+    counts = spark.createDataFrame([(D(2000, 1, 1), "BUFF", 10, "b1")],
+                                   "visit_date date, species string, count long, block string")
+    out = N.presence_effect(N.with_hunters(counts, N.hunter_presence(N.lowered_notes(notes)), ["BUFF"])).collect()
+    assert [(r.hunters, r.mean_count, r.num_rec) for r in out] == [("hunters present", 10.0, 1)]
+
+
+def test_missed_rows_and_left_out_dates(spark):
+    s = spark.createDataFrame([(D(2000, 1, 2), "b", "not surveyed"), (D(2000, 1, 1), "b", "surveyed"),
+                               (None, "c", "not surveyed")], "visit_date date, block string, surveyed string")
+    assert rows(Q.missed_rows(s)) == [(None, "c"), (D(2000, 1, 2), "b")]
+    assert rows(Q.exclude_dates(s, ["2000-01-02"]), "visit_date") == [(None,), (D(2000, 1, 1),)]
+
+
+def test_conflicting_and_unlisted_blocks_show(spark):
+    st = spark.createDataFrame([(D(2000, 1, 1), "a", 0, 0), (D(2000, 1, 1), "a", 1, 0), (D(2000, 1, 1), "z", 0, 0)],
+                               "visit_date date, block string, area_not_surveyed int, no_birds_observed int")
+    m = RS.status_matrix(st, ["a", "b"], boat_markers=[]).first()
+    assert (m.a, m.b, m.unlisted) == ("conflicting records", "no record", 1)
+    old = RS.status_matrix(st.filter("block = 'a' AND area_not_surveyed = 0"), ["a", "b"], boat_markers=[])
+    diff = Q.compare_status_matrix(RS.status_matrix(st, ["a", "b"], boat_markers=[]), old)
+    assert rows(diff, "block", "new_status", "old_status") == [("a", "conflicting records", "surveyed"),
+                                                               ("unlisted", "1", "0")]

@@ -61,7 +61,7 @@ def test_round_half_even_ratio_exact_ties(spark):
 
 def test_mean_rounded_strict(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", None)], "k string, v long")
-    out = df.groupBy("k").agg(N.mean_rounded("v", 1).alias("m"))
+    out = df.groupBy("k").agg(N.mean_rounded(df, "v", 1).alias("m"))
     assert rows(out) == [("a", 1.5), ("b", None)]
 
 

@@ -12,6 +12,22 @@ def test_t_quantiles_against_printed_table():
         assert abs(TR.T975[df - 1] - v) < 5e-4
 
 
+def test_t_quantiles_do_not_jump_past_the_table(spark):
+    want = {200: 1.971896, 201: 1.971837, 400: 1.965912, 1000: 1.962339}
+    df = spark.createDataFrame([(k,) for k in want], "n int")
+    for r in df.select("n", TR.t975(F.col("n")).alias("t")).collect():
+        assert abs(r.t - want[r.n]) < 1e-6
+    assert abs(TR.t_quantile(0.975, 200) - sum(c / 200 ** k for k, c in enumerate(TR.T975_SERIES))) < 1e-11
+
+
+def test_local_trend_with_few_points(spark):
+    df = spark.createDataFrame([("one", 1.0, 5.0), ("two", 1.0, 2.0), ("two", 2.0, 4.0), ("tie", 1.0, 2.0),
+                                ("tie", 1.0, 4.0), ("gap", 1.0, None)], "g string, x double, y double")
+    got = {(r.g, r.x, r.y): r.fitted for r in TR.local_trend(df, ["g"], "x", "y", 1.1).collect()}
+    assert got[("one", 1.0, 5.0)] == 5.0 and got[("tie", 1.0, 2.0)] == 3.0
+    assert abs(got[("two", 2.0, 4.0)] - 4.0) < 1e-9 and len(got) == 5
+
+
 def test_linear_trend_matches_least_squares(spark):
     rng = np.random.default_rng(1)
     x = np.arange(1990, 2010, dtype=float)
