@@ -194,8 +194,11 @@ def surrogates(atoms: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, surrogate) for every different atom; surrogates are different and none occurs as an atom."""
     real = cut(atoms.distinct(), "pii-atoms")
     todo, done, turn = real, [], 0
+    # drawing costs about a millisecond an atom: spread by number, as the table's few bytes would be one task
+    tasks = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        drawn = todo.withColumn("surrogate", candidate(F.col("kind"), F.col("norm"), turn, key))
+        drawn = todo.repartition(tasks, "kind", "norm").withColumn(
+            "surrogate", candidate(F.col("kind"), F.col("norm"), turn, key))
         taken = reduce(DataFrame.unionByName, [d.select("kind", "surrogate") for d in done],
                        real.select("kind", F.col("norm").alias("surrogate")))
         won = (drawn.join(taken, ["kind", "surrogate"], "left_anti")
