@@ -281,11 +281,19 @@ def signatures(docs: DataFrame, rare) -> DataFrame:
     return docs.mapInArrow(run, "id long, digest binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, rare, name: str, threshold: float = SIMILARITY) -> DataFrame:
-    """The ``pairs(hub, id)`` whose texts reach the threshold.  ``texts(id, text)``: one text per id."""
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of the ids in ``pairs(hub, id)``, as a written table.
+
+    The ids grow with the corpus, so they are merged with the texts at every
+    size; a broadcast that holds for small inputs only would change the plan.
+    """
     asked = pairs.select(F.col("hub").alias("id")).union(pairs.select("id")).distinct()
-    used = cut(texts.join(asked, "id"), f"{name}-texts")
-    left = pairs.join(used, "id").select("hub", "id", "text")
+    return cut(texts.join(asked.hint("merge"), "id"), "near-texts")
+
+
+def verified(pairs: DataFrame, used: DataFrame, rare, threshold: float = SIMILARITY) -> DataFrame:
+    """The ``pairs(hub, id)`` whose texts ``used(id, text)`` reach the threshold, as (src, dst)."""
+    left = pairs.join(used.hint("merge"), "id").select("hub", "id", "text")
     hubs = used.select(F.col("id").alias("hub"), F.col("text").alias("hub_text"))
 
     def run(batches):
@@ -303,8 +311,8 @@ def verified(pairs: DataFrame, texts: DataFrame, rare, name: str, threshold: flo
             yield pa.RecordBatch.from_arrays([pa.array([hub[k] for k in keep], pa.int64()),
                                               pa.array([ids[k] for k in keep], pa.int64())], ["src", "dst"])
 
-    return cut(left.join(hubs, "hub").select("hub", "id", "text", "hub_text")
-               .mapInArrow(run, "src long, dst long"), f"{name}-links")
+    return cut(left.join(hubs.hint("merge"), "hub").select("hub", "id", "text", "hub_text")
+               .mapInArrow(run, "src long, dst long"), "near-links")
 
 
 def links_between(left: list, right: list, threshold: float) -> list[tuple[int, int]]:
@@ -327,7 +335,7 @@ def links_between(left: list, right: list, threshold: float) -> list[tuple[int,
     return out
 
 
-def linked_within(placed: DataFrame, texts: DataFrame, rare, threshold: float) -> DataFrame:
+def linked_within(placed: DataFrame, used: DataFrame, rare, threshold: float) -> DataFrame:
     """Links across components among the members ``placed(hub, rep, component)`` of each hub's buckets.
 
     Members outside their group's largest component are compared with all
@@ -343,9 +351,7 @@ def linked_within(placed: DataFrame, texts: DataFrame, rare, threshold: float) -
     members = cut(placed.join(mixed, "hub").select(
         "hub", "rep", "component", (F.col("component") != F.col("largest")).alias("outside"),
         F.pmod(F.xxhash64("rep"), parts).cast("int").alias("block")), "near-mixed-members")
-    used = cut(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id")
-               .select(F.col("id").alias("rep"), "text"), "near-2-texts")
-    blocks = cut(members.join(used, "rep").groupBy("hub", "block").agg(
+    blocks = cut(members.join(used.withColumnRenamed("id", "rep").hint("merge"), "rep").groupBy("hub", "block").agg(
         F.collect_list(F.struct("rep", "component", "outside", "text")).alias("docs"),
         F.max("outside").alias("outside")), "near-blocks")
     one = blocks.select("hub", "block", "outside")
@@ -368,9 +374,9 @@ def linked_within(placed: DataFrame, texts: DataFrame, rare, threshold: float) -
     body = blocks.select("hub", "block", "docs")
     pairs = (tasks.join(body.select("hub", F.col("block").alias("a"), F.col("docs").alias("left")), ["hub", "a"])
              .join(body.select("hub", F.col("block").alias("b"), F.col("docs").alias("right")), ["hub", "b"]))
-    text_batches(texts.sparkSession, 8)           # rows hold two blocks of texts
+    text_batches(used.sparkSession, 8)           # rows hold two blocks of texts
     out = cut(pairs.select("left", "right").mapInArrow(run, "src long, dst long"), "near-2-links")
-    text_batches(texts.sparkSession)
+    text_batches(used.sparkSession)
     return out
 
 
@@ -394,12 +400,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.max(F.struct("degree", (-F.col("rep")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("hub"))
     grouped = cut(inside.join(cut(central, "near-hubs"), "key").filter("rep != hub").select("hub", "rep").distinct(),
                   "near-grouped")
-    links = verified(grouped.select("hub", F.col("rep").alias("id")), texts, rare, "near-1", threshold)
+    pairs = grouped.select("hub", F.col("rep").alias("id"))
+    used = texts_of(pairs, texts)
+    links = verified(pairs, used, rare, threshold)
 
     found = components(links, "near-a")
     placed = cut(grouped.join(found.withColumnRenamed("id", "rep"), "rep", "left")
                  .select("hub", "rep", F.coalesce("component", "rep").alias("component")), "near-placed")
-    more = linked_within(placed, texts, rare, threshold)
+    more = linked_within(placed, used, rare, threshold)
 
     reps = components(links.union(more), "near-b")
     own = classes.select("digest", "rep").join(reps.withColumnRenamed("id", "rep"), "rep", "left").select(
