@@ -101,11 +101,10 @@ def r3_key_wide_table(spark, d):
 def r5_fill_zero(spark, d):
     """Missing taxon cells of the old wide table become 0 (cells filled and totals per taxon)."""
     w = V.old_wide(spark, d)
-    filled = RS.fill_zero(w, TAXA)
-    marks = w.select(*[F.col(t).isNull().cast("int").alias(f"filled_{t}") for t in TAXA])
-    a = marks.agg(*[F.sum(f"filled_{t}").cast("long").alias(f"filled_{t}") for t in TAXA])
-    b = filled.agg(*[F.sum(t).cast("long").alias(f"total_{t}") for t in TAXA])
-    return Q.one_row(a, b)
+    marked = w.select(*TAXA, *[F.col(t).isNull().cast("int").alias(f"filled_{t}") for t in TAXA])
+    return RS.fill_zero(marked, TAXA).agg(
+        *[F.sum(f"filled_{t}").cast("long").alias(f"filled_{t}") for t in TAXA],
+        *[F.sum(t).cast("long").alias(f"total_{t}") for t in TAXA])
 
 
 @register("r7_derive_surveys", V.ctes(SQL_KEYED) + "\nSELECT * FROM surveys")
