@@ -49,9 +49,11 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
 _ALL_TITLES = "|".join(TITLES.values())
+# what a secret is assigned to, in any case; an underscore may stand before (API_TOKEN)
+_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+(?<![-])",
-    "secret": r"(?<!\w)(?:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?[^\s\"',;]{6,256}",
+    "secret": rf"(?<![^\W_]){_ASSIGNED}[^\s\"',;]{{6,}}+",
     "access": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"
              r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
@@ -90,7 +92,7 @@ def _person(entity: Column) -> tuple[Column, Column, Column]:
     return gender, given, F.substring_index(names, " ", -1)
 
 
-_SECRET = r"^((?:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?)(.*)$"
+_SECRET = rf"^({_ASSIGNED})([^\s\"',;]++)$"
 _COUNTRY = r"^\+(\d{1,3}?)(?:[ .(-]|(?=\d{9,}$))"
 
 

@@ -1,0 +1,28 @@
+"""PII: whole secrets, keywords in any case, and a pre-filter that passes every entity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldcounts.llm import pii
+
+
+def masked(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.replace_entities(docs).orderBy("doc_id").collect()]
+
+
+def test_secrets_of_any_length_and_case(spark):
+    value = "".join("abcdefghij0123456789"[k * 7 % 20] for k in range(1000))
+    odd = "Xy7" + chr(0x2028) + "abcdefgh"                  # a line separator is no blank to the pattern
+    out = masked(spark, [f"use token={value} now", 'TOKEN = "9233A8EC51F0"', "export API_TOKEN=abc123def456",
+                         "Password: hunter2hunter2", f"pwd={odd} end", "mytoken=abc123def456"])
+    start, end = out[0][:10], out[0][-4:]
+    assert (start, end) == ("use token=", " now") and len(out[0]) == 1014
+    same = sum(a == b for a, b in zip(out[0][10:-4], value))
+    assert same < 200 and out[0][-24:-4] != value[-20:]
+    assert out[1].startswith('TOKEN = "') and out[1].endswith('"') and "9233A8EC51F0" not in out[1]
+    assert out[2].startswith("export API_TOKEN=") and "abc123def456" not in out[2]
+    assert out[3].startswith("Password: ") and "hunter2" not in out[3]
+    assert out[4].startswith("pwd=") and out[4].endswith(" end") and "abcdefgh" not in out[4]
+    assert out[5] == "mytoken=abc123def456"                 # another word's end
