@@ -10,12 +10,17 @@ the savings' mean, the shares of windows that save a few bytes, the upper
 decile and the maximum go through a logistic function that is calibrated on labelled rows the
 dictionaries were not trained on, and weighted to the classes' frequency.
 
-Learned from at most ``sample_rows`` labelled rows of each class (smallest hash
-of the id first), and from ``sample_chars`` characters of each; scoring reads
-whole texts.  Ids, languages, sources and labels are not inputs of a score.
+Learned from the whole texts of at most ``sample_rows`` labelled rows of each
+class (smallest hash of the id first).  N-grams, passages and features are made
+on the executors; the driver gets the sample's ids, labels and lengths, its
+features, the marked n-grams and passages, and of the ordinary windows, if they
+are twice ``ORDINARY_WINDOWS`` or more, every n-th of each text, so that about
+one to two times as many are left.  Scoring reads whole texts.  Ids, languages,
+sources and labels are not inputs of a score.
 
 Defined results: NULL and empty texts are scored like a text without savings;
-rows with a NULL label or id teach nothing; if a class has no labelled rows,
+rows with a NULL label or id teach nothing; equal texts teach once, with the
+smallest id's label; if a class has no labelled rows,
 every score is 0; repeated rows are scored alike; extra columns are ignored.
 """
 
@@ -30,15 +35,17 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, table, text_batches
+from .common import crc_remainder, cut, table, text_batches
 from .quality import sigmoid
 
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+SAMPLE_ROWS = 3000
 GRAM = 5                   # bytes of the n-grams that mark toxic passages
 MIN_ODDS, ERRORS = 1.0, 1.645   # least log odds (toxic against ordinary documents), less so many standard errors
 MIN_SHARE = 0.007          # share of the toxic documents that an n-gram must occur in
 WINDOW, STEP = 64, 48      # bytes of a window, and from one window to the next
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
+ORDINARY_WINDOWS = 30_000
+GRAM_BLOCK = 1_000_000     # n-grams that a task holds before it adds them up
 THRESHOLD = 0.3
 
 
@@ -58,21 +65,37 @@ def _grams(data: bytes) -> np.ndarray:
     return key
 
 
-def marked_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """N-grams whose share of toxic documents far exceeds that of ordinary ones (sorted)."""
-    def shares(docs):
-        return np.unique(np.concatenate([np.unique(_grams(d)) for d in docs] or [np.zeros(0, np.uint64)]),
-                         return_counts=True)
-
-    gram, n = shares(toxic)
-    other, m = shares(ordinary)
-    often = n >= max(4, MIN_SHARE * len(toxic))
-    gram, n = gram[often], n[often]
-    at = np.searchsorted(other, gram)
-    at[at == len(other)] = 0
-    m = np.where(len(other) and other[at] == gram, m[at], 0) if len(other) else np.zeros(len(gram))
-    odds = np.log((n + .5) / (len(toxic) - n + .5)) - np.log((m + .5) / (len(ordinary) - m + .5))
-    return gram[odds - ERRORS * np.sqrt(1 / (n + .5) + 1 / (m + .5)) > MIN_ODDS]
+def _gram_counts(batches):
+    """(gram, toxic, ordinary): in how many texts of each class an n-gram occurs, added up by blocks of texts."""
+    def added(grams, labels):
+        gram, at = np.unique(np.concatenate(grams), return_inverse=True)
+        label = np.repeat(labels, [len(g) for g in grams])
+        n = [np.bincount(at[label == k], minlength=len(gram)).astype(np.int64) for k in (1, 0)]
+        return pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), *map(pa.array, n)],
+                                          ["gram", "toxic", "ordinary"])
+
+    grams, labels, size = [], [], 0
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            grams.append(np.unique(_grams(prepared(text))))
+            labels.append(label)
+            size += len(grams[-1])
+            if size >= GRAM_BLOCK:
+                yield added(grams, labels)
+                grams, labels, size = [], [], 0
+    if grams:
+        yield added(grams, labels)
+
+
+def marked_grams(sample: DataFrame, toxic: int, ordinary: int) -> np.ndarray:
+    """N-grams whose share of the ``toxic`` toxic texts far exceeds that of the ordinary ones (sorted)."""
+    n, m = F.col("toxic"), F.col("ordinary")
+    odds = F.log((n + .5) / (toxic - n + .5)) - F.log((m + .5) / (ordinary - m + .5))
+    found = (sample.select("label", "text").mapInArrow(_gram_counts, "gram long, toxic long, ordinary long")
+             .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+             .filter(n >= max(4, MIN_SHARE * toxic))
+             .filter(odds - ERRORS * F.sqrt(1 / (n + .5) + 1 / (m + .5)) > MIN_ODDS).select("gram").collect())
+    return np.sort(np.array([r["gram"] for r in found], dtype=np.uint64))
 
 
 def marked_passages(docs: list[bytes], grams: np.ndarray) -> list[bytes]:
@@ -94,17 +117,33 @@ def _trained(size: int, samples: list[bytes], **how) -> bytes | None:
         return None
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The ordinary dictionary, and the ordinary followed by the toxic one.
+def _pieces(sample: DataFrame, pieces) -> list[bytes]:
+    """What ``pieces(id, data)`` gives for every text, by id and place."""
+    def run(batches):
+        for batch in batches:
+            row, at, found = [], [], []
+            for k, (i, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())):
+                own = pieces(i, prepared(text))
+                row += [k] * len(own)
+                at += range(len(own))
+                found += own
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(row, pa.int64())), pa.array(at, pa.int32()),
+                 pa.array(found, pa.binary())], ["id", "at", "piece"])
+
+    rows = sample.select("id", "text").mapInArrow(run, "id long, at int, piece binary").toPandas()
+    return [bytes(p) for _, _, p in sorted(zip(rows["id"], rows["at"], rows["piece"]))]
+
+
+def train_dictionaries(plain: list[bytes], passages: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary dictionary (of windows), and the ordinary followed by the toxic one (of passages).
 
     Samples too few to train on are used as they are, the most frequent last
     (nearest to the data).
     """
-    plain = [w for d in ordinary for w in windows(d)]
-    base = _trained(ORDINARY_BYTES, plain[::max(1, len(plain) // 30_000)], k=48, d=6)
+    base = _trained(ORDINARY_BYTES, plain, k=48, d=6)
     if base is None:
         base = b"".join(plain)[-ORDINARY_BYTES:]
-    passages = marked_passages(toxic, marked_grams(toxic, ordinary))
     own = _trained(TOXIC_BYTES, passages, k=16, d=6)
     if own is None:
         kinds = sorted(set(passages), key=lambda p: (passages.count(p), p))
@@ -159,8 +198,9 @@ def fit_calibration(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS):
+          label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS):
     """Both dictionaries and the calibration, or None if a class has no rows.  ``learn``: condition on labelled rows."""
+    text_batches(docs.sparkSession)
     known = labels if learn is None else labels.filter(learn)
     known = (known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .filter("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label")))
@@ -168,22 +208,34 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id"
     if len(size) < 2:
         return None
     picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for k in (0, 1)]
-    sample = (docs.select(F.col(id_col).cast("long").alias("id"), F.substring(text_col, 1, sample_chars).alias("text"))
-              .filter("text IS NOT NULL").join(F.broadcast(picked[0].union(picked[1])), "id")
-              .toPandas().drop_duplicates("text").sort_values("id"))
-    if sample["label"].nunique() < 2:
+    part = F.crc32(F.concat(F.lit("part"), F.col("id").cast("string")).cast("binary")) % 3
+    sample = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+                 .filter("text IS NOT NULL").join(F.broadcast(picked[0].union(picked[1])), "id")
+                 .groupBy("text").agg(F.min(F.struct("id", "label")).alias("first"))
+                 .select("first.id", "first.label", "text").withColumn("held", part == 0), "toxicity-sample")
+    rows = sample.select("label", "held", F.octet_length("text").alias("bytes")).toPandas()
+    if rows["label"].nunique() < 2:
         return None
-    data, y = [prepared(t) for t in sample["text"]], sample["label"].to_numpy()
-    held = np.array([zlib.crc32(f"part{i}".encode()) % 3 == 0 for i in sample["id"]])
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        held = np.zeros(len(y), dtype=bool)
-    teach = ~held
-    ordinary, both = train_dictionaries([d for d, t, k in zip(data, y, teach) if k and t],
-                                        [d for d, t, k in zip(data, y, teach) if k and not t])
-    judge = held if held.any() else ~held
-    tool = Meter(ordinary, both)
-    x = np.array([tool.features(t) for t, k in zip(sample["text"], judge) if k])
-    target = y[judge].astype(float)
+    split = len(rows[["label", "held"]].drop_duplicates()) == 4
+    teach, judge = (sample.filter("NOT held"), sample.filter("held")) if split else (sample, sample)
+    taught = rows[~rows["held"]] if split else rows
+    plain, toxic = taught[taught["label"] == 0], taught[taught["label"] == 1]
+    grams = marked_grams(teach, len(toxic), len(plain))
+    passages = _pieces(teach.filter("label = 1"), lambda _, data: marked_passages([data], grams))
+    step = max(1, int(plain["bytes"].sum()) // STEP // ORDINARY_WINDOWS)
+    spread = _pieces(teach.filter("label = 0"), lambda i, data: windows(data)[zlib.crc32(f"window{i}".encode()) % step::step])
+    ordinary, both = train_dictionaries(spread, passages)
+
+    def measured(batches):
+        tool = meter(ordinary, both)
+        for batch in batches:
+            x = [tool.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"),
+                                              pa.array(x, pa.list_(pa.float64()))], ["id", "label", "x"])
+
+    found = judge.select("id", "label", "text").mapInArrow(measured, "id long, label int, x array<double>").collect()
+    found.sort()
+    x, target = np.array([r["x"] for r in found]), np.array([r["label"] for r in found], dtype=float)
     weight = np.where(target == 1, size[1] / max(target.sum(), 1), size[0] / max((1 - target).sum(), 1))
     return ordinary, both, fit_calibration(x, target, weight)
 
