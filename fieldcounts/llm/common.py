@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -47,6 +47,22 @@ def crc_remainder(column, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def drawn_ids(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """(id, ``by``): up to ``most`` different ids of each value of ``by``, those with the smallest hash.
+
+    A window over all rows of a frequent value would be one task.  Sketches of the ids of each value come first, and
+    only ids whose hash lies below about twice the share that is needed go on; a value with few ids keeps them all.
+    """
+    sizes = rows.groupBy(by).agg(F.approx_count_distinct("id").alias("_ids"))
+    # the hash's upper 63 bits as a share of their range
+    share = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(1 << 63))
+    few = (rows.select("id", by).join(F.broadcast(sizes), by)
+           .filter((F.col("_ids") <= 2 * most) | (share < 2.0 * most / F.col("_ids")))
+           .select("id", by).distinct())
+    order = Window.partitionBy(by).orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id")
+    return few.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= most).select("id", by)
+
+
 def chunks(texts: list, limit: int):
     """Yield (first, last) index ranges of texts with about ``limit`` characters each (at least one text)."""
     first = size = 0

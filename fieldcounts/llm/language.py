@@ -7,12 +7,15 @@ and one ridge regression per language is fitted on the landmarks' features.
 A batch of texts is scored by two matrix products: its presence matrix with
 the landmarks' (the kernel values), and these with the fitted weights.
 
-Learned from at most ``sample_rows`` labelled texts (smallest hash of the id
-first) and ``sample_chars`` characters of each; scoring reads whole texts.
+Learned from the whole texts of at most ``sample_rows`` labelled rows of each
+language (smallest hash of the id first), so a rare language is learned from
+as many rows as a frequent one if it has them.  Their presence rows are made on
+the executors; the driver gets 1 KB a row.  Every language has a landmark.
 The score is the winning language's share of a softmax over the regressions.
 
 Defined results: a NULL text and a text without any letter give ``und`` and
-score 0; rows with a NULL language, text or id teach nothing; with nothing
+score 0; rows with a NULL language, text or id teach nothing,
+repeated rows with one id teach once for each language; with nothing
 learned every text gives ``und``; equal regressions are decided for the
 language that sorts first; extra columns are ignored.
 """
@@ -26,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_remainder, table, text_batches
+from .common import chunks, crc_remainder, drawn_ids, table, text_batches
 from .quality import _M1, _mix
 
 BITS = 13                   # log2 of the hashed n-grams
 ORDERS = 3
-LANDMARKS = 128
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
+LANDMARKS = 128            # more only for more languages
+SAMPLE_ROWS = 1500         # of each language
+FIT_ROWS = 4096            # presence rows unpacked at once
 RIDGE, SHARPNESS = 1e-2, 8.0
 CHUNK_CHARS = 400_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -65,23 +69,42 @@ def kernel(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (x @ marks.T) / size[:, None] / np.sqrt(np.maximum(marks.sum(axis=1), 1))[None, :]
 
 
-def fit(texts: list[str], langs: list[str]):
-    """Landmark rows, weights (landmarks x languages) and the sorted languages."""
+def fit(bits: np.ndarray, langs: list[str]):
+    """Landmark rows, weights (landmarks x languages) and the sorted languages; ``bits``: packed presence rows."""
     names = sorted(set(langs))
-    x = presence(texts)
-    turn = {name: [k for k, lang in enumerate(langs) if lang == name] for name in names}
-    picked = [rows[k] for k in range(LANDMARKS) for rows in turn.values() if k < len(rows)][:LANDMARKS]
-    marks = x[sorted(picked)]
+
+    def rows(picked):
+        return np.unpackbits(bits[picked], axis=1).astype(np.float32)
+
+    turn = {name: [] for name in names}
+    for k, lang in enumerate(langs):
+        turn[lang].append(k)
+    most = max(LANDMARKS, len(names))
+    picked = [own[k] for k in range(most) for own in turn.values() if k < len(own)][:most]
+    marks = rows(sorted(picked))
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])                  # landmarks' kernel to the power -1/2
-    z = kernel(x, marks).astype(np.float64) @ root
+    z = np.concatenate([kernel(rows(slice(k, k + FIT_ROWS)), marks).astype(np.float64) @ root
+                        for k in range(0, len(bits), FIT_ROWS)])
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = 1.0 / np.array([len(turn[lang]) for lang in langs])     # languages count alike
     left = (z * weight[:, None]).T @ z + RIDGE * np.eye(z.shape[1])
     return marks, (root @ np.linalg.solve(left, (z * weight[:, None]).T @ y)).astype(np.float32), names
 
 
+def _sample_presence(batches):
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        known = [k for k, t in enumerate(texts) if _LETTER.search(t)]
+        for lo in range(0, len(known), 64):
+            rows = known[lo:lo + 64]
+            bits = np.packbits(presence([texts[k] for k in rows]).astype(bool), axis=1)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("lang").take(at),
+                                              pa.array([r.tobytes() for r in bits], pa.binary())], ["id", "lang", "bits"])
+
+
 def predict(texts: list[str | None], model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
@@ -99,17 +122,21 @@ def predict(texts: list[str | None], model) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS):
+          sample_rows: int = SAMPLE_ROWS):
     """The fitted model, or None if nothing can be learned.  ``learn``: condition on rows to learn from."""
+    text_batches(docs.sparkSession)
     known = docs if learn is None else docs.filter(learn)
     sample = (known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                           F.substring(text_col, 1, sample_chars).alias("text"))
+                           F.col(text_col).cast("string").alias("text"))
               .filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"))
-    picked = sample.select("id").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = (sample.join(F.broadcast(picked.distinct()), "id").toPandas()
-            .drop_duplicates(["id"]).sort_values("id"))
-    rows = rows[[_LETTER.search(t) is not None for t in rows["text"]]]
-    return fit(rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else None
+    kind = sample.schema["id"].dataType.simpleString()
+    # by number of rows bounded: sample_rows a language
+    rows = (sample.join(F.broadcast(drawn_ids(sample, "lang", sample_rows)), ["id", "lang"])
+            .select("id", "lang", "text").mapInArrow(_sample_presence, f"id {kind}, lang string, bits binary").toPandas()
+            .sort_values(["id", "lang", "bits"]).drop_duplicates(["id", "lang"]))
+    if not len(rows):
+        return None
+    return fit(np.stack([np.frombuffer(b, dtype=np.uint8) for b in rows["bits"]]), rows["lang"].tolist())
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
