@@ -9,8 +9,9 @@ more, the first occurrence included).
 The classifier's features are hashed counts of word 1- and 2-grams and of
 character 1- to 3-grams, each kind as a share of its total, so a text's length
 does not move its score.  It is fitted on at most ``sample_rows`` labelled
-rows (those with the smallest hash of their id), calibrated by Platt scaling
-on a held-out fifth, and then scores every text in Arrow batches.
+rows, half of each class (those with the smallest hash of their id), calibrated
+by Platt scaling on a held-out fifth weighted to the classes' frequency, and
+then scores every text in Arrow batches.
 
 Defined results: a NULL or empty text has no words, fails the base rules and
 is not kept; rows with a NULL label, NULL text or unknown id are not learned
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, text_batches
+from .common import chunks, drawn_ids, table, text_batches
 
 WINDOW = 8
 DIM = 1 << 11              # buckets of each of the two kinds (words, characters)
@@ -164,14 +165,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int =
     return w, float(b)
 
 
-def fit_platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope and offset of Platt's sigmoid, by Newton steps on smoothed targets."""
+def fit_platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and offset of Platt's sigmoid, by Newton steps on smoothed targets and weighted rows."""
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * margin + b)
-        g, h = p - target, np.maximum(p * (1 - p), 1e-12)
+        g, h = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-12)
         grad = np.array([g @ margin, g.sum()])
         hess = np.array([[h @ margin ** 2 + 1e-9, h @ margin], [h @ margin, h.sum() + 1e-9]])
         da, db = np.linalg.solve(hess, grad)
@@ -194,15 +195,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "quality", sample_rows: int = SAMPLE_ROWS):
     """Weights, intercept and calibration learned from labelled rows, or None if a class is missing.
 
-    The sample is the ``sample_rows`` labelled documents with the smallest hash
-    of their id, so it is the same whatever the partitioning.  Its features
-    are made on the executors; the driver gets ``sample_rows`` rows of 8 KB.
+    The sample is, of each class, the ``sample_rows`` / 2 labelled documents with
+    the smallest hash of their id, so it is the same whatever the partitioning.
+    Its features are made on the executors; the driver gets ``sample_rows`` rows
+    of 8 KB at most.
     """
     spark = docs.sparkSession
     text_batches(spark)
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .filter("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label")))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}    # two rows
+    if len(size) < 2:
+        return None
+    picked = drawn_ids(known, "label", sample_rows // 2)
     sample = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
               .filter("text IS NOT NULL").join(F.broadcast(picked), "id").select("id", "label", "text")
               .mapInArrow(_sample_features, "id long, label int, x binary").toPandas()
@@ -212,10 +217,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = np.stack([np.frombuffer(v, dtype=np.float16) for v in sample["x"]]).astype(np.float32)
     y = sample["label"].to_numpy(dtype=np.float64)
     part = np.array([zlib.crc32(f"fold{i}".encode()) % 5 for i in sample["id"]])
-    fit = part != 0 if len(np.unique(y[part != 0])) == 2 and (part == 0).any() else np.ones(len(y), dtype=bool)
+    split = len(np.unique(y[part != 0])) == len(np.unique(y[part == 0])) == 2
+    fit = part != 0 if split else np.ones(len(y), dtype=bool)
     w, b = fit_logistic(x[fit], y[fit])
-    held = ~fit if (~fit).any() else fit
-    return w.astype(np.float32), b, *fit_platt(x[held] @ w + b, y[held])
+    held = ~fit if split else fit
+    good = y[held] == 1
+    weight = np.where(good, size[1] / good.sum(), size[0] / (~good).sum()) * len(good) / (size[0] + size[1])
+    return w.astype(np.float32), b, *fit_platt(x[held] @ w + b, y[held], weight)
 
 
 def measure(docs: DataFrame, model=None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
