@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, language, minhash, packing, pii, quality, substring, toxicity, warc
+from . import bpe, embed_dedup, interpolation, language, minhash, packing, pii, quality, substring, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": (quality.quality_query, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": (packing.packing_query, None),
     "op9_bpe_roundtrip": (bpe.bpe_query, None),
     "op10_warc_archive": (warc.archive_pages, warc.ARCHIVE_SQL),
+    "op11_interpolated_lm": (interpolation.interpolation_query, None),
 }
 
 
