@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_remainder, cut, table, text_batches
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 SHARD_TOKENS = 1_000_000
 DELETED = 16               # one learned document in so many teaches the weights
 CHUNK_BYTES = 4_000_000    # bytes of one text that are split into words at once
