@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, interpolation, language, minhash, packing, pii, quality, substring, toxicity, warc
+from . import (bpe, centroids, embed_dedup, interpolation, language, minhash, packing, pii, quality, substring, toxicity,
+               variants, warc)
 
 QUERIES = {
     "op1_quality_rules": (quality.quality_query, None),
@@ -16,6 +17,8 @@ QUERIES = {
     "op9_bpe_roundtrip": (bpe.bpe_query, None),
     "op10_warc_archive": (warc.archive_pages, warc.ARCHIVE_SQL),
     "op11_interpolated_lm": (interpolation.interpolation_query, None),
+    "op12_spelling_variants": (variants.variants_query, variants.VARIANTS_SQL),
+    "op13_centroid_search": (centroids.centroid_query, centroids.CENTROID_SQL),
 }
 
 
