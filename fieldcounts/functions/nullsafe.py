@@ -114,15 +114,19 @@ def ratio_rounded(total, n, kind: T.DataType, digits: int) -> Column:
     """``total / n`` rounded half-even to ``digits``; ``kind`` is the type of the summed values.
 
     Whole numbers and decimals are divided as integers (a decimal by its own
-    scale), so ties are exact; doubles are rounded as doubles.
+    scale), so ties are exact; doubles are rounded as doubles, and so are
+    decimals whose total does not fit a long at that scale.
     """
     total, n = _col(total), _col(n)
     if isinstance(kind, T.IntegralType):
         return round_half_even_ratio(total, n, digits)
-    if isinstance(kind, T.DecimalType):
+    rounded = F.bround(total.cast("double") / n, digits)
+    if isinstance(kind, T.DecimalType) and kind.scale <= 18:
         unit = 10 ** kind.scale
-        return round_half_even_ratio((total * F.lit(unit)).cast("decimal(38,0)"), n * F.lit(unit), digits)
-    return F.bround(total.cast("double") / n, digits)
+        fits = (F.abs(total.cast("double")) < 4e18 / (unit * 10 ** digits)) & (n.cast("double") < 4e18 / unit)
+        exact = round_half_even_ratio((total * F.lit(unit)).cast("decimal(38,0)"), n * F.lit(unit), digits)
+        return F.when(fits, exact).otherwise(rounded)
+    return rounded
 
 
 def mean_rounded(df: DataFrame, column: str, digits: int) -> Column:

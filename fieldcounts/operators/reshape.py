@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.nullsafe import as_text, if_else, natural_join, paste
+from ..functions.nullsafe import as_text, if_else, natural_join, paste, strict_sum
 from .sequence import global_sequence
 
 # Name repairs applied in this order before splitting sheet columns.
@@ -174,6 +174,19 @@ def derive_blocks(keyed: DataFrame) -> DataFrame:
         F.col("Initials").alias("entered_by"), pl_num.cast("int").alias("proof_level_num"))
 
 
+def count_type(wide: DataFrame, cols: Sequence[str]) -> T.DataType:
+    """The type that holds the counts of all columns: whole numbers as long, else decimals, else doubles."""
+    kinds = [wide.schema[c].dataType for c in cols]
+    if all(isinstance(k, T.IntegralType) for k in kinds):
+        return T.LongType()
+    decimals = [k for k in kinds if isinstance(k, T.DecimalType)]
+    if len(decimals) + sum(isinstance(k, T.IntegralType) for k in kinds) < len(kinds):
+        return T.DoubleType()
+    scale = max(k.scale for k in decimals)
+    whole = max([k.precision - k.scale for k in decimals] + [19] * (len(kinds) > len(decimals)))
+    return T.DecimalType(min(38, whole + scale), scale)
+
+
 # R10
 def derive_observations(keyed: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_TAXA) -> DataFrame:
     """One row per (block, taxon) with a global observation id in (key, species) order.
@@ -183,8 +196,9 @@ def derive_observations(keyed: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_T
     order.  The long table is neither shuffled nor written.
     """
     key, taxa = "date_transect_block_key", sorted(taxa_cols)
+    kind = count_type(keyed, taxa)
     ranked = global_sequence(keyed.select(key, *[F.col(f"`{t}`") for t in taxa]), [key], "__block")
-    cells = [F.struct(F.lit(t).alias("species"), F.col(f"`{t}`").cast("long").alias("count"),
+    cells = [F.struct(F.lit(t).alias("species"), F.col(f"`{t}`").cast(kind).alias("count"),
                       F.lit(k + 1).alias("place")) for k, t in enumerate(taxa)]
     long = ranked.select(key, "__block", F.explode(F.array(*cells)).alias("c"))
     return long.select(key, "c.species", "c.count",
@@ -207,7 +221,7 @@ LONG_COLUMNS = ["date_transect_block_key", "date_transect_key", "date_key", "sur
 def unpivot_keyed_wide(keyed: DataFrame, taxa_cols: Sequence[str] = OLD_TABLE_TAXA) -> DataFrame:
     ids = ["date_transect_block_key", "date_transect_key", "date_key", "survey_block", "survey_type"]
     long = keyed.unpivot(ids, list(taxa_cols), "species", "count")
-    return long.withColumn("count", F.col("count").cast("long")).select(*LONG_COLUMNS)
+    return long.withColumn("count", F.col("count").cast(count_type(keyed, taxa_cols))).select(*LONG_COLUMNS)
 
 
 # R13
@@ -315,20 +329,24 @@ def mean_median_series(season_means: DataFrame, code_value: str, code: str = "al
 
 # R20
 def old_day_total(wide: DataFrame, taxon: str, month: int | None = None, day: int | None = None,
-                  year: int | None = None) -> DataFrame:
-    """Rows of the chosen date(s) with the taxon's total of that date on every row.
+                  year: int | None = None, per_date: bool = False) -> DataFrame:
+    """The selected rows with the taxon's total over all of them on every row (NULL if a count is missing).
 
-    The total is a window per date, so a date's rows (one per block) stay
-    together; without a date filter every date gets its own total.
+    The total is one aggregate, read as a scalar subquery, so no row moves.
+    ``per_date`` gives each date its own total instead: one aggregate by date,
+    joined back.
     """
-    from pyspark.sql import Window
     w = wide
     for c, v in (("MONTH", month), ("DAY", day), ("YEAR", year)):
         if v is not None:
             w = w.filter(F.col(c) == v)
-    part = Window.partitionBy("YEAR", "MONTH", "DAY")
-    total = F.when(F.count(taxon).over(part) == F.count(F.lit(1)).over(part), F.sum(taxon).over(part))
-    return w.select("MONTH", "DAY", "YEAR", "SECTION", "BOAT", taxon, total.cast("long").alias("spp_total"))
+    if per_date:
+        dates = ["YEAR", "MONTH", "DAY"]
+        w = natural_join(w, w.groupBy(*dates).agg(strict_sum(taxon).alias("spp_total")), dates, "left")
+        total = F.col("spp_total")
+    else:
+        total = w.agg(strict_sum(taxon).alias("spp_total")).scalar().alias("spp_total")
+    return w.select("MONTH", "DAY", "YEAR", "SECTION", "BOAT", taxon, total)
 
 
 # U3

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.nullsafe import arrange
 from ..operators import reshape as RS
 from ..operators import quality as Q
+from ..operators.identity import tables_identical
 from . import views as V
 from .catalog import register
 
@@ -157,6 +159,32 @@ def u3_tables_equal(spark, d):
     return RS.tables_equal(rebuilt, RS.unpivot_keyed_wide(k, TAXA))
 
 
+_U3_ORDER = "date_transect_block_key ASC NULLS LAST, species ASC NULLS LAST"
+_U3_OTHER = "species ASC NULLS LAST, date_transect_block_key ASC NULLS LAST"
+
+
+def _identical_sql(name: str, order_b: str) -> str:
+    """One row of u3_tables_identical: are both tables the same rows at the same positions?"""
+    return f"""SELECT '{name}' AS compared, true AS same_schema, (SELECT count(*) FROM rebuilt) AS rows_a,
+       (SELECT count(*) FROM direct_long) AS rows_b, NOT EXISTS (
+         SELECT *, row_number() OVER (ORDER BY {_U3_ORDER}) FROM rebuilt
+         EXCEPT SELECT *, row_number() OVER (ORDER BY {order_b}) FROM direct_long)
+       AND (SELECT count(*) FROM rebuilt) = (SELECT count(*) FROM direct_long) AS identical"""
+
+
+@register("u3_tables_identical", V.ctes(SQL_KEYED) + f"""
+{_identical_sql('both by key', _U3_ORDER)}
+UNION ALL {_identical_sql('one by species', _U3_OTHER)}""")
+def u3_tables_identical(spark, d):
+    """Are the rebuilt and the direct long table the same rows in the same order, and in another order?"""
+    k, s, t, b, o = model(spark, d)
+    order = ["date_transect_block_key", "species"]
+    rebuilt = arrange(RS.rebuild_full_long(s, t, b, o).select(*RS.LONG_COLUMNS), *order)
+    direct = RS.unpivot_keyed_wide(k, TAXA)
+    return tables_identical(rebuilt, arrange(direct, *order)).select(F.lit("both by key").alias("compared"), "*").union(
+        tables_identical(rebuilt, arrange(direct, *order[::-1])).select(F.lit("one by species"), "*"))
+
+
 @register("u3_numbering_check", V.ctes(SQL_KEYED) + f"""
 SELECT count(*) AS n_rows, min(observation_id) AS first_number, max(observation_id) AS last_number,
        min(observation_id) = 1 AND max(observation_id) = count(*) AND count(DISTINCT observation_id) = count(*)
@@ -257,7 +285,17 @@ SELECT MONTH, DAY, YEAR, SECTION, BOAT, {R20_TAXON},
 FROM old_wide WINDOW w AS (PARTITION BY YEAR, MONTH, DAY)""")
 def r20_old_day_total(spark, d):
     """Old wide rows with the taxon's total of the same date on every row (all dates)."""
-    return RS.old_day_total(V.old_wide(spark, d), R20_TAXON)
+    return RS.old_day_total(V.old_wide(spark, d), R20_TAXON, per_date=True)
+
+
+@register("r20_selected_total", V.ctes(V.SQL_OLD_WIDE) + f"""
+SELECT MONTH, DAY, YEAR, SECTION, BOAT, {R20_TAXON},
+       CAST(CASE WHEN count({R20_TAXON}) OVER () = count(*) OVER () THEN sum({R20_TAXON}) OVER () END AS BIGINT)
+         AS spp_total
+FROM old_wide WHERE MONTH = 12""")
+def r20_selected_total(spark, d):
+    """The rows of one month with the taxon's total over all of them on every row."""
+    return RS.old_day_total(V.old_wide(spark, d), R20_TAXON, month=12)
 
 
 @register("s1_read_wide_sheets", V.ctes(V.SQL_SHEET_TALLY) + """
