@@ -1,9 +1,9 @@
 """Free-text notes: keyword search, note parts, per-date digests and the
 hunter-presence comparison (SURVEY §2.9 X1-X6, A27, A28).
 
-Whole note texts are processed.  Keyword filters run before the distinct
-(the predicate depends only on the grouping columns, so Catalyst pushes it
-below the aggregate), so only matching notes are shuffled.
+Whole note texts are processed.  Filters run before different notes are
+picked, and notes are told apart by 128-bit digests: texts are not shuffled
+(``sources.placed``), so X1-X3 write the notes that pass once when called.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import grepl, in_set, natural_join, paste, strict_sum
+from ..sources import joined_text
+from ..sources.placed import distinct_by_digest
 
 # The reference's block-note search terms, in its order.
 BLOCK_NOTE_TERMS = ["not", "hunt", "keep data", "jk", "review", "proportion", "poor", "coverage", "verified",
@@ -36,7 +38,7 @@ def terms_pattern(terms: Sequence[str], pad: bool = True) -> str:
 def lowered_notes(notes: DataFrame, date: str = "visit_date", block: str = "block",
                   text: str = "block_notes") -> DataFrame:
     """Distinct non-missing block notes, lower-cased."""
-    d = notes.select(date, block, text).distinct().filter(F.col(text).isNotNull())
+    d = distinct_by_digest(notes.filter(F.col(text).isNotNull()), [date, block], text)
     return d.withColumn(text, F.lower(F.col(text)))
 
 
@@ -45,15 +47,14 @@ def keyword_notes(notes: DataFrame, terms: Sequence[str] = BLOCK_NOTE_TERMS, pad
                   date: str = "visit_date", block: str = "block", text: str = "block_notes") -> DataFrame:
     """Lower-cased block notes matching any term, with a "block: note" label."""
     pattern = terms_pattern(terms, pad)
-    low = lowered_notes(notes, date, block, text)
-    hit = low.filter(grepl(text, pattern))
+    hit = lowered_notes(notes.filter(grepl(F.lower(F.col(text)), pattern)), date, block, text)
     return hit.withColumn("block_w_notes", paste(block, text, sep=": "))
 
 
 # X2
 def survey_notes_lower(notes: DataFrame, date: str = "visit_date", text: str = "survey_notes") -> DataFrame:
     """Distinct non-missing survey notes per date, lower-cased, prefixed "all survey: "."""
-    d = notes.select(date, text).distinct().filter(F.col(text).isNotNull())
+    d = distinct_by_digest(notes.filter(F.col(text).isNotNull()), [date], text)
     return d.withColumn(text, paste(F.lit("all survey: "), F.lower(F.col(text)), sep=" "))
 
 
@@ -62,7 +63,7 @@ def numeric_note_parts(notes: DataFrame, parts: int | None = None, date: str = "
                        text: str = "block_notes") -> DataFrame:
     """Notes holding a digit, split on "," or "." (into the first ``parts`` pieces, if given),
     one row per non-empty piece (pieces are not trimmed)."""
-    d = notes.filter(grepl(text, "\\d")).select(date, block, text).distinct().filter(F.col(text).isNotNull())
+    d = distinct_by_digest(notes.filter(grepl(text, "\\d")), [date, block], text)
     pieces = F.split(F.col(text), ",|\\.")
     if parts is not None:
         pieces = F.slice(pieces, 1, parts)
@@ -127,8 +128,23 @@ def notes_per_date(block_hits: DataFrame, survey: DataFrame, date: str = "visit_
     return b.unionByName(s)
 
 
+def notes_text_per_date(block_hits: DataFrame, survey: DataFrame, path: str, date: str = "visit_date") -> DataFrame:
+    """A date's notes as one text, ``" | "`` between them: block notes first, then survey notes.
+
+    The notes are written under ``path`` in that order and read back (see
+    ``sources.joined_text``): ``all_date_notes`` of each date.
+    """
+    notes = notes_per_date(block_hits, survey, date)
+    joined_text.write_joined(notes, path, date, ["src"], "notes")
+    return joined_text.read_joined(notes.sparkSession, path, date, notes.schema[date].dataType.simpleString(),
+                                   "all_date_notes")
+
+
 # X6
 def missed_with_notes(status_matrix: DataFrame, notes: DataFrame, date: str = "visit_date") -> DataFrame:
-    """Status table and the notes of its date side by side, a row per note (full join on date), date first."""
+    """Status table and the notes of its date side by side (full join on date), date first.
+
+    With ``notes_per_date`` a row per note, with ``notes_text_per_date`` a row per date.
+    """
     j = natural_join(status_matrix, notes, [date], "full")
     return j.select(date, *[c for c in j.columns if c != date])

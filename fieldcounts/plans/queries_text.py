@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import notes as N
 from ..operators import reshape as RS
+from ..session import scratch_path
 from . import views as V
 from .catalog import r6, register
 
@@ -137,6 +138,32 @@ def a27_notes_per_date(spark, d):
     return digests(spark, d)
 
 
+SQL_A27_TEXT = SQL_A27 + """,
+a27_text AS (SELECT visit_date, string_agg(notes, ' | ' ORDER BY src, notes) AS all_date_notes FROM a27
+             GROUP BY visit_date)"""
+
+
+def date_texts(spark, d):
+    hits = N.keyword_notes(V.block_notes(spark, d), TERMS)
+    return N.notes_text_per_date(hits, N.survey_notes_lower(V.survey_notes(spark, d)),
+                                 scratch_path(spark, "date-notes"))
+
+
+@register("a27_notes_text", V.ctes(SQL_A27_TEXT) + "\nSELECT visit_date, all_date_notes FROM a27_text")
+def a27_notes_text(spark, d):
+    """One text for each date, its keyword block notes and survey notes joined by ' | ', written and read back."""
+    return date_texts(spark, d)
+
+
+@register("x6_missed_notes_text", V.ctes(V.SQL_STATUS_OBS, V.sql_status_matrix(), SQL_A27_TEXT) + """
+SELECT coalesce(m.visit_date, a.visit_date) AS visit_date, m.* EXCLUDE (visit_date), a.all_date_notes
+FROM smat m FULL JOIN a27_text a ON m.visit_date IS NOT DISTINCT FROM a.visit_date""")
+def x6_missed_notes_text(spark, d):
+    """A row per date, the date x block status table beside the date's notes as one text."""
+    m = RS.status_matrix(V.status_obs(spark, d), V.STATUS_BLOCKS, boat_markers=V.STATUS_BOAT_MARKERS)
+    return N.missed_with_notes(m, date_texts(spark, d))
+
+
 @register("x6_missed_with_notes", V.ctes(V.SQL_STATUS_OBS, V.sql_status_matrix(), SQL_A27) + """
 SELECT coalesce(m.visit_date, a.visit_date) AS visit_date, m.* EXCLUDE (visit_date), a.src, a.notes
 FROM smat m FULL JOIN a27 a ON m.visit_date IS NOT DISTINCT FROM a.visit_date""")
