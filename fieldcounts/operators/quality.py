@@ -89,6 +89,23 @@ def crosstab_full(records: DataFrame, row: str, col: str, values: Sequence | Non
                                     F.count(F.when(~listed, 1)).alias("unlisted"))
 
 
+def crosstab_long(records: DataFrame, row: str, col: str, spread: int = 16) -> DataFrame:
+    """Two-way table with zero cells as long rows: a row for each (``row`` value, ``col`` value), ``freq`` 0 or more.
+
+    Neither list of values is gathered: the different ``col`` values are dealt
+    into ``spread`` parts, every ``row`` value meets each part, and the grid's
+    zeros are added to the counted cells.  NULL is a value on both sides.
+    """
+    cells = frequency(records, row, col)
+    part = F.pmod(F.xxhash64(col), F.lit(spread)).cast("int")
+    cols = cells.groupBy(col).agg(F.lit(0).alias("__z")).select(F.col(col).alias("__col"), part.alias("__part"))
+    rows = cells.groupBy(row).agg(F.lit(0).alias("__z")).select(
+        F.col(row).alias("__row"), F.explode(F.array(*[F.lit(k) for k in range(spread)])).alias("__part"))
+    grid = rows.join(cols, "__part").select(F.col("__row").alias(row), F.col("__col").alias(col),
+                                            F.lit(0).cast("long").alias("freq"))
+    return grid.unionByName(cells).groupBy(row, col).agg(F.sum("freq").alias("freq"))
+
+
 def frequency_over(records: DataFrame, cols: Sequence[str], more_than: int = 1) -> DataFrame:
     """Present combinations counted more than ``more_than`` times."""
     return frequency(records, *cols).filter(F.col("freq") > more_than)

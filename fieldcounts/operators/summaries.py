@@ -13,9 +13,10 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nullsafe import (mean_rounded, ratio_rounded, round_half_even_ratio, strict_avg, strict_max,
-                                  strict_min, strict_sum)
+from ..functions.nullsafe import (mean_rounded, natural_join, ratio_rounded, round_half_even_ratio, strict_avg,
+                                  strict_max, strict_min, strict_sum)
 from ..functions.calendar import season as season_expr
+from .selection import medians
 
 
 # A2
@@ -80,10 +81,11 @@ def first_survey_extract(baywide: DataFrame, survey: str = "survey_num") -> Data
 # A8
 def season_mean_median(baywide: DataFrame, year: str = "study_year", code: str = "alpha_code",
                        value: str = "baywide_count") -> DataFrame:
-    """Mean and exact median of per-survey totals (small groups: one value per survey)."""
-    return baywide.groupBy(year, code).agg(
-        strict_avg(value).alias("mean_abund"),
-        F.when(F.count(value) == F.count(F.lit(1)), F.median(value)).alias("med_abund"))
+    """Mean and exact median of per-survey totals (the median by selection: no task holds a group's values)."""
+    means = baywide.groupBy(year, code).agg(
+        strict_avg(value).alias("mean_abund"), (F.count(value) == F.count(F.lit(1))).alias("__whole"))
+    return natural_join(means, medians(baywide, [year, code], value, "__med"), [year, code], "left").select(
+        year, code, "mean_abund", F.when(F.col("__whole"), F.col("__med")).alias("med_abund"))
 
 
 # A9

@@ -2,16 +2,20 @@
 
 M1 (straight line with a 95 % interval) and M2 (quadratic) are closed-form
 from grouped sums, so they are ordinary aggregations.  M3 (local quadratic
-regression) works on a series already aggregated to one row per (group, x),
-gathered into one short array per group.
+regression at each x) works on a series already aggregated to one row per
+(group, x), gathered into one short array per group; the line as it is drawn,
+on a grid and for long series, is in ``smooth``.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add as add_
+from operator import mul
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,23 +92,48 @@ def linear_trend(df: DataFrame, group: Sequence[str], x: str, y: str, digits: in
 
 
 # ------------------------------------------------------------------- M2
+BLOCKS_PER_DOUBLING = 64
+
+
+def _origin(x: Column) -> Column:
+    """A number near x that a whole range of x shares: the middle of one of 64 steps between two powers of two."""
+    width = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x)))) / F.lit(float(BLOCKS_PER_DOUBLING))
+    return F.when((F.abs(x) < 1e-300) | ~(F.abs(x) < 1e300), F.lit(0.0)).otherwise((F.floor(x / width) + 0.5) * width)
+
+
 def quadratic_trend(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """Per group: y = b0 + b1 x + b2 x^2 by least squares (x centred for stability).
+    """Per group: y = b0 + b1 x + b2 x^2 by least squares.
 
-    Rows with NULL x or y are left out; fewer than 3 rows or a singular
-    system give NULL coefficients.
+    Sums of powers are taken around an origin near the x of a block, so that
+    nothing cancels, and merged by binomial shift to the group's mean: partial
+    aggregates all the way, and a group gathers only its blocks, 64 at most for
+    each doubling of x.  Rows with NULL x or y are left out; fewer than 3 rows
+    or a singular system give NULL coefficients.
     """
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    w = Window.partitionBy(*group)
-    d = d.withColumn("__xb", F.avg(F.col(x).cast("double")).over(w))
-    u = F.col(x).cast("double") - F.col("__xb")
-    yy = F.col(y).cast("double")
-    g = d.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.first("__xb").alias("__xb"),
-        F.sum(u * u).alias("__s2"), F.sum(u * u * u).alias("__s3"), F.sum(u * u * u * u).alias("__s4"),
-        F.sum(yy).alias("__sy"), F.sum(u * yy).alias("__suy"), F.sum(u * u * yy).alias("__suuy"))
+    d = df.select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).filter(
+        F.col("__x").isNotNull() & F.col("__y").isNotNull()).withColumn("__o", _origin(F.col("__x")))
+    u, yy = F.col("__x") - F.col("__o"), F.col("__y")
+    blocks = d.groupBy(*group, "__o").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(reduce(mul, [u] * k)).alias(f"s{k}") for k in range(1, 5)],
+        F.sum(yy).alias("t0"), F.sum(u * yy).alias("t1"), F.sum(u * u * yy).alias("t2"))
+    g = blocks.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("__o", "n", *[f"s{k}" for k in range(1, 5)], "t0", "t1", "t2"))).alias("__b"),
+        F.sum("n").alias("__n"), (F.sum(F.col("n") * F.col("__o") + F.col("s1")) / F.sum("n")).alias("__xb"))
+
+    def shifted(power: int, name: str):
+        """Sum over the blocks of (u + d)^power, times y for name t; d is the way from the mean to the block's origin."""
+        def add(total, b):
+            d = b["__o"] - F.col("__xb")
+            sums = [b["n"] if name == "s" else b["t0"], *[b[f"{name}{k}"] for k in range(1, power + 1)]]
+            terms = [sums[power - k] * F.lit(float(math.comb(power, k))) * reduce(mul, [d] * k, F.lit(1.0))
+                     for k in range(power + 1)]
+            return total + reduce(add_, terms)
+        return F.aggregate("__b", F.lit(0.0), add)
+
+    g = g.select(*group, F.col("__n").cast("long").alias("n"), F.col("__xb"), *[
+        shifted(k, "s").alias(f"__s{k}") for k in (2, 3, 4)], *[shifted(k, "t").alias(f"__t{k}") for k in range(3)])
     n, s2, s3, s4 = F.col("n"), F.col("__s2"), F.col("__s3"), F.col("__s4")
-    sy, suy, suuy, xb = F.col("__sy"), F.col("__suy"), F.col("__suuy"), F.col("__xb")
+    sy, suy, suuy, xb = F.col("__t0"), F.col("__t1"), F.col("__t2"), F.col("__xb")
     q = s4 - s2 * s2 / n
     r = suuy - sy * s2 / n
     det = s2 * q - s3 * s3

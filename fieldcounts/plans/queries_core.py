@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import with_season, with_study_day, with_survey_period
+from ..functions.nullsafe import strict_sum as strict_sum_of
 from ..operators import reshape as RS
 from ..operators import shares as SH
 from ..operators import summaries as S
 from ..operators import taxa as TX
+from ..operators import smooth as SM
 from ..operators import trends as TR
 from . import sqlcal as C
 from . import views as V
@@ -824,6 +826,30 @@ def m3_local_trend_all_taxa(spark, d):
     return r.select("series", "x", r6("y").alias("y"), r6("fitted").alias("fitted"))
 
 
+@register("m3_smooth_curve", V.ctes(SQL_BW, """
+m3_in AS (SELECT alpha_code, CAST(study_year AS DOUBLE) AS x, mean_abund AS y FROM sm
+          WHERE alpha_code <> 'all' AND mean_abund IS NOT NULL)""").replace("WITH ", "WITH RECURSIVE ", 1)
+          + "," + SM.smooth_curve_sql("m3_in", "alpha_code", 0.75) + """
+SELECT alpha_code, round_even(x, 6) AS x, round_even(fitted, 5) AS fitted FROM curve""")
+def m3_smooth_curve(spark, d):
+    """M3 as drawn: each code's yearly mean as a curve of 80 points, fitted at the vertices of its cells."""
+    sm = season_means(spark, d).filter(F.col("alpha_code") != "all")
+    r = SM.smooth_curve(sm, ["alpha_code"], "study_year", "mean_abund", span=0.75)
+    return r.select("alpha_code", r6("x").alias("x"), F.bround("fitted", 5).alias("fitted"))
+
+
+@register("m3_smooth_curve_all_taxa", V.ctes(SQL_BW, f"""
+m3_in AS (SELECT 'all' AS series, CAST(study_year AS DOUBLE) AS x, {strict('avg', 'baywide_count')} AS y FROM bw_all
+          GROUP BY study_year)""").replace("WITH ", "WITH RECURSIVE ", 1)
+          + "," + SM.smooth_curve_sql("m3_in", "series", 1.1) + """
+SELECT series, round_even(x, 6) AS x, round_even(fitted, 5) AS fitted FROM curve""")
+def m3_smooth_curve_all_taxa(spark, d):
+    """M3 as drawn, with span 1.1, on the all-codes yearly mean."""
+    a = S.all_taxa_annual_mean(obs_cal(spark, d)).withColumn("series", F.lit("all"))
+    r = SM.smooth_curve(a, ["series"], "study_year", "all_taxa", span=1.1)
+    return r.select("series", r6("x").alias("x"), F.bround("fitted", 5).alias("fitted"))
+
+
 # ------------------------------------------------------------- sources
 @register("s3_analysis_table_roundtrip", V.ctes(OBS_CAL) + """
 SELECT visit_date, alpha_code, section, survey_type, survey_num, section_final, status, year_day, study_day,
@@ -837,6 +863,22 @@ def s3_analysis_table_roundtrip(spark, d):
     return files.read_analysis_table(spark, path)
 
 
+@register("s3_added_seasons", V.ctes(OBS_CAL) + f"""
+SELECT study_year, count(*) AS n_rows, {strict_sum('section_final')} AS total, true AS whole
+FROM obs_cal GROUP BY study_year""")
+def s3_added_seasons(spark, d):
+    """S3: a saved table whose even years are replaced by right rows later; each year against the manifest."""
+    from ..session import scratch_path
+    from ..sources import files
+    path, obs = scratch_path(spark, "seasons"), obs_cal(spark, d)
+    even = F.col("study_year") % 2 == 0
+    files.write_seasons(obs.withColumn("section_final", F.when(even, 0).otherwise(F.col("section_final"))), path)
+    files.write_seasons(obs.filter(even), path)
+    found = files.read_seasons(spark, path).groupBy("study_year").agg(
+        F.count(F.lit(1)).alias("n_rows"), strict_sum_of("section_final").alias("total"))
+    return found.join(files.check_seasons(spark, path).select("study_year", "whole"), "study_year")
+
+
 @register("s5_s2_csv_roundtrip", V.ctes(SQL_BW) + """
 SELECT study_year, visit_date, alpha_code, baywide_count FROM bwu""")
 def s5_s2_csv_roundtrip(spark, d):
@@ -859,6 +901,23 @@ def k1_ordered_survey_totals(spark, d):
                    "alpha_code")
 
 
+_K1_KEYS = ["study_year", "visit_date", "-spp_survey_tot", "alpha_code"]
+
+
+@register("k1_numbered_survey_totals", V.ctes(OBS_CAL, f"""
+k1 AS (SELECT alpha_code, study_year, visit_date, {strict_sum('section_final')} AS spp_survey_tot
+       FROM obs_cal GROUP BY alpha_code, study_year, visit_date)""") + """
+SELECT *, row_number() OVER (ORDER BY study_year ASC NULLS LAST, visit_date ASC NULLS LAST,
+                             spp_survey_tot DESC NULLS LAST, alpha_code ASC NULLS LAST) AS position FROM k1""")
+def k1_numbered_survey_totals(spark, d):
+    """K1: the ordered export with each row's position in it, written as files in order and read back."""
+    from ..session import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "ordered")
+    files.write_ordered(S.taxon_survey_total(obs_cal(spark, d)), path, _K1_KEYS)
+    return files.read_ordered(spark, path)
+
+
 W5_SETS = [["Brand#2", "Brand#3"], ["Brand#12"], ["Brand#2", "Brand#22"]]
 
 

@@ -170,6 +170,17 @@ def a26_code_by_block(spark, d):
                            EVENT_BLOCKS)
 
 
+@register("a26_code_by_block_long", V.ctes(V.SQL_EVENTS_VALUES) + """
+SELECT s.species, b.block, count(e.found) AS freq
+FROM (SELECT DISTINCT species FROM events_values) s, (SELECT DISTINCT block FROM events_values) b
+LEFT JOIN (SELECT species, block, true AS found FROM events_values) e
+  ON e.species IS NOT DISTINCT FROM s.species AND e.block IS NOT DISTINCT FROM b.block
+GROUP BY s.species, b.block""")
+def a26_code_by_block_long(spark, d):
+    """Two-way code x block table over all values of both, zero cells included, as long rows."""
+    return Q.crosstab_long(V.events_values(spark, d), "species", "block")
+
+
 @register("a26_date_section_repeats", V.ctes(V.SQL_OLD_WIDE) + """
 SELECT make_date(YEAR, MONTH, DAY) AS survey_date, SECTION, count(*) AS freq FROM old_wide
 GROUP BY 1, 2 HAVING count(*) > 1""")
