@@ -9,15 +9,18 @@ or two spellings of one phone number keep pointing to the same thing.
 
 An atom's surrogate is drawn from a keyed SHA-512 of its kind and normal form:
 digits become digits, letters become letters of their script, separators and
-fixed prefixes stay; given names come from the title's gender; card numbers
-keep their first digit and whether their check digit holds; addresses in
-private networks stay private.  Collisions are checked over the whole corpus:
-a surrogate may neither be another atom's surrogate nor an atom that really
-occurs; atoms that collide draw again with the next round's hash, and from
-``WIDEN`` rounds on surrogates get longer, so this ends.
+fixed prefixes stay; a given name has one surrogate, of the gender that its
+titles show anywhere in the corpus (none or both: neutral); card numbers keep
+their first digit and whether their check digit holds; addresses in private
+networks stay private.  Collisions are checked over the whole corpus: a
+surrogate may neither be another atom's surrogate nor an atom that really
+occurs; atoms that collide draw again with the next round's hash.  From
+``WIDEN`` rounds on surrogates get longer and addresses come from the reserved
+range 240.0.0.0/4; from twice as many on they come from the private IPv6 range
+fd00::/8, which no corpus exhausts, so this ends.
 
 Defined results: NULL and empty texts stay as they are; rows with one text are
-treated alike, whatever their ids; all columns are kept.
+treated alike, whatever their ids; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,12 +50,14 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
              "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_NAME = r"\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
+_NAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+"
+# possessive throughout: a repeated group that may give back recurses in Java, and a long host name ends the executor
+_LABEL = r"-*+[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
 _ALL_TITLES = "|".join(TITLES.values())
 # what a secret is assigned to, in any case; an underscore may stand before (API_TOKEN)
 _ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+(?<![-])",
+    "email": rf"(?<![\w.%+-])[\w.%+-]++@{_LABEL}(?:\.{_LABEL})++",
     "secret": rf"(?<![^\W_]){_ASSIGNED}[^\s\"',;]{{6,}}+",
     "access": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"
@@ -85,7 +90,7 @@ def _script(c: Column) -> Column:
 
 def _person(entity: Column) -> tuple[Column, Column, Column]:
     """Gender, given name (may be empty) and surname."""
-    title = F.regexp_extract(entity, rf"^({_ALL_TITLES})", 1)
+    title = F.regexp_extract(entity, rf"^({_ALL_TITLES})\.? ", 1)      # to the blank: Mr is no Mrs
     names = F.regexp_extract(entity, rf"^(?:{_ALL_TITLES})\.? (.*)$", 1)
     gender = F.when(title.rlike(f"^(?:{TITLES['m']})$"), "m").when(title.rlike(f"^(?:{TITLES['f']})$"), "f").otherwise("u")
     two = names.contains(" ")
@@ -128,10 +133,9 @@ def _pick(alphabet: str, n: Column) -> Column:
     return F.substr(F.lit(alphabet), F.pmod(n, F.lit(len(alphabet))) + F.lit(1), F.lit(1))
 
 
-def _alike(text: Column, stream: Column, keep: Column | None = None) -> Column:
+def _alike(text: Column, stream: Column, hexa: Column, keep: Column | None = None) -> Column:
     """Each character replaced by one of its class; the first ``keep`` characters stay."""
     keep = F.lit(0) if keep is None else keep
-    hexa = text.rlike("^[0-9a-f]+$")
 
     def swap(c, i):
         n = _byte(stream, i)
@@ -156,10 +160,19 @@ def _check_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - F.lit(1)), F.lit(0), add)
 
 
-def candidate(kind: Column, norm: Column, round_: int, key: str) -> Column:
-    """The surrogate of an atom in one round of draws."""
+def seeded(kind: Column, norm: Column, round_: int, key: str) -> list[Column]:
+    """What a draw needs of the whole atom: its pseudo-random numbers, and whether it is a hex string.
+
+    These are made columns of their own before characters are drawn, because
+    what stands inside a transform is worked out for every character.
+    """
     seed = F.concat_ws("|", F.lit(key), kind, norm, F.lit(str(round_)))
     stream = F.concat(F.sha2(F.concat(seed, F.lit("|a")), 512), F.sha2(F.concat(seed, F.lit("|b")), 512))
+    return [stream.alias("stream"), norm.rlike("^[0-9a-f]+$").alias("hexa")]
+
+
+def candidate(kind: Column, norm: Column, stream: Column, hexa: Column, round_: int) -> Column:
+    """The surrogate of an atom in one round of draws."""
     octet = [_byte(stream, k) for k in range(4)]
     inner = [F.pmod(o, F.lit(254)) + 1 for o in octet]
     ip = (F.when(norm.startswith("10."), F.concat_ws(".", F.lit("10"), *inner[1:]))
@@ -168,16 +181,21 @@ def candidate(kind: Column, norm: Column, round_: int, key: str) -> Column:
           .when(norm.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."),
                 F.concat_ws(".", F.lit("172"), F.pmod(octet[1], F.lit(16)) + 16, *inner[2:]))
           .otherwise(F.concat_ws(".", F.pmod(octet[0], F.lit(99)) + 11, *inner[1:])))
-    card = _alike(norm, stream, F.lit(1))
+    if round_ >= 2 * WIDEN:
+        ip = F.concat_ws(":", F.concat(F.lit("fd"), F.substr(stream, F.lit(1), F.lit(2))),
+                         *[F.substr(stream, F.lit(4 * k + 3), F.lit(4)) for k in range(7)])
+    elif round_ >= WIDEN:
+        ip = F.concat_ws(".", F.pmod(octet[0], F.lit(16)) + 240, *[F.pmod(o, F.lit(256)) for o in octet[1:]])
+    card = _alike(norm, stream, hexa, F.lit(1))
     body = F.substr(card, F.lit(1), F.length(card) - F.lit(1))
     last = F.pmod(F.lit(10) - F.pmod(_check_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
     card = F.when(F.pmod(_check_sum(norm), F.lit(10)) == 0, F.concat(body, last.cast("string"))).otherwise(card)
     labels = F.length(norm) - F.length(F.substring_index(norm, ".", -1)) - F.lit(1)
-    domain = F.concat(_alike(F.substr(norm, F.lit(1), labels), stream), F.substr(norm, labels + F.lit(1)))
+    domain = F.concat(_alike(F.substr(norm, F.lit(1), labels), stream, hexa), F.substr(norm, labels + F.lit(1)))
     country = F.length(F.substring_index(norm, " ", 1))
     out = (F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "domain", domain)
-           .when(kind == "phone", _alike(norm, stream, country))
-           .when(kind == "access", _alike(norm, stream, F.lit(4))))
+           .when(kind == "phone", _alike(norm, stream, hexa, country))
+           .when(kind == "access", _alike(norm, stream, hexa, F.lit(4))))
     if round_ == 0:
         for (gender, script), names in GIVEN.items():
             listed = names.lower().split(" ")
@@ -185,7 +203,8 @@ def candidate(kind: Column, norm: Column, round_: int, key: str) -> Column:
                            F.get(F.array(*[F.lit(n) for n in listed]), F.pmod(octet[0], F.lit(len(listed)))))
     ending = F.when(kind.rlike("^given_f_latin"), "a").when(kind.rlike("^given_m_latin"), "o").when(
         kind.rlike("^given_f_cyr"), "а").when(kind.rlike("^given_f_greek"), "α").otherwise("")
-    out = out.when(kind.startswith("given_"), F.concat(_alike(norm, stream), ending)).otherwise(_alike(norm, stream))
+    out = out.when(kind.startswith("given_"), F.concat(_alike(norm, stream, hexa), ending)).otherwise(
+        _alike(norm, stream, hexa))
     if round_ >= WIDEN:
         wider = F.concat_ws("", *[_pick("0123456789", _byte(stream, 63 - k)) for k in range(round_ - WIDEN + 2)])
         out = F.when(kind == "domain", F.concat(F.lit("n"), wider, F.lit("."), out)).when(
@@ -193,24 +212,41 @@ def candidate(kind: Column, norm: Column, round_: int, key: str) -> Column:
     return out
 
 
+def one_gender(parts: DataFrame) -> DataFrame:
+    """``parts`` with the kind of a given name set to the one gender that its titles show, neutral if none or both."""
+    said = F.regexp_extract("kind", "^given_([mfu])_", 1)
+    names = parts.filter(F.col("kind").startswith("given_")).groupBy(_family(F.col("kind")).alias("family"), "norm").agg(
+        F.max((said == "m").cast("int")).alias("m"), F.max((said == "f").cast("int")).alias("f"))
+    gender = F.when(F.col("m") > F.col("f"), "given_m_").when(F.col("f") > F.col("m"), "given_f_").otherwise("given_u_")
+    resolved = names.select("family", "norm", F.concat(gender, F.expr("substring(family, 7)")).alias("resolved"))
+    return (parts.withColumn("family", _family(F.col("kind"))).join(resolved, ["family", "norm"], "left")
+            .select("entity", "what", F.coalesce("resolved", "kind").alias("kind"), "norm"))
+
+
+def _family(kind: Column) -> Column:
+    """The kind without a gender: collisions are checked within it."""
+    return F.regexp_replace(kind, "^given_[mfu]_", "given_")
+
+
 def surrogates(atoms: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, surrogate) for every different atom; surrogates are different and none occurs as an atom."""
-    real = cut(atoms.distinct(), "pii-atoms")
+    real = cut(atoms.distinct().withColumn("family", _family(F.col("kind"))), "pii-atoms")
     todo, done, turn = real, [], 0
     # drawing costs about a millisecond an atom: spread by number, as the table's few bytes would be one task
     tasks = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        drawn = todo.repartition(tasks, "kind", "norm").withColumn(
-            "surrogate", candidate(F.col("kind"), F.col("norm"), turn, key))
-        taken = reduce(DataFrame.unionByName, [d.select("kind", "surrogate") for d in done],
-                       real.select("kind", F.col("norm").alias("surrogate")))
-        won = (drawn.join(taken, ["kind", "surrogate"], "left_anti")
-               .groupBy("kind", "surrogate").agg(F.min("norm").alias("norm")).select("kind", "norm", "surrogate"))
+        ready = todo.select("*", *seeded(F.col("kind"), F.col("norm"), turn, key)).repartition(tasks, "kind", "norm")
+        drawn = ready.withColumn("surrogate", candidate(
+            F.col("kind"), F.col("norm"), F.col("stream"), F.col("hexa"), turn))
+        taken = reduce(DataFrame.unionByName, [d.select("family", "surrogate") for d in done],
+                       real.select("family", F.col("norm").alias("surrogate")))
+        won = (drawn.join(taken, ["family", "surrogate"], "left_anti").groupBy("family", "surrogate")
+               .agg(F.min(F.struct("kind", "norm")).alias("first")).select("family", "first.*", "surrogate"))
         done.append(cut(won, "pii-surrogates"))
         todo = cut(todo.join(done[-1], ["kind", "norm"], "left_anti"), "pii-left")
         turn += 1
         if todo.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done).select("kind", "norm", "surrogate")
 
 
 def _case_like(surrogate: Column, original: Column) -> Column:
@@ -262,7 +298,8 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     entities = (hits.groupBy("entity").agg(F.lit(1).alias("one")).select("entity", kind_of(F.col("entity")).alias("what"))
                 .select("entity", "what", atoms_of(F.col("what"), F.col("entity")).alias("atoms")))
     entities = cut(entities, "pii-entities")
-    parts = entities.select("entity", "what", F.explode("atoms").alias("atom")).select("entity", "what", "atom.*")
+    parts = one_gender(entities.select("entity", "what", F.explode("atoms").alias("atom"))
+                       .select("entity", "what", "atom.*"))
     drawn = surrogates(parts.select("kind", "norm"), key)
     names = (parts.join(drawn, ["kind", "norm"]).groupBy("entity", "what")
              .agg(F.map_from_entries(F.collect_list(F.struct("kind", "surrogate"))).alias("parts"))
@@ -272,14 +309,18 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     per_text = cut(hits.distinct().join(names, "entity").groupBy(F.col("key").alias("_key"))
                    .agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_names")),
                    "pii-texts")
+    # whole rows in one struct, so that no column of the input meets a name of ours
+    body = F.col("_row")[text_col].cast("string")
     masked = F.array_join(F.zip_with(
-        F.split(text, PATTERN, -1),
-        F.concat(F.transform(found, lambda e: F.col("_names")[e]), F.array(F.lit(""))),
+        F.split(body, PATTERN, -1),
+        F.concat(F.transform(F.regexp_extract_all(body, F.lit(PATTERN), 0), lambda e: F.col("_names")[e]),
+                 F.array(F.lit(""))),
         lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    replaced = (docs.filter(hint).withColumn("_key", row).join(per_text, "_key", "left")
-                .withColumn(text_col, F.when(F.col("_names").isNull(), text).otherwise(masked)).select(*kept))
-    return docs.filter(~hint).withColumn(text_col, text).select(*kept).unionByName(replaced)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    replaced = (docs.filter(hint).select(whole.alias("_row"), row.alias("_key")).join(per_text, "_key", "left")
+                .withColumn("_text", F.when(F.col("_names").isNull(), body).otherwise(masked))
+                .select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]))
+    return docs.filter(~hint).withColumn(text_col, text).unionByName(replaced)
 
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
