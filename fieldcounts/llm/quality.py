@@ -11,7 +11,9 @@ character 1- to 3-grams, each kind as a share of its total, so a text's length
 does not move its score.  It is fitted on at most ``sample_rows`` labelled
 rows, half of each class (those with the smallest hash of their id), calibrated
 by Platt scaling on a held-out fifth weighted to the classes' frequency, and
-then scores every text in Arrow batches.
+then scores every text in Arrow batches.  Features and weights are rounded to
+whole numbers of small units for the score's sum, which is then exact: equal
+texts have equal scores, whatever batch they are in.
 
 Defined results: a NULL or empty text has no words, fails the base rules and
 is not kept; rows with a NULL label, NULL text or unknown id are not learned
@@ -40,6 +42,7 @@ SAMPLE_ROWS = 4000         # labelled rows learned from, at most
 THRESHOLD = 0.3            # calibrated probability from which a text is kept
 MIN_WORDS, MAX_REPEAT_SHARE = 20, 30
 CHUNK_CHARS = 400_000      # characters whose n-grams are hashed at once
+UNITS = 2.0 ** 16, 2.0 ** 20    # of features and weights; with weights below 2^10 all sums stay below 2^53
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -150,12 +153,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
+def margins(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Weighted sums of feature rows, exact in whole units and so the same in any batch."""
+    whole = np.rint(x.astype(np.float64) * UNITS[0]) @ np.rint(w * UNITS[1])
+    return whole / (UNITS[0] * UNITS[1]) + b
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Class-balanced logistic regression by accelerated gradient descent; returns weights and intercept."""
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float64)
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
-    rate = 1.0 / (0.25 * max(float((weight @ (x.astype(np.float64) ** 2).sum(axis=1))) + 1, 1e-9) + ridge)
+    rate = 1.0 / (0.25 * max(float(weight @ np.einsum("ij,ij->i", x, x)) + 1, 1e-9) + ridge)
     for k in range(steps):
         err = weight * (sigmoid(x @ vw.astype(x.dtype) + vb) - y)
         nw, nb = vw - rate * (err.astype(x.dtype) @ x + ridge * vw), vb - rate * err.sum()
@@ -198,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample is, of each class, the ``sample_rows`` / 2 labelled documents with
     the smallest hash of their id, so it is the same whatever the partitioning.
     Its features are made on the executors; the driver gets ``sample_rows`` rows
-    of 8 KB at most.
+    of 8 KB at most, and holds them once as packed bytes and once as numbers.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -210,20 +219,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = drawn_ids(known, "label", sample_rows // 2)
     sample = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
               .filter("text IS NOT NULL").join(F.broadcast(picked), "id").select("id", "label", "text")
-              .mapInArrow(_sample_features, "id long, label int, x binary").toPandas()
-              .drop_duplicates("id").sort_values("id"))
-    if sample["label"].nunique() < 2:
+              .mapInArrow(_sample_features, "id long, label int, x binary").toArrow())
+    # one row for each id, in the order of ids; ids with several texts take the first of equal rank
+    first = {i: k for k, i in reversed(list(enumerate(sample.column("id").to_pylist())))}
+    at = [first[i] for i in sorted(first)]
+    labels_ = sample.column("label").to_pylist()
+    y = np.array([labels_[k] for k in at], dtype=np.float64)
+    if len(np.unique(y)) < 2:
         return None
-    x = np.stack([np.frombuffer(v, dtype=np.float16) for v in sample["x"]]).astype(np.float32)
-    y = sample["label"].to_numpy(dtype=np.float64)
-    part = np.array([zlib.crc32(f"fold{i}".encode()) % 5 for i in sample["id"]])
+    part = np.array([zlib.crc32(f"fold{i}".encode()) % 5 for i in sorted(first)])
     split = len(np.unique(y[part != 0])) == len(np.unique(y[part == 0])) == 2
     fit = part != 0 if split else np.ones(len(y), dtype=bool)
-    w, b = fit_logistic(x[fit], y[fit])
     held = ~fit if split else fit
+    packed = sample.column("x")
+
+    def rows(use: np.ndarray) -> np.ndarray:
+        out = np.empty((int(use.sum()), 2 * DIM), dtype=np.float32)
+        for to, k in enumerate(np.flatnonzero(use)):
+            out[to] = np.frombuffer(packed[at[k]].as_buffer(), dtype=np.float16)
+        return out
+
+    w, b = fit_logistic(rows(fit), y[fit])
     good = y[held] == 1
     weight = np.where(good, size[1] / good.sum(), size[0] / (~good).sum()) * len(good) / (size[0] + size[1])
-    return w.astype(np.float32), b, *fit_platt(x[held] @ w + b, y[held], weight)
+    return w.astype(np.float32), b, *fit_platt(margins(rows(held), w, b), y[held], weight)
 
 
 def measure(docs: DataFrame, model=None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -245,7 +264,7 @@ def measure(docs: DataFrame, model=None, text_col: str = "text", threshold: floa
                 chance, kept = pa.nulls(len(texts), pa.float64()), ~failed
             else:
                 w, b, slope, offset = fitted
-                p = sigmoid(slope * (features(texts, parsed) @ w + b) + offset).astype(np.float64)
+                p = sigmoid(slope * margins(features(texts, parsed), w, b) + offset)
                 chance, kept = pa.array(p), ~failed & (p >= threshold)
             columns = list(batch.columns) + [pa.array(m[:, k]) for k in range(5)] + [
                 pa.array(failed), chance, pa.array(kept)]
@@ -262,6 +281,8 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the quality rules keep."""
-    scored = measure(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.filter("kept").select(*docs.columns)
+    """Pipeline stage: the documents that the quality rules keep, with all their columns."""
+    taken = {f.split()[0] for f in f"{MEASURES}, base_failed x, quality x, kept x".split(", ")}
+    aside = {c: f"__input_{k}" for k, c in enumerate(docs.columns) if c.lower() in taken}
+    scored = measure(docs.withColumnsRenamed(aside), train(docs, table(spark, sf_dir, "labels")))
+    return scored.filter("kept").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
