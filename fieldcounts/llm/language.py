@@ -5,7 +5,9 @@ case, hashed) that occur in both, normalised to 1 for a text with itself: the
 blended-spectrum presence kernel.  It is approximated by Nystroem landmarks,
 and one ridge regression per language is fitted on the landmarks' features.
 A batch of texts is scored by two matrix products: its presence matrix with
-the landmarks' (the kernel values), and these with the fitted weights.
+the landmarks' (numbers of shared n-grams), and these with the fitted weights,
+which hold the landmarks' norms and are whole numbers of a small unit.  Both
+products are exact, so a text's score does not depend on its batch.
 
 Learned from the whole texts of at most ``sample_rows`` labelled rows of each
 language (smallest hash of the id first), so a rare language is learned from
@@ -39,10 +41,16 @@ SAMPLE_ROWS = 1500         # of each language
 FIT_ROWS = 4096            # presence rows unpacked at once
 RIDGE, SHARPNESS = 1e-2, 8.0
 CHUNK_CHARS = 400_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")       # letters, and some numbers that are no digits
+UNIT_BITS = 30             # bits of a weight; counts have BITS, sums over the landmarks stay below 2^53
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Is there a character of a letter category (L*)?"""
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """Rows of 0 and 1: which hashed n-grams occur in each text."""
     out = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
@@ -70,7 +78,10 @@ def kernel(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def fit(bits: np.ndarray, langs: list[str]):
-    """Landmark rows, weights (landmarks x languages) and the sorted languages; ``bits``: packed presence rows."""
+    """Landmark rows, whole weights (landmarks x languages), the sorted languages and the weights' unit.
+
+    ``bits`` are packed presence rows.
+    """
     names = sorted(set(langs))
 
     def rows(picked):
@@ -90,13 +101,18 @@ def fit(bits: np.ndarray, langs: list[str]):
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = 1.0 / np.array([len(turn[lang]) for lang in langs])     # languages count alike
     left = (z * weight[:, None]).T @ z + RIDGE * np.eye(z.shape[1])
-    return marks, (root @ np.linalg.solve(left, (z * weight[:, None]).T @ y)).astype(np.float32), names
+    weights = (root @ np.linalg.solve(left, (z * weight[:, None]).T @ y)
+               / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None])
+    # kernels are at most 1 and landmarks LANDMARKS or more: fewer bits for more of them, so that sums stay exact
+    bits_left = min(UNIT_BITS, 52 - BITS - int(np.ceil(np.log2(len(marks)))))
+    unit = float(np.abs(weights).max() or 1.0) / 2.0 ** bits_left
+    return marks, np.rint(weights / unit), names, unit
 
 
 def _sample_presence(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        known = [k for k, t in enumerate(texts) if _LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if has_letter(t)]
         for lo in range(0, len(known), 64):
             rows = known[lo:lo + 64]
             bits = np.packbits(presence([texts[k] for k in rows]).astype(bool), axis=1)
@@ -107,12 +123,14 @@ def _sample_presence(batches):
 
 def predict(texts: list[str | None], model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
+    known = np.array([has_letter(t) for t in texts], dtype=bool)
     langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if model is not None and known.any():
-        marks, weights, names = model
-        margin = kernel(presence([t for t, k in zip(texts, known) if k]), marks) @ weights
-        share = np.exp(SHARPNESS * (margin - margin.max(axis=1, keepdims=True)).astype(np.float64))
+        marks, weights, names, unit = model
+        x = presence([t for t, k in zip(texts, known) if k])
+        shared = (x @ marks.T).astype(np.float64)                    # whole numbers below 2^24: exact
+        margin = (shared @ weights) * (unit / np.sqrt(x.sum(axis=1)))[:, None]
+        share = np.exp(SHARPNESS * (margin - margin.max(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         best = margin.argmax(axis=1)
         for row, b in zip(np.flatnonzero(known), best):
