@@ -53,7 +53,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     keep = first.select(F.coalesce("first_id", F.lit(0)).alias("key"), "digest")
     (rows.select(F.coalesce("rec_id", F.lit(0)).alias("key"), "digest", "payload")
      .join(keep, ["key", "digest"], "left_semi").select("digest", "payload")
-     .write.parquet(f"{path}/payloads"))
+     .write.option("compression", "zstd").parquet(f"{path}/payloads"))
 
     revisit = ((F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull()
                & ~F.col("rec_id").eqNullSafe(F.col("first_id")))
@@ -85,13 +85,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     record asks for.  Only asked-for columns are read and shuffled: without
     ``record`` and ``payload`` the bytes stay where they are read.
     """
-    stored = (spark.read.parquet(f"{path}/payloads")
-              .select("digest", "payload", F.sha2("payload", 256).alias("payload_digest"),
-                      F.octet_length("payload").cast("long").alias("payload_bytes"))
-              # one row per digest, also if rows with one id were repeated
-              .withColumnRenamed("digest", "stored_digest"))
-    stored = stored.groupBy("stored_digest", "payload_digest", "payload_bytes").agg(
+    # one row per digest, also if rows with one id were repeated; the join below uses the same exchange
+    stored = spark.read.parquet(f"{path}/payloads").groupBy(F.col("digest").alias("stored_digest")).agg(
         F.any_value("payload").alias("payload"))
+    stored = stored.select("stored_digest", "payload", F.sha2("payload", 256).alias("payload_digest"),
+                           F.octet_length("payload").cast("long").alias("payload_bytes"))
     records = spark.read.parquet(f"{path}/records").withColumn("head", F.decode("header", "UTF-8"))
 
     def field(name):
@@ -103,19 +101,46 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             .select(F.nullif(rid, F.lit("")).cast("long").alias("record_id"), "payload_bytes", "payload_digest",
                     kind.alias("record_type"), F.nullif(refers, F.lit("")).cast("long").alias("refers_to"),
                     F.coalesce(F.unhex("payload_digest") == F.col("digest"), F.lit(False)).alias("verified"),
-                    "payload",
+                    "payload", "head",
                     F.concat("header", F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload")),
                              F.lit(b"\r\n\r\n")).alias("record")))
 
 
+def record_payload(record, head):
+    """The payload cut out of a record's bytes by its own lengths; NULL if they are not what the headers say.
+
+    A record is the WARC header, a block of Content-Length bytes (the HTTP
+    header and the payload) and two line ends.
+    """
+    start = F.octet_length(head)                   # up to the end of the HTTP header
+    block = F.regexp_extract(head, r"(?m)^Content-Length: (\d+)\r?$", 1).cast("long")
+    warc = F.locate("\r\n\r\n", head) + F.lit(3)    # characters, and bytes counted next
+    warc = F.octet_length(F.substr(head, F.lit(1), warc))
+    fits = (F.octet_length(record) == warc + block + F.lit(4)) & (
+        F.substr(record, F.octet_length(record) - F.lit(3)) == F.lit(b"\r\n\r\n"))
+    return F.when(fits, F.substr(record, start + F.lit(1), F.octet_length(record) - F.lit(4) - start))
+
+
 def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the records of ``pages``, read them back, and return what the rebuilt records hold."""
+    """Write the records of ``pages``, read them back, and return what the rebuilt records hold.
+
+    A response's length and digest are those of the payload cut out of its
+    rebuilt bytes; a revisit has none of its own and names the payload of the
+    record it refers to.  A payload that does not have the digest that its
+    header tells, or a record of another length, fails the job.
+    """
     path = scratch_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    back = read_archive(spark, path)
-    return back.filter(F.when(F.col("verified"), True).otherwise(
-        F.raise_error(F.lit("a stored payload does not match its digest")).cast("boolean"))).select(
-        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = read_archive(spark, path).withColumn("cut", record_payload(F.col("record"), F.col("head")))
+    response = F.col("record_type") == "response"
+    digest = F.when(response, F.sha2("cut", 256)).otherwise(F.col("payload_digest"))
+    told = F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha256:([0-9a-f]+)\r?$", 1)
+    checked = F.when(F.coalesce(digest == told, F.lit(False)) & F.col("cut").isNotNull(), digest).otherwise(
+        F.raise_error(F.lit("a record does not hold the payload that its header tells")))
+    return back.select(
+        F.col("record_id").alias("page_id"),
+        F.when(response, F.octet_length("cut").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        checked.alias("payload_digest"), "record_type", "refers_to")
 
 
 ARCHIVE_SQL = """
