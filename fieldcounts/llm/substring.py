@@ -6,19 +6,22 @@ the sentence before it.  A unit's digest is taken over its words in lower case
 with single blanks.  Digests are grouped over all documents; the first
 occurrence (smallest id, then position) of a digest is kept, all others are
 repeats.  Repeats that follow each other in a text form a passage.  A passage
-grows at both ends by the words that also stand there in the document where
-its kept copy is, so a copy set into other sentences is found whole.  Passages
-of at least ``min_words`` words are removed; shorter ones (stock phrases) stay.
+grows at both ends, into the units beside it, by the words that also stand
+there in the document where its kept copy is, so a copy set into other
+sentences is found whole.  Passages of at least ``min_words`` words are
+removed; shorter ones (stock phrases) stay.  In scripts without blanks between
+words two characters count as a word.
 
 Results carry the shortened text and the removed ranges, in characters of the
 original text.
 
 Defined results: NULL and empty texts stay as they are, with no range removed;
-a NULL id ranks after all others; rows with one id and one text are the same
-document and are treated alike (they do not remove each other); rows with one
-id and different texts are searched as one document, and only what stands in a
-row is removed from it; all columns are kept (but ``removed`` of the input is
-replaced).
+NULL ids rank after all others (ids below 2^62), each text of them as a document
+of its own; rows with one id and one text are the same document and are treated
+alike (they do not remove each other); rows with one id and different texts are
+searched as one document, and only what stands in a row is removed from it; all
+columns are kept (``remove_repeats`` replaces a column ``removed``, the stage
+keeps it).
 """
 
 from __future__ import annotations
@@ -36,9 +39,10 @@ from .common import cut, table, text_batches, with_length
 
 SHORT_WORDS = 5
 MIN_WORDS = 10
-REACH = 60                 # words a passage may grow by at each end
 _BREAK = re.compile(r"[.!?]+[^\S\n]+|[^\S\n]*\n\s*")
-LAST = (1 << 63) - 1       # rank of a NULL id
+LAST = 1 << 62             # ranks of NULL ids start here
+# scripts written without blanks: Thai, Lao, Burmese, Khmer, kana, Han
+_UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF]")
 
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
@@ -110,17 +114,13 @@ def _true_hits(parts, hits: list[dict]) -> list[dict]:
 
 
 def _around(parts, first: int, last: int) -> tuple[list[str], list[str]]:
-    """Up to REACH words before unit ``first`` and after unit ``last``."""
-    before, after = [], []
-    for k in range(first - 1, -1, -1):
-        before = parts[k][2] + before
-        if len(before) >= REACH:
-            break
-    for k in range(last + 1, len(parts)):
-        after = after + parts[k][2]
-        if len(after) >= REACH:
-            break
-    return before[-REACH:], after[:REACH]
+    """The words of the units before ``first`` and after ``last``."""
+    return parts[first - 1][2] if first else [], parts[last + 1][2] if last + 1 < len(parts) else []
+
+
+def _weight(words: list[str]) -> int:
+    """Number of words; two characters of a script without blanks count as one."""
+    return sum(max(1, len(_UNSPACED.findall(w)) // 2) if not w.isascii() else 1 for w in words)
 
 
 def _shared(a: list[str], b: list[str]) -> int:
@@ -146,15 +146,15 @@ def removed_ranges(text: str, hits: list[dict], context: dict, min_words: int =
     for a, b in _runs(hits):
         first, last = hits[a]["pos"], hits[b]["pos"]
         start, end = parts[first][0], parts[last][1]
-        size = sum(len(parts[k][2]) for k in range(first, last + 1))
+        size = sum(_weight(parts[k][2]) for k in range(first, last + 1))
         before, after = _around(parts, first, last)
         there_before = context.get((hits[a]["kept_rank"], hits[a]["kept_pos"]), ((), ()))[0]
         there_after = context.get((hits[b]["kept_rank"], hits[b]["kept_pos"]), ((), ()))[1]
         left, right = _shared(before[::-1], there_before[::-1]), _shared(after, there_after)
-        if size + left + right < min_words:
+        if size + _weight(before[len(before) - left:]) + _weight(after[:right]) < min_words:
             continue
         if left:
-            spots = [m.start() for m in _WORD.finditer(text, max(0, parts[max(0, first - REACH)][0]), start)]
+            spots = [m.start() for m in _WORD.finditer(text, parts[first - 1][0], start)]
             start = spots[-left]
         if right:
             spots = []
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with repeated passages cut out of the text and ``removed`` (array of start, end) appended."""
     text_batches(docs.sparkSession)
     docs = docs.drop("removed").withColumn(text_col, F.col(text_col).cast("string"))
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST) + F.pmod(F.xxhash64(text_col), F.lit(LAST)))
     repeats = cut(repeated_units(docs.select(rank.alias("rank"), F.col(text_col).alias("text"))), "units-repeats")
 
     # first and last units of passages: the next unit on one side is no repeat
@@ -254,5 +254,6 @@ def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without repeated passages; those left without a word go."""
-    left = remove_repeats(docs).filter(F.col("text").isNull() | F.col("text").rlike(r"\S"))
-    return with_length(left).select(*docs.columns)
+    aside = {c: "__input_removed" for c in docs.columns if c.lower() == "removed"}
+    left = remove_repeats(docs.withColumnsRenamed(aside)).filter(F.col("text").isNull() | F.col("text").rlike(r"\S"))
+    return with_length(left).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
