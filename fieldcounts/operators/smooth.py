@@ -64,7 +64,7 @@ def fit_at(v: float, x: np.ndarray, y: np.ndarray, span: float) -> tuple[float,
         return value / det, slope / det / reach
     if flat > FLAT * s0 * s2:
         return (t0 * s2 - t1 * s1) / flat, (s0 * t1 - s1 * t0) / flat / reach
-    return t0 / s0 if s0 > 0 else float(y[gap.argmin()]), 0.0
+    return t0 / s0 if s0 > 0 else float(y[gap == gap.min()].mean()), 0.0
 
 
 def curve(x: np.ndarray, y: np.ndarray, span: float, grid: int = GRID, cell: float = CELL):
@@ -131,17 +131,17 @@ sc_gaps AS (SELECT e.g, e.v, p.x, p.y, p.n, abs(p.x - e.v) AS gap,
               row_number() OVER (PARTITION BY e.g, e.v ORDER BY abs(p.x - e.v)) AS rk
             FROM sc_ends e JOIN sc_points p ON p.g IS NOT DISTINCT FROM e.g),
 sc_reach AS (SELECT g, v, {reach} AS h FROM sc_gaps GROUP BY g, v),
-sc_weights AS (SELECT a.g, a.v, a.y, r.h, CASE WHEN r.h > 0 THEN (a.x - a.v) / r.h ELSE 0 END AS u,
+sc_weights AS (SELECT a.g, a.v, a.y, a.gap, r.h, CASE WHEN r.h > 0 THEN (a.x - a.v) / r.h ELSE 0 END AS u,
                  CASE WHEN r.h <= 0 THEN CASE WHEN a.gap = 0 THEN 1.0 ELSE 0.0 END
                       WHEN a.gap < r.h THEN pow(1 - pow(a.gap / r.h, 3), 3) ELSE 0.0 END AS w
                FROM sc_gaps a JOIN sc_reach r ON r.g IS NOT DISTINCT FROM a.g AND r.v = a.v),
-sc_sums AS (SELECT g, v, any_value(h) AS h, {sums} FROM sc_weights GROUP BY g, v),
+sc_sums AS (SELECT g, v, any_value(h) AS h, arg_min(y, gap) AS near, {sums} FROM sc_weights GROUP BY g, v),
 sc_det AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det,
              s0 * s2 - s1 * s1 AS flat FROM sc_sums),
 sc_fits AS (SELECT g, v,
     CASE WHEN det > {FLAT} * s0 * s2 * s4
            THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det
-         WHEN flat > {FLAT} * s0 * s2 THEN (t0 * s2 - t1 * s1) / flat ELSE t0 / s0 END AS value,
+         WHEN flat > {FLAT} * s0 * s2 THEN (t0 * s2 - t1 * s1) / flat WHEN s0 > 0 THEN t0 / s0 ELSE near END AS value,
     CASE WHEN det > {FLAT} * s0 * s2 * s4
            THEN (s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det / h
          WHEN flat > {FLAT} * s0 * s2 THEN (s0 * t1 - s1 * t0) / flat / h ELSE 0.0 END AS slope FROM sc_det),

@@ -92,11 +92,11 @@ def linear_trend(df: DataFrame, group: Sequence[str], x: str, y: str, digits: in
 
 
 # ------------------------------------------------------------------- M2
-BLOCKS_PER_DOUBLING = 64
+BLOCKS_PER_DOUBLING = 1024
 
 
 def _origin(x: Column) -> Column:
-    """A number near x that a whole range of x shares: the middle of one of 64 steps between two powers of two."""
+    """A number near x that a whole range of x shares: the middle of one of 1,024 steps between two powers of two."""
     width = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x)))) / F.lit(float(BLOCKS_PER_DOUBLING))
     return F.when((F.abs(x) < 1e-300) | ~(F.abs(x) < 1e300), F.lit(0.0)).otherwise((F.floor(x / width) + 0.5) * width)
 
@@ -106,8 +106,8 @@ def quadratic_trend(df: DataFrame, group: Sequence[str], x: str, y: str) -> Data
 
     Sums of powers are taken around an origin near the x of a block, so that
     nothing cancels, and merged by binomial shift to the group's mean: partial
-    aggregates all the way, and a group gathers only its blocks, 64 at most for
-    each doubling of x.  Rows with NULL x or y are left out; fewer than 3 rows
+    aggregates all the way, and a group gathers only its blocks, 1,024 at most
+    for each doubling of x.  Rows with NULL x or y are left out; fewer than 3 rows
     or a singular system give NULL coefficients.
     """
     d = df.select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).filter(

@@ -84,7 +84,7 @@ def read_wide_sheets(spark: SparkSession, path: str, columns: Sequence[str],
         (F.col("__record") >= 1 + skip_rows) & (F.length(F.trim("__text")) > 0))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
     parsed = body.select(sheet_date(F.col("__path")).alias("date"),
-                         F.from_csv(F.col("__text"), schema.simpleString(), {"multiLine": "true"}).alias("r"))
+                         F.from_csv(F.col("__text"), schema.simpleString(), {"multiLine": "true", "escape": '"'}).alias("r"))
     return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)], "date")
 
 
