@@ -59,18 +59,17 @@ def baywide_counts(obs: DataFrame, year: str = "study_year", date: str = "visit_
                    all_label: str = "all", carry: Sequence[str] = ()) -> DataFrame:
     """Per-survey totals for every code and for all codes together, one pass.
 
-    The records are aggregated once per (year, date, code); the grouping sets
-    then run on these few rows, so no record is doubled.  ``grouping`` tells
-    the all-codes row from a NULL code.  ``carry`` names columns that depend
-    on the date only (such as the survey number); they ride along as keys.
+    The records are aggregated once per (year, date, code); these rows are the
+    codes' totals, and their sums by date the total of all codes (both read one
+    exchange).  ``carry`` names columns that depend on the date only (such as
+    the survey number); they ride along as keys.
     """
     keys = [year, date, *carry]
     per = obs.groupBy(*keys, code).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"),
                                        F.count(F.lit(1)).alias("_rows"))
-    g = per.groupingSets([keys, keys + [code]], *keys, code).agg(
-        F.when(F.sum("_n") == F.sum("_rows"), F.sum("_sum")).alias("baywide_count"), F.grouping(code).alias("_gid"))
-    return g.select(*keys, F.when(F.col("_gid") == 1, F.lit(all_label)).otherwise(F.col(code)).alias(code),
-                    "baywide_count")
+    whole = per.groupBy(*keys).agg(F.when(F.sum("_n") == F.sum("_rows"), F.sum("_sum")).alias("baywide_count"))
+    each = per.select(*keys, code, F.when(F.col("_n") == F.col("_rows"), F.col("_sum")).alias("baywide_count"))
+    return each.unionByName(whole.select(*keys, F.lit(all_label).alias(code), "baywide_count"))
 
 
 # A7

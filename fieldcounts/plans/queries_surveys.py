@@ -50,12 +50,11 @@ SQL_NUM_ALL = _numbers_sql(V.SQL_OBS, "obs", SV.REFERENCE_OVERRIDES)
 
 
 def numbers(spark, d):
-    return SV.survey_numbers(with_study_day(V.survey_obs(spark, d)), TEST_OVERRIDES)
+    return SV.survey_numbers(with_study_day(V.survey_calendar(spark, d)), TEST_OVERRIDES)
 
 
 def obs_num(spark, d):
-    o = with_study_day(V.survey_obs(spark, d))
-    return SV.attach_survey_numbers(o, SV.survey_numbers(o, TEST_OVERRIDES))
+    return SV.attach_survey_numbers(with_study_day(V.survey_obs(spark, d)), numbers(spark, d))
 
 
 @register("w6_survey_numbers", V.ctes(SQL_NUM) + "\nSELECT * FROM numbers")

@@ -29,6 +29,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Test binding: notes and events whose key these numbers divide have no value there (the driver tables hold no NULLs).
+NO_NOTE, NO_NOTE_DATE, NO_NOTE_BLOCK = 29, 31, 37
+NO_EVENT_CODE, NO_EVENT_BLOCK, NO_EVENT_COUNT = 43, 41, 23
+
+
+def _missing(key: str, every: int, value):
+    return F.when(F.col(key) % every != 0, value)
+
+
+def _missing_sql(key: str, every: int, value: str) -> str:
+    return f"CASE WHEN {key} % {every} <> 0 THEN {value} END"
+
+
 # ---------------------------------------------------------------- obs
 def obs_with_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis table: one row per line item, the taxon code from the part."""
@@ -86,7 +99,18 @@ def survey_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     day of the year picks one.  Together the years reach every numbering
     branch, and no record is left out.
     """
-    o = obs(spark, sf_dir)
+    return _on_survey_days(obs(spark, sf_dir))
+
+
+def survey_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of ``survey_obs``: those of the orders that have line items."""
+    items = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    orders = _read(spark, sf_dir, "orders").join(items, "o_orderkey", "left_semi")
+    dates = orders.select(F.col("o_orderdate").cast("date").alias("visit_date")).distinct()
+    return _on_survey_days(dates)
+
+
+def _on_survey_days(o: DataFrame) -> DataFrame:
     year = study_year("visit_date")
     kinds = F.array(*[F.array(*[F.lit(x) for x in days]) for days in SURVEY_DAYS])
     days = F.get(kinds, F.pmod(year, F.lit(len(SURVEY_DAYS))))
@@ -211,26 +235,29 @@ def _note_date(id_col: str):
 def block_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block-level notes: every document is a note on (date, block)."""
     d = _read(spark, sf_dir, "documents")
-    return d.select(_note_date("doc_id").alias("visit_date"), F.col("source").alias("block"),
-                    F.col("text").alias("block_notes"))
+    return d.select(_missing("doc_id", NO_NOTE_DATE, _note_date("doc_id")).alias("visit_date"),
+                    _missing("doc_id", NO_NOTE_BLOCK, F.col("source")).alias("block"),
+                    _missing("doc_id", NO_NOTE, F.col("text")).alias("block_notes"))
 
 
 SQL_BLOCK_NOTES = f"""
 block_notes AS (
-  SELECT DATE '{NOTES_EPOCH}' + CAST(doc_id % {NOTES_DAYS} AS INTEGER) AS visit_date, source AS block,
-         text AS block_notes FROM documents)"""
+  SELECT {_missing_sql('doc_id', NO_NOTE_DATE, f"DATE '{NOTES_EPOCH}' + CAST(doc_id % {NOTES_DAYS} AS INTEGER)")} AS visit_date,
+         {_missing_sql('doc_id', NO_NOTE_BLOCK, 'source')} AS block,
+         {_missing_sql('doc_id', NO_NOTE, 'text')} AS block_notes FROM documents)"""
 
 
 def survey_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey-level notes: every conversation turn is a note on a date."""
     c = _read(spark, sf_dir, "conversations")
-    return c.select(_note_date("conv_id").alias("visit_date"), F.col("text").alias("survey_notes"))
+    return c.select(_missing("conv_id", NO_NOTE_DATE, _note_date("conv_id")).alias("visit_date"),
+                    _missing("conv_id", NO_NOTE, F.col("text")).alias("survey_notes"))
 
 
 SQL_SURVEY_NOTES = f"""
 survey_notes AS (
-  SELECT DATE '{NOTES_EPOCH}' + CAST(conv_id % {NOTES_DAYS} AS INTEGER) AS visit_date,
-         text AS survey_notes FROM conversations)"""
+  SELECT {_missing_sql('conv_id', NO_NOTE_DATE, f"DATE '{NOTES_EPOCH}' + CAST(conv_id % {NOTES_DAYS} AS INTEGER)")} AS visit_date,
+         {_missing_sql('conv_id', NO_NOTE, 'text')} AS survey_notes FROM conversations)"""
 
 
 def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,16 +301,18 @@ def events_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     return e.select(
         F.col("ts").cast("date").alias("visit_date"),
-        F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("block"),
-        F.col("event_type").alias("species"),
-        (F.col("value") - 100).alias("count"),
+        _missing("user_id", NO_EVENT_BLOCK, F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string"))).alias("block"),
+        _missing("user_id", NO_EVENT_CODE, F.col("event_type")).alias("species"),
+        _missing("user_id", NO_EVENT_COUNT, F.col("value") - 100).alias("count"),
         (F.col("user_id") % 4).cast("int").alias("proof_level"))
 
 
-SQL_EVENTS_VALUES = """
+SQL_EVENTS_VALUES = f"""
 events_values AS (
-  SELECT CAST(ts AS DATE) AS visit_date, 'b' || CAST(user_id % 4 AS VARCHAR) AS block,
-         event_type AS species, value - 100 AS count, CAST(user_id % 4 AS INTEGER) AS proof_level
+  SELECT CAST(ts AS DATE) AS visit_date,
+         {_missing_sql('user_id', NO_EVENT_BLOCK, "'b' || CAST(user_id % 4 AS VARCHAR)")} AS block,
+         {_missing_sql('user_id', NO_EVENT_CODE, 'event_type')} AS species,
+         {_missing_sql('user_id', NO_EVENT_COUNT, 'value - 100')} AS count, CAST(user_id % 4 AS INTEGER) AS proof_level
   FROM events)"""
 
 
