@@ -1,9 +1,11 @@
 """Free-text notes: keyword search, note parts, per-date digests and the
 hunter-presence comparison (SURVEY §2.9 X1-X6, A27, A28).
 
-Whole note texts are processed.  Filters run before different notes are
-picked, and notes are told apart by 128-bit digests: texts are not shuffled
-(``sources.placed``), so X1-X3 write the notes that pass once when called.
+Whole note texts are processed.  Keyword filters run before the distinct
+(the predicate depends only on the grouping columns, so Catalyst pushes it
+below the aggregate), so only matching notes are shuffled.  Where all notes
+count (lowered notes, X2, X3) they are told apart by 128-bit digests and texts
+are not shuffled (``sources.placed``): these write their notes once when called.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ def keyword_notes(notes: DataFrame, terms: Sequence[str] = BLOCK_NOTE_TERMS, pad
                   date: str = "visit_date", block: str = "block", text: str = "block_notes") -> DataFrame:
     """Lower-cased block notes matching any term, with a "block: note" label."""
     pattern = terms_pattern(terms, pad)
-    hit = lowered_notes(notes.filter(grepl(F.lower(F.col(text)), pattern)), date, block, text)
+    d = notes.select(date, block, text).distinct().filter(F.col(text).isNotNull())
+    hit = d.withColumn(text, F.lower(F.col(text))).filter(grepl(text, pattern))
     return hit.withColumn("block_w_notes", paste(block, text, sep=": "))
 
 
